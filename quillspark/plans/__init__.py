@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with the SQL that must give the same rows."""
 
-from __future__ import annotations
+from . import chat, corpus, retrieval
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "chat", "corpus", "retrieval"]
