@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, stage_table
+from .common import SPACE, spare_names, stage_table
 
 #: A boundary follows a line where the rolling hash of it and the lines before it is 0 modulo DIVISOR.
 DIVISOR = 2
@@ -49,21 +49,18 @@ def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, lo
     lines of the neighbouring chunks, outwards while they agree: that finds the ends of a repeated passage which share
     a chunk with foreign lines. A removed line always has an equal one at an earlier place, so one copy of it stays.
     """
-    chunked = line_chunks(_key(docs), divisor, roll, long_line).select("line_id", "line_h", "lines", "line_hash", "chunks")
-    one = F.col("chunks")
+    chunked = line_chunks(_key(docs), divisor, roll, long_line).select("line_id", "line_h", "lines", "chunks")
     body = lambda c: F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n")
-    hashed = F.transform(F.filter(one, lambda c: (c["n"] > 1) | (c["words"] >= long_line)), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(body(c)).alias("chunk_hash")))
-    narrow = stage_table(chunked.select("line_id", "line_h", F.inline(hashed)), "chunks")
+    marked = F.transform("chunks", lambda c, k: F.struct(k.alias("k"), c["start"].alias("start"), c["n"].alias("n"), F.when((c["n"] > 1) | (c["words"] >= long_line), F.xxhash64(body(c))).alias("chunk_hash")))
+    narrow = stage_table(chunked.select("line_id", "line_h", F.inline(marked)).where("chunk_hash is not null"), "chunks")
     groups = narrow.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("line_id", "line_h", "start")).alias("kept")).where("times > 1")
-    marked = narrow.join(groups.select("chunk_hash", "kept"), "chunk_hash")
-    marked = marked.withColumn("is_kept", (F.col("kept.line_id") == F.col("line_id")) & (F.col("kept.line_h") == F.col("line_h")) & (F.col("kept.start") == F.col("start")))
-    per_doc = marked.groupBy("line_id", "line_h").agg(F.collect_set(F.struct("start", "n", "chunk_hash", "is_kept")).alias("marks"))  # of one document
-    # one shuffle of the texts, from which only the marked chunks and their surroundings go on
-    chunk_of = lambda s, by: F.get(F.filter("chunks", lambda c: (c["start"] + c["n"] == s["start"]) if by < 0 else (c["start"] == s["start"] + s["n"])), F.lit(0))
-    side = lambda s, by: F.when(chunk_of(s, by).isNotNull(), F.slice("lines", chunk_of(s, by)["start"] + 1, chunk_of(s, by)["n"])).otherwise(F.array().cast("array<string>"))
-    text_of = chunked.select("line_id", "line_h", "lines", "chunks").join(per_doc, ["line_id", "line_h"])
-    parts = text_of.select("line_id", "line_h", F.explode("marks").alias("s"), "lines", "chunks")
-    parts = parts.select("line_id", "line_h", "s.*", body(F.col("s")).alias("body"), F.reverse(side(F.col("s"), -1)).alias("before"), side(F.col("s"), 1).alias("after"))
+    found = narrow.join(groups.select("chunk_hash", "kept"), "chunk_hash")
+    is_kept = (F.col("kept.line_id") == F.col("line_id")) & (F.col("kept.line_h") == F.col("line_h")) & (F.col("kept.start") == F.col("start"))
+    marks = found.groupBy("line_id", "line_h").agg(F.collect_set(F.struct("k", "start", "n", "chunk_hash", is_kept.alias("is_kept"))).alias("marks"))  # of one document
+    # one shuffle of the texts, from which only the marked chunks and their neighbours go on
+    side = lambda k: F.coalesce(F.slice("lines", F.get("chunks", k)["start"] + 1, F.get("chunks", k)["n"]), F.array().cast("array<string>"))
+    cut = F.transform("marks", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["chunk_hash"].alias("chunk_hash"), s["is_kept"].alias("is_kept"), body(s).alias("body"), F.reverse(side(s["k"] - 1)).alias("before"), side(s["k"] + 1).alias("after")))
+    parts = chunked.join(marks, ["line_id", "line_h"]).select("line_id", "line_h", F.inline(cut))
     parts = stage_table(parts, "parts")
     kept = parts.where("is_kept").dropDuplicates(["chunk_hash"]).select("chunk_hash", *[F.col(c).alias(f"kept_{c}") for c in ("body", "before", "after")])
     same = parts.where("not is_kept").join(kept, "chunk_hash").where("body = kept_body")
@@ -81,11 +78,13 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_
     byte for byte. Columns named n_removed, line_id or line_h are replaced; others stay.
     """
     docs = docs.drop("n_removed", "line_id", "line_h")
-    drops = stage_table(repeated_lines(docs, divisor, roll, long_line), "drops")
-    out = _key(docs).join(drops, ["line_id", "line_h"], "left")
-    gone = lambda i: F.exists("drops", lambda s: (s["start"] <= i) & (i < s["start"] + s["n"]))
-    lines = F.split(F.col("text"), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~gone(i))
-    out = out.withColumn("text_left", F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    n = F.when(F.col("drops").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long")
-    return out.withColumn("n_removed", n).select(*[F.col("text_left").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_removed")
+    drops, every, left, text = spare_names(docs, "line_drops", "line_all", "line_left", "line_text")
+    found = stage_table(repeated_lines(docs, divisor, roll, long_line), "drops").withColumnRenamed("drops", drops)
+    out = _key(docs).join(found, ["line_id", "line_h"], "left")
+    cut = F.col(drops).isNotNull()
+    out = out.withColumn(every, F.when(cut, F.split("text", "\n", -1)))
+    spans = F.flatten(F.transform(drops, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    out = out.withColumn(left, F.when(cut, F.array_except(F.sequence(F.lit(0), F.size(every) - 1), spans)))
+    out = out.withColumn(text, F.when(cut, F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n")).otherwise(F.col("text")))
+    n = F.when(cut, F.size(every) - F.size(left)).otherwise(0).cast("long")
+    return out.withColumn("n_removed", n).select(*[F.col(text).alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_removed")

@@ -6,32 +6,34 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage_table, with_global_rank
 
-#: Gains are sorted into halving classes and each class into this many hash buckets: quotas are cut on a table of
-#: shards x classes x buckets, whose size does not grow with the documents.
+#: Wishes are sorted into halving classes of size and each class into this many hash buckets: quotas are cut on a table of
+#: shards x 63 classes x buckets, whose size does not grow with the documents.
 BUCKETS = 256
-CLASSES = 64
 
 
 def _moves(tally: DataFrame, sizes: DataFrame, shards: int, quota: int, turn: int) -> DataFrame:
     """(link, shard, to, number): how many members of a link move from one shard to another in this round.
 
-    A link's members move towards the shard where most of them are. A shard takes what its quota has room for, largest
-    gains first; the last group to find room may move in part.
+    A link's members move towards the shard with room where most of them are: from shards with fewer, or, if all of the
+    link fits there, from a full one with more as well. A shard takes what its quota has room for, small groups first;
+    the last ones to find room may move in part. A shard counts as full when less is left than such rounding leaves.
     """
     w = Window.partitionBy("link")
-    best = F.max(F.struct("n", F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard")).over(w)
-    wish = tally.withColumn("best", best).where("shard <> best.shard").select("link", "shard", F.col("best.shard").alias("to"), "n", (F.col("best.n") - F.col("n")).alias("gain"))
-    wish = wish.withColumns({"class": F.lit(CLASSES) - F.floor(F.log2(F.col("gain") + F.col("n") + 1)).cast("int"), "bucket": F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(BUCKETS)).cast("int")})
+    sizes = F.broadcast(sizes.select("shard", F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room")))  # a row for each shard
+    mine = F.struct("n", (F.col("room") >= max(1, min(shards, quota // 8))).alias("open"), F.xxhash64("link", "shard").alias("tie"), "shard", "room")
+    state = tally.join(sizes, "shard").withColumn("mine", mine)
+    state = state.withColumns({"best": F.max(F.when(F.col("mine.open"), F.col("mine"))).over(w), "whole": F.sum("n").over(w)})
+    wish = state.where("shard <> best.shard and (mine < best or whole - best.n <= best.room)").select("link", "shard", F.col("best.shard").alias("to"), "n", F.col("best.n").alias("there"))
+    wish = wish.withColumns({"class": F.floor(F.log2(F.col("there") + 1)).cast("int"), "bucket": F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(BUCKETS)).cast("int")})
     cells = wish.groupBy("to", "class", "bucket").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"))
     order = Window.partitionBy("to").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    room = sizes.select(F.col("shard").alias("to"), F.greatest(F.lit(quota) - F.col("n"), F.lit(0)).alias("room"))
-    cells = cells.withColumn("before", F.coalesce(F.sum("m").over(order), F.lit(0))).join(F.broadcast(room), "to")
+    cells = cells.withColumn("before", F.coalesce(F.sum("m").over(order), F.lit(0))).join(sizes.withColumnRenamed("shard", "to"), "to")
     # what is left for a cell: all of it, or a share of each group in it
     cells = cells.select("to", "class", "bucket", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("room") - F.col("before")) / F.col("m"))).alias("share"))
     return wish.join(F.broadcast(cells.where("share > 0")), ["to", "class", "bucket"]).select("link", "shard", "to", F.floor(F.col("n") * F.col("share")).alias("number")).where("number > 0")
 
 
-def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 6) -> DataFrame:
+def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 10) -> DataFrame:
     """(link, shard, n): how many members of each link belong in each shard, after label propagation.
 
     members has a row (link, shard) for each linked document, with its first shard. Each round joins every link's
@@ -50,7 +52,7 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int = 6) -> D
     return tally
 
 
-def shard_rows(rows: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int = 8, rounds: int = 10) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); counts differ by one at most.
 
     rows need the column `link`; rows with the same link want to be together. Null links, and links that occur once,
@@ -97,7 +99,7 @@ def shard_rows(rows: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     return kept.select(*spare.columns).unionByName(spare).drop("row_tie")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, link, shard, slot for each row of docs; equal texts are linked.
 
     Null texts have size 1 and, like empty ones, checksum 0. Other columns of docs are not read.
