@@ -372,7 +372,10 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[int]]]:
     starts, numbers = np.array(starts, np.int64), np.array(numbers, np.int64)
     x, sizes = np.zeros((len(starts), BLOCK), np.int8), np.zeros(len(starts), np.int64)
     for i in range(0, len(starts), FRAMES):
-        x[i : i + FRAMES], sizes[i : i + FRAMES] = decode_frames(data, starts[i : i + FRAMES], numbers[i : i + FRAMES])
+        try:
+            x[i : i + FRAMES], sizes[i : i + FRAMES] = decode_frames(data, starts[i : i + FRAMES], numbers[i : i + FRAMES])
+        except ValueError:  # damage, or a start that is none: below each stream is read in turn, and damage raises
+            continue
     out, at = [], 0
     for s, (base, first, mine, md5) in zip(streams, metas, strict=True):
         own, size = x[at : at + len(mine)], sizes[at : at + len(mine)]
@@ -432,7 +435,7 @@ def decode_media(media: DataFrame, keys: list[str]) -> DataFrame:
         kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
         for b in batches:
             at = 0
-            for group in _groups([m.as_py() for m in b.column("media")], lambda v: len(v or b""), FRAMES * BLOCK * 3 // 4):
+            for group in _groups([m.as_py() for m in b.column("flac_media")], lambda v: len(v or b""), FRAMES * BLOCK * 3 // 4):
                 found = iter(decode([m for m in group if m is not None]))
                 blocks = []
                 for m in group:
@@ -444,7 +447,7 @@ def decode_media(media: DataFrame, keys: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(group)) for k in keys), pa.array(blocks, kind)], names=[*keys, "blocks"])
                 at += len(group)
 
-    rows = media.select(*keys, "media")
+    rows = media.select(*keys, F.col("media").alias("flac_media"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, blocks array<struct<sample_offset:bigint,byte_offset:bigint,pcm:binary>>")
 

@@ -47,7 +47,7 @@ class Rows(NamedTuple):
         return cls(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], np.int64))
 
     def sums(self, w: np.ndarray) -> np.ndarray:
-        run = np.concatenate(([0.0], np.cumsum(w[self.index])))
+        run = np.concatenate(([0.0], np.cumsum(w[self.index], dtype=float)))
         end = np.cumsum(self.length)
         return run[end] - run[end - self.length]
 
