@@ -53,10 +53,10 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "down", max_dept
 
 def resolve_links(pages: DataFrame) -> DataFrame:
     """(url, pos, target): links of pages to other documents, absolute and normalised, in page order."""
-    x = pages.select(normalize_url(F.col("url")).alias("url"), F.posexplode(extract_links(F.col("html"))).alias("pos", "href"))
+    x = pages.select(normalize_url(F.col("url")).alias("url"), F.col("url").alias("base"), F.posexplode(extract_links(F.col("html"))).alias("pos", "href"))
     x = x.where(~F.col("href").rlike("(?i)^(?:mailto:|javascript:|tel:|#)"))
     site = F.regexp_extract("url", "^https?://[^/]*", 0)
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?].*$", ""), "(?<=[^/:]/)[^/]*$", "")
+    folder = F.regexp_replace(F.regexp_replace("base", r"[?#].*$", ""), "(?<=[^/:]/)[^/]*$", "")
     target = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.startswith("href", F.lit("//")), F.concat(F.lit("https:"), "href")).when(F.startswith("href", F.lit("/")), F.concat(site, "href")).when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), None).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), "href"))
     x = x.select("url", "pos", normalize_url(target).alias("target")).where("target is not null")
     path = F.lower(F.regexp_replace("target", r"[?].*$", ""))
@@ -70,7 +70,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int
     visited once, in the order of their first link; the cap counts pages with text. A level is one join.
     """
     p = pages.select(normalize_url(F.col("url")).alias("url"), "html", (F.coalesce("text", F.lit("")) != "").alias("has_text")).dropDuplicates(["url"])
-    links = stage_table(resolve_links(p), "links")
+    links = stage_table(resolve_links(pages.select("url", "html")), "links")
     have = stage_table(p.select("url", "has_text"), "pages")
     s = seeds.select("seed").distinct().withColumn("url", normalize_url(F.col("seed")))
     full = F.regexp_replace(F.when(F.col("seed").rlike("^https?://"), F.col("seed")).otherwise(F.concat(F.lit("https://"), "seed")), r"[?#].*$", "")

@@ -71,7 +71,7 @@ def test_rrf_last_rank_and_missing_side(spark):
 
 
 def test_hybrid_fallbacks(spark):
-    s = spark.createDataFrame([("1:0", 1, 0, "t", "error 12345 happens"), ("2:0", 2, 0, "t", "nothing else")], "key string, doc_id bigint, section_id int, title string, text string")
+    s = spark.createDataFrame([("1:0", 1, 0, "t", "error 12345 happens"), *[(f"{i}:0", i, 0, "t", f"other words {w}") for i, w in enumerate(("one", "two", "three", "four"), 2)]], "key string, doc_id bigint, section_id int, title string, text string")
     v = spark.createDataFrame([], "key string, embedding array<float>")
     q = spark.createDataFrame([(1, "what is 12345", [1.0]), (2, "nothing", [1.0])], "query_id bigint, text string, embedding array<float>")
     docs = spark.createDataFrame([(1, "n")], "doc_id bigint, name string")
