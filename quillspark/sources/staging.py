@@ -25,5 +25,5 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # frees its buffers at once; the default's wait for a collection
     return df.sparkSession.read.schema(df.schema).parquet(path)
