@@ -100,7 +100,8 @@ def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     # what the plan knows of each document: its hashes and those of its successor
     sets = own.dropDuplicates(key)
     info = links.join(sets.select(*key, "set", "fingerprint"), key)
-    info = info.join(sets.select(*[F.col(c).alias(f"next_{c}") for c in key], F.col("set").alias("next_set")), [f"next_{c}" for c in key]).drop(*[f"next_{c}" for c in key])
+    info = info.join(sets.select(*[F.col(c).alias(f"next_{c}") for c in key], F.col("set").alias("next_set")), [f"next_{c}" for c in key])
+    info = info.select(*key, "n_chars", "set", "fingerprint", likeness(F.col("set"), F.col("next_set")).alias("near_next"))
     # each document sends the prefix that its predecessor needs there; of rows that repeat id and text one speaks
     wanted = links.select(F.floor(F.col("n_chars") / 4).cast("int").alias("need"), *[F.col(c).alias(f"to_{c}") for c in key], *[F.col(f"next_{c}").alias(c) for c in key])
     heads = keyed.join(wanted, key).select(*[F.col(f"to_{c}").alias(c) for c in key], F.substring("text", F.lit(1), F.col("need")).alias("head"))
@@ -112,5 +113,5 @@ def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     out = out.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited").withColumns({"edited_set": hashes(F.col("fp")), "edited_fingerprint": digest(F.col("fp"))})
     return out.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"),
+        likeness(F.col("set"), F.col("edited_set")).alias("near_edited"), "near_next",
     )
