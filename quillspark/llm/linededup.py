@@ -60,7 +60,8 @@ def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, lo
     # one shuffle of the texts, from which only the marked chunks and their neighbours go on
     side = lambda k: F.coalesce(F.slice("lines", F.get("chunks", k)["start"] + 1, F.get("chunks", k)["n"]), F.array().cast("array<string>"))
     cut = F.transform("marks", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["chunk_hash"].alias("chunk_hash"), s["is_kept"].alias("is_kept"), body(s).alias("body"), F.reverse(side(s["k"] - 1)).alias("before"), side(s["k"] + 1).alias("after")))
-    parts = chunked.join(marks, ["line_id", "line_h"]).select("line_id", "line_h", F.inline(cut))
+    parts = chunked.join(marks.hint("merge"), ["line_id", "line_h"])  # the same join at every size
+    parts = parts.select("line_id", "line_h", F.inline(cut))
     parts = stage_table(parts, "parts")
     kept = parts.where("is_kept").dropDuplicates(["chunk_hash"]).select("chunk_hash", *[F.col(c).alias(f"kept_{c}") for c in ("body", "before", "after")])
     same = parts.where("not is_kept").join(kept, "chunk_hash").where("body = kept_body")
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_
     docs = docs.drop("n_removed", "line_id", "line_h")
     drops, every, left, text = spare_names(docs, "line_drops", "line_all", "line_left", "line_text")
     found = stage_table(repeated_lines(docs, divisor, roll, long_line), "drops").withColumnRenamed("drops", drops)
-    out = _key(docs).join(found, ["line_id", "line_h"], "left")
+    out = _key(docs).join(found.hint("merge"), ["line_id", "line_h"], "left")
     cut = F.col(drops).isNotNull()
     out = out.withColumn(every, F.when(cut, F.split("text", "\n", -1)))
     spans = F.flatten(F.transform(drops, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
