@@ -15,6 +15,8 @@ from .common import connected_components, partitions, stage_table
 #: Signatures with more fingerprints than SMALL are looked at more closely: their fingerprints are first linked through
 #: shared neighbours. Those with more than LARGE are linked only that way, without comparing pairs.
 SMALL, LARGE = 64, 2048
+#: Shared signatures (16 bytes each) are broadcast up to so many; beyond that they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint_bytes(text: str | None, shingle_words: int, seeds: list[int]) -> list[int]:
@@ -103,9 +105,10 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     they differ by two bits at most, through common neighbours; after that only pairs in different components are
     emitted, and signatures with more than LARGE fingerprints go through neighbour_links, which makes no pairs.
     """
-    fps = stage_table(fps, "fps")
+    fps = stage_table(fps.repartition(partitions(fps.sparkSession), "node"), "fps")
     sig = signatures(fps, max_bits)
     count = stage_table(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
+    shared = F.broadcast(count) if count.count() <= BROADCAST_ROWS else count
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
 
     def pairs(members: DataFrame, apart) -> DataFrame:
@@ -113,7 +116,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
         on = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.fp") < F.col("r.fp")) & close(F.col("l.fp"), F.col("r.fp")) & apart
         return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
-    members = stage_table(sig.join(count, "sig"), "members")
+    members = stage_table(sig.join(shared, "sig"), "members")
     edges = pairs(members.where(f"n <= {SMALL}"), F.lit(True))
     crowded = stage_table(members.where(f"n > {SMALL}"), "crowded")
     if not crowded.isEmpty():
