@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks and long lines go from all documents but the first; n_chars follows the text."""
-    out = dedup_lines(docs).drop("n_removed")
+    """Repeated passages go, from end to end, from all documents but the first; n_chars follows the text."""
+    out = dedup_lines(docs, whole=True).drop("n_removed")
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_removed", "text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,46 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, long, "a"), (1, long, "b"), (1, long, "b"), (2, long + "\nend", None)], DOCS).withColumn("n_removed", F.lit(9)).withColumn("lines", F.lit("x"))
     got = {(r["doc_id"], r["n_removed"], r["lines"]) for r in L.dedup_lines(df).collect()}
     assert got == {(1, 0, "x"), (2, 3000, "x"), (None, 3000, "x")}
+
+
+def test_passages_of_short_lines_go_from_end_to_end(spark, tmp_path):
+    """Passages of over 50 words in lines of under 20, among foreign short lines: the first copy stays, no line of another does."""
+    from quillspark.llm.queries import QUERIES
+
+    rng = random.Random(17)
+    rows, passages, foreign = [], [], []
+    for n_lines, n_words in [(3, 18), (4, 14), (5, 12), (6, 10), (8, 8), (10, 6)] * 10:
+        passage = [words(rng, n_words) for _ in range(n_lines)]
+        passages.append(passage)
+        for _ in range(3):
+            head, tail = ([words(rng, rng.randrange(3, 9)) for _ in range(rng.randrange(1, 5))] for _ in range(2))
+            foreign.append((len(rows), head + tail))
+            rows.append((len(rows), "\n".join(head + passage + tail), "s"))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_line_dedup"](spark, f"file://{tmp_path}").collect()}
+    left = {i: r["text"].split("\n") for i, r in got.items()}
+    for p, passage in enumerate(passages):
+        assert "\n".join(passage) in got[3 * p]["text"]
+    assert [(i, got[i]["n_removed"], left[i]) for i, _ in foreign if i % 3] == [(i, len(passages[i // 3]), own) for i, own in foreign if i % 3]
+
+
+def test_whole_runs_equal_a_plain_search(spark):
+    """Few different lines, so that runs overlap, repeat within a document and end anywhere."""
+    rng = random.Random(23)
+    stock = [words(rng, n) for n in (1, 2, 4, 7, 11, 15, 19, 20, 26)] + [""]
+    docs = {i: [rng.choice(stock) if rng.random() < 0.8 else words(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(1, 25))] for i in range(80)}
+    runs = {}
+    for i in sorted(docs):
+        for a in range(len(docs[i])):
+            for b in range(a + 1, len(docs[i]) + 1):
+                if sum(len(x.split(" ")) for x in docs[i][a:b]) >= L.LONG_LINE:
+                    runs.setdefault(tuple(docs[i][a:b]), []).append((i, a, b))
+    must = {(i, k) for places in runs.values() for i, a, b in places[1:] for k in range(a, b)}
+    df = spark.createDataFrame([(i, "\n".join(x), "s") for i, x in docs.items()], DOCS)
+    got = {(r["line_id"], k) for r in L.repeated_passages(df).collect() for s in r["drops"] for k in range(s["start"], s["start"] + s["n"])}
+    assert must <= got
+    first = {}
+    for i in sorted(docs):
+        for k, x in enumerate(docs[i]):
+            first.setdefault(x, (i, k))
+    assert not got & set(first.values())
