@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm.common import stage_table
 from quillspark.llm.linededup import dedup_lines
 from quillspark.llm.mixing import mix_sources
+from quillspark.llm.nearcopies import drop_near_copies
 from quillspark.llm.packing import pack_documents
-from quillspark.llm.simhash import drop_near_duplicates
 from quillspark.llm.toxicity import score_documents
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHashes of five-word shingles are linked by at most five differing bits, one stays."""
-    return drop_near_duplicates(docs, shingle_words=5, max_bits=5)
+    """Of documents linked by a Jaccard similarity of their five-word shingles of 0.8 or more, one stays."""
+    return drop_near_copies(docs, shingle_words=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: None: neither trained models nor 64-bit SimHashes can be said in SQL; tests hold the stages against plain versions.
+#: None: neither trained models nor min-hash bands can be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

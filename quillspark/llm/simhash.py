@@ -19,19 +19,23 @@ SMALL, LARGE = 64, 2048
 BROADCAST_ROWS = 500_000
 
 
+def word_shingles(text: str | None, shingle_words: int) -> list[bytes]:
+    """The word shingles of a text in order; one of all words if there are no more than shingle_words, none without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
+    if len(w) <= shingle_words:
+        return [b" ".join(w)] if w else []
+    line = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = shingle_words - 1
+    return [line[a:b] for a, b in zip(starts[:-k].tolist() if k else starts.tolist(), ends[k:].tolist(), strict=True)]
+
+
 def fingerprint_bytes(text: str | None, shingle_words: int, seeds: list[int]) -> list[int]:
     """One 64-bit SimHash for each seed, as signed longs, of the word shingles of a text, repeats included."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
-    if not w:
+    shingles = word_shingles(text, shingle_words)
+    if not shingles:
         return [0] * len(seeds)
-    if len(w) <= shingle_words:
-        shingles = [b" ".join(w)]
-    else:
-        line = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        k = shingle_words - 1
-        shingles = [line[a:b] for a, b in zip(starts[:-k].tolist() if k else starts.tolist(), ends[k:].tolist(), strict=True)]
     out = []
     for seed in seeds:
         ones = np.zeros(64, np.int64)
