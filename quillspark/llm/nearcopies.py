@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose pairs, whole shingle sets decide."""
+"""Near copies by SimHash candidates: shared one-wildcard signatures propose pairs, whole shingle sets decide by their Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -9,51 +9,52 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, stage_table
-from .simhash import BROADCAST_ROWS, word_shingles
+from .common import connected_components, spare_names, stage_table
+from .simhash import shared_only, signatures, word_shingles
 
-#: BANDS keys of ROWS min-hashes each: two sets of similarity 0.8 share a key in all but (1 - 0.8 ** 5) ** 20 = 0.0004 of cases.
-BANDS, ROWS = 20, 5
+#: Independent fingerprints of a text's different words, two segments of 32 bits each; sets that share a signature of any are candidates.
+TABLES = 4
 #: All pairs of a key are compared where at most so many of its sets are outside the component of one of them.
 SMALL = 64
 KEYS = ["sim_id", "sim_no", "sim_h"]
+PRINTS = 1 << 12
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's different shingles."""
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in word_shingles(text, shingle_words)), np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in set(word_shingles(text, shingle_words))), np.uint64))
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One signed long for each band, of the least values of its hash functions over the set."""
-    if not len(hashes):
-        return []
-    rng = np.random.default_rng(42)
-    mul, add = rng.integers(0, 1 << 64, (2, bands * rows, 1), np.uint64)
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        least = np.minimum(least, ((mul | np.uint64(1)) * hashes[None, at : at + (1 << 12)] + add).min(axis=1))
-    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), j)).view(np.int64)) for j, r in enumerate(least.reshape(bands, rows))]
+def word_prints(text: str | None, tables: int) -> list[int]:
+    """`tables` SimHashes, as signed longs, of the different words of a text; zeros without words."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * tables
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    odd = np.random.default_rng(42).integers(0, 1 << 63, (tables, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    ones = np.zeros((tables, 64), np.int64)
+    for at in range(0, len(h), PRINTS):  # bounded memory for very long texts
+        x = h[None, at : at + PRINTS] * odd
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(tables, -1, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1).view(">i8")[:, 0].tolist()
 
 
-def _node(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
-
-
-def _bands(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """KEYS, the node (one for all texts of one shingle set), the set's size and its band keys. No shuffle."""
+def _prints(docs: DataFrame, shingle_words: int, tables: int) -> DataFrame:
+    """KEYS, the node (one for all texts of one shingle set), the set's size and the fingerprints. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, bands = [], [], []
+            node, size, fps = [], [], []
             for t in b.column("text"):
-                h = shingle_set(t.as_py(), shingle_words)
-                node.append(_node(h))
+                text = t.as_py()
+                h = shingle_set(text, shingle_words)
+                node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
-                bands.append(band_keys(h))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=[*KEYS, "node", "size", "bands"])
+                fps.append(word_prints(text, tables))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=[*KEYS, "node", "size", "fps"])
 
-    return docs.select(*KEYS, "text").mapInArrow(run, "sim_id bigint, sim_no boolean, sim_h bigint, node bigint, size bigint, bands array<bigint>")
+    return docs.select(*KEYS, "text").mapInArrow(run, "sim_id bigint, sim_no boolean, sim_h bigint, node bigint, size int, fps array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -75,14 +76,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return p.where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
-def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes of members (key, node, size) that share a key and have that similarity.
+def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size): for each node the rarest of its shingles, so many that any two sets of that similarity share one.
+
+    Shingles stand in one order for all, by how many of the nodes have them; of a set of n, all but the last
+    similarity * n, rounded up, and one more are taken. What one node alone has gives no key but fills its place.
+    """
+    s = nodes.join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    line = s.join(n, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("line"))  # of one text
+    first = F.slice("line", F.lit(1), F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1)
+    return line.select("node", "size", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("x.key", "node", "size")
+
+
+def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool = False) -> DataFrame:
+    """Edges (a, b) that connect all nodes of members (key, node, size) which share a key and have that similarity.
 
     First each set is compared with one of its key, the hub. After that only pairs in different components matter: all
-    of a key's, where few sets are outside the hub's component; else another hub is tried for as long as that links
-    something anywhere. Every comparison is of whole sets, and no key makes more than SMALL pairs a set in a round.
+    of a key's, where at most SMALL sets are outside the hub's component; else other hubs are tried for as long as
+    they link something. What then is left of crowded keys is dealt anew by the rarest shingles (rare: these are the
+    keys), which any two similar sets share, and there all pairs in different components are compared. No similar pair
+    of a key is left out.
     """
-    links, turn = None, 0
+    links, turn, small = None, 0, SMALL
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     while True:
         if links is None:
@@ -94,43 +110,50 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         hubs = m.groupBy("key").agg(F.min(first).alias("hub"))
         outside = stage_table(m.join(hubs, "key").where("part <> hub.part"), "outside")
         if outside.isEmpty():
-            break
+            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         pairs = outside.where(fits(F.col("size"), F.col("hub.size"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
         if turn:
             n = stage_table(outside.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "open")
-            few = outside.join(n.where(f"n <= {SMALL}").select("key"), "key").alias("l").join(m.alias("r"), "key")
+            done = n if small is None else n.where(f"n <= {small}")
+            few = outside.join(done.select("key"), "key").alias("l").join(m.alias("r"), "key")
             few = few.where((F.col("l.part") != F.col("r.part")) & fits(F.col("l.size"), F.col("r.size")))
             pairs = pairs.unionByName(few.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
         new = stage_table(_confirmed(pairs, sets, similarity), "links")
         none = new.isEmpty()
         links = new if links is None else links.unionByName(new)
         if turn:
-            members = members.join(n.where(f"n > {SMALL}").select("key"), "key", "left_semi")
-            if none:
-                break
+            if small is None:
+                return links
+            members = stage_table(members.join(n.where(f"n > {small}").select("key"), "key", "left_semi"), "members")
+            if none and members.isEmpty():
+                return links
+            if none and rare:
+                small = None
+            elif none:
+                again = stage_table(rare_shingles(members.select("node").distinct(), sets, similarity), "rare")
+                return links.unionByName(set_links(again, sets, similarity, rare=True))
         turn += 1
-    return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
-def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """docs without all but one document of each group linked by shingle sets of that Jaccard similarity or more.
 
-    The one with the smallest doc_id stays. Rows that repeat the kept doc_id and text are one document and stay once. A
-    group without any doc_id keeps the text with the smallest hash. Texts without words are one group. All columns of
-    docs stay.
+    Candidates share a one-wildcard signature of one of `tables` SimHashes of their words. The document with the
+    smallest doc_id stays. Rows that repeat the kept doc_id and text are one document and stay once. A group without
+    any doc_id keeps the text with the smallest hash. Texts without words are one group. All columns of docs stay.
     """
+    mine = spare_names(docs, *KEYS)
     h, no = F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").isNull()
-    keyed = docs.withColumns({"sim_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), "sim_no": no, "sim_h": h})
-    rows = stage_table(_bands(keyed, shingle_words), "bands")
-    reps = rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"))
-    each = rows.join(reps.select("x.*"), KEYS, "left_semi").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("key"))
-    each = stage_table(each.select("key", "node", "size"), "keys")
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stage_table(each.join(shared, "key"), "members")
-    asked = stage_table(reps.join(members.select("node").distinct(), "node").select("node", "x.*"), "asked")
-    texts = keyed.select(*KEYS, "text").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, KEYS)
+    named = docs.withColumns(dict(zip(mine, [F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), no, h], strict=True)))
+    keyed = named.select(*[F.col(m).alias(k) for m, k in zip(mine, KEYS, strict=True)], "text")
+    rows = stage_table(_prints(keyed, shingle_words, tables), "prints")
+    reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
+    prints = reps.where("size > 0").select("node", "size", F.posexplode("fps").alias("table", "fp"))
+    members = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node", "size"), "members")
+    asked = reps.join(members.select("node").distinct(), "node").select("node", "x.*")
+    texts = keyed.join(asked.hint("merge"), KEYS)  # the same join at every size
     sets = stage_table(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
     comp = connected_components(set_links(members, sets, similarity))
-    low = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = low.groupBy("component").agg(F.min("x").alias("x")).select("x.*")
-    return keyed.join(keep, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
+    low = reps.select("node", "x").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keep = low.groupBy("component").agg(F.min("x").alias("x")).select("x.*").toDF(*mine)
+    return named.join(keep, mine, "left_semi").dropDuplicates(mine).select(*docs.columns)

@@ -10,13 +10,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, partitions, stage_table
+from .common import connected_components, partitions, spare_names, stage_table
 
 #: Signatures with more fingerprints than SMALL are looked at more closely: their fingerprints are first linked through
 #: shared neighbours. Those with more than LARGE are linked only that way, without comparing pairs.
 SMALL, LARGE = 64, 2048
-#: Shared signatures (16 bytes each) are broadcast up to so many; beyond that they are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def word_shingles(text: str | None, shingle_words: int) -> list[bytes]:
@@ -63,22 +61,23 @@ def fingerprints(docs: DataFrame, keys: list[str], shingle_words: int = 5, table
 
 
 def signatures(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(sig, node, fp): the fingerprint cut into max_bits // 2 + 1 segments (two at least), of which one differs by at most a bit.
+    """(sig, node and what else fps has): the fingerprint cut into max_bits // 2 + 1 segments (two at least), of which one differs by at most a bit.
 
-    Each segment gives one signature as it is and one for each of its bits with that bit deleted. Two fingerprints
-    within max_bits share the first of some segment, or the second with the bit set in one and clear in the other.
-    sig holds the table, the segment, the deleted bit (64: none) and what is left of the segment.
+    A segment gives one signature for each choice of a wildcard bit. A wildcard reads as clear, so all choices of a bit
+    that is clear are the segment itself, and half as many signatures remain as there are bits. Two fingerprints within
+    max_bits share a signature: of two segments that differ in one bit, the one that has it set names the other.
     """
     n = max(2, max_bits // 2 + 1)
     at = [64 * i // n for i in range(n + 1)]
     keys = []
     for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         seg = F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1)
-        keys.append(F.struct(F.lit((s << 7) + 64).alias("k"), seg.alias("v")))
-        keys += [F.struct(F.lit((s << 7) + i).alias("k"), seg.bitwiseAND(((1 << (b - a)) - 1) & ~(1 << i)).alias("v")) for i in range(b - a)]
-    x = F.explode(F.array(*keys)).alias("x")
-    # segments have 43 bits at most where there are two or more, so table, segment, bit and rest fit a long
-    return fps.select("table", "node", "fp", x).select(((F.col("table") * 1024 + F.col("x.k")) * (1 << 44) + F.col("x.v")).alias("sig"), "node", "fp")
+        # segments have 32 bits at most, so table, segment and what is left of it fit a long
+        name = lambda v, s=s: (F.col("table") * 64 + s) * (1 << 32) + v
+        keys.append(name(seg))
+        keys += [F.when(seg.bitwiseAND(1 << i) != 0, name(seg - (1 << i))) for i in range(b - a)]
+    rest = [c for c in fps.columns if c != "table"]
+    return fps.select(F.explode(F.array(*keys)).alias("sig"), *rest).where("sig is not null")
 
 
 def _ball(fp, radius: int) -> F.Column:
@@ -101,6 +100,12 @@ def neighbour_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return z.join(hub, ["table", "z"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def shared_only(sig: DataFrame) -> DataFrame:
+    """The rows of sig whose signature another row has too, with their number n. Counts are summed before they move."""
+    count = stage_table(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
+    return sig.join(count.hint("merge"), "sig")  # the same join at every size
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Edges (a, b) between nodes such that components equal those of `any table's fingerprints within max_bits`.
 
@@ -111,8 +116,6 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     """
     fps = stage_table(fps.repartition(partitions(fps.sparkSession), "node"), "fps")
     sig = signatures(fps, max_bits)
-    count = stage_table(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
-    shared = F.broadcast(count) if count.count() <= BROADCAST_ROWS else count
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
 
     def pairs(members: DataFrame, apart) -> DataFrame:
@@ -120,16 +123,16 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
         on = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.fp") < F.col("r.fp")) & close(F.col("l.fp"), F.col("r.fp")) & apart
         return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
-    members = stage_table(sig.join(shared, "sig"), "members")
+    members = stage_table(shared_only(sig), "members")
     edges = pairs(members.where(f"n <= {SMALL}"), F.lit(True))
     crowded = stage_table(members.where(f"n > {SMALL}"), "crowded")
     if not crowded.isEmpty():
-        inside = stage_table(crowded.select(F.shiftright("sig", 54).cast("int").alias("table"), "node", "fp").distinct(), "inside")
+        inside = stage_table(crowded.select(F.shiftright("sig", 38).cast("int").alias("table"), "node", "fp").distinct(), "inside")
         near = stage_table(neighbour_links(inside, min(2, max_bits)), "near")
         part = connected_components(near)
         known = crowded.where(f"n <= {LARGE}").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         edges = edges.unionByName(near).unionByName(pairs(known, F.col("l.part") != F.col("r.part")))
-        large = crowded.where(f"n > {LARGE}").select(F.shiftright("sig", 54).cast("int").alias("table"), "node", "fp").distinct()
+        large = crowded.where(f"n > {LARGE}").select(F.shiftright("sig", 38).cast("int").alias("table"), "node", "fp").distinct()
         if max_bits > 2 and not large.isEmpty():
             edges = edges.unionByName(neighbour_links(large, max_bits))
     return stage_table(edges, "links")
@@ -165,8 +168,9 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int
     Rows that repeat the kept doc_id and text are one document and stay once. A group without any doc_id keeps the
     text with the smallest hash. All columns of docs stay.
     """
+    keys = spare_names(docs, "sim_id", "sim_no", "sim_h")
     h, no = F.xxhash64(F.coalesce(text, F.lit(""))), F.col("doc_id").isNull()
-    keyed = docs.withColumns({"sim_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), "sim_no": no, "sim_h": h})
-    found = near_duplicates(keyed, ["sim_id", "sim_no", "sim_h"], shingle_words, max_bits, tables, text, "sim_id")
-    keep = found.groupBy("component_id").agg(F.min(F.struct("sim_id", "sim_no", "sim_h")).alias("x")).select("x.*")
-    return keyed.join(keep, ["sim_id", "sim_no", "sim_h"], "left_semi").dropDuplicates(["sim_id", "sim_no", "sim_h"]).select(*docs.columns)
+    keyed = docs.withColumns(dict(zip(keys, [F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), no, h], strict=True)))
+    found = near_duplicates(keyed, keys, shingle_words, max_bits, tables, text, keys[0])
+    keep = found.groupBy("component_id").agg(F.min(F.struct(*keys)).alias("x")).select("x.*")
+    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -66,10 +66,33 @@ def test_groups_equal_brute_force_also_when_crowded(spark, monkeypatch):
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
     want = {root(i) for i in range(len(texts))}
-    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    df = spark.createDataFrame([(i, t, "s", "mine", -1) for i, t in enumerate(texts)], DOCS + ", SIM_ID string, node int")
     for small in (64, 3):
         monkeypatch.setattr(N, "SMALL", small)
-        assert {r["doc_id"] for r in N.drop_near_copies(df).collect()} == want
+        got = N.drop_near_copies(df, tables=8).collect()
+        assert {r["doc_id"] for r in got} == want and all((r["SIM_ID"], r["node"], r["text"]) == ("mine", -1, texts[r["doc_id"]]) for r in got)
     same = spark.createDataFrame([(5, "a b c d e f", "x"), (3, "a b c d e f", "y"), (3, "a b c d e f", "y"), (None, "a b c d e f", "z")], DOCS)
     assert [r["doc_id"] for r in N.drop_near_copies(same).collect()] == [3]
     assert N.drop_near_copies(df.where("false")).collect() == []
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Sets that share one key: a few similar pairs among many that share a long passage and are not similar."""
+    rng = random.Random(41)
+    passage = " ".join(word(rng) for _ in range(100))
+    texts = [f"{passage} {' '.join(word(rng) for _ in range(40))}" for _ in range(60)]
+    texts += [edited(rng, t, 1) for t in texts[::7]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node bigint, text string")
+    sets = N.stage_table(N._sets(docs, 5))
+    members = sets.selectExpr("1L key", "node", "size(hashes) size")
+    monkeypatch.setattr(N, "SMALL", 4)
+    got = {(r["a"], r["b"]) for r in N.set_links(members, sets, 0.8).collect()}
+    assert {(min(p), max(p)) for p in got} == {(a, b) for b in range(len(texts)) for a in range(b) if jaccard(texts[a], texts[b]) >= 0.8}
+
+
+def test_random_texts_make_few_candidates(spark):
+    """Chance pairs must not grow with the square of the documents: no unrelated text is compared at all here."""
+    rng = random.Random(43)
+    rows = [(i, " ".join(word(rng) for _ in range(rng.randrange(20, 200)))) for i in range(3000)]
+    prints = spark.createDataFrame([(i, 1, N.word_prints(t, N.TABLES)) for i, t in rows], "node bigint, size int, fps array<bigint>").selectExpr("node", "size", "posexplode(fps) as (table, fp)")
+    assert N.shared_only(N.signatures(prints, 3)).count() <= 30
