@@ -40,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: None: neither trained models nor min-hash bands can be said in SQL; tests hold the stages against plain versions.
+#: None: neither trained models nor fingerprints can be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
