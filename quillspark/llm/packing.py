@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import spare_names, stage_table
@@ -20,15 +21,16 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP = 32_768
 #: Large pieces have more than capacity / SMALL tokens; their lengths are rounded up within SIZES groups.
 SMALL, SIZES = 8, 24
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _END_MARKS = ".,!?;:%&$#*|-"
 _CACHE_WORDS = 1_500_000
 
 
 class Ids:
-    """Token ids of whole texts as little-endian 32-bit bytes, the same as the tokenizer gives.
+    """Token ids of whole texts, the same as the tokenizer gives.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so words are looked up one by one.
+    The tokenizer drops white space and never joins what stands on both sides of it, nor letters and marks, so words are
+    numbered once for many texts and looked up, a word of plain letters in lower case and without the marks behind it.
     New words of plain letters are encoded many at once, without the normalizer, which leaves them as they are; all
     else, and any text with something like a special token, goes through the tokenizer itself.
     """
@@ -45,55 +47,79 @@ class Ids:
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.light = Tokenizer.from_str(json.dumps(spec)) if self.by_word else None
         self.closes = np.array([str(self.whole.id_to_token(i)).endswith("</w>") for i in range(self.whole.get_vocab_size())])
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        # texts with these go through the tokenizer whole: special tokens, and controls that are no white space to it
+        self.apart = "|".join([*(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()), r"[\x1c-\x1f]"])
+        self._forget()
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {"": 0}
+        self.pool, self.sizes = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]  # the ids and lengths of the codes, in blocks
 
-    def _learn(self, words: list[str]) -> None:
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.codes)
+        self.codes.update(zip(words, range(n, n + len(words)), strict=True))
+        self.pool.append(ids)
+        self.sizes.append(sizes)
+
+    def _learn(self, words: list[str], letters: bool) -> None:
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            ids = np.array(self.light.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):  # a token that looks like a word's end within one
-                self.cache.update((w, self._plain(w)) for w in part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(part, ends.tolist(), strict=True):
-                self.cache[w] = raw[4 * at : 4 * e]
-                at = e
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-        split: list[list[str] | None] = []
-        fresh: set[str] = set()
-        for t in texts:
-            if not self.by_word or any(s in t for s in self.specials) or re.search("[\x1c-\x1f]", t):
-                split.append(None)
-                continue
-            ws = t.split()
-            split.append(ws)
-            fresh.update(ws)
-        fresh = {w for w in fresh if w not in cache}
-        if fresh:
-            parts, cores = {}, set()
-            for w in fresh:
-                core = w.rstrip(_END_MARKS)
-                low = core.lower()
-                if _PLAIN.fullmatch(low) and len(low) == len(core):
-                    parts[w] = (low, w[len(core) :])
-                    cores.add(low)
-                else:
-                    cache[w] = self._plain(w)
-            self._learn([c for c in cores if c not in cache])
-            for w, (core, marks) in parts.items():
-                if marks and marks not in cache:
-                    cache[marks] = self._plain(marks)
-                cache[w] = cache[core] + cache[marks] if marks else cache[core]
-        return [self._plain(t) if ws is None else b"".join(map(cache.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+            if letters:
+                ids = np.array(self.light.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):  # else some token looks like a word's end within one
+                    self._add(part, ids, np.diff(ends, prepend=0))
+                    continue
+            each = [self._plain(w) for w in part]
+            self._add(part, np.concatenate(each), np.array([len(e) for e in each]))
+
+    def _code(self, words: pa.Array, letters: pa.Array | None) -> np.ndarray:
+        """The code of each word; the new ones are learnt."""
+        known = words.dictionary_encode()
+        each = known.dictionary.to_pylist()
+        if fresh := [w for w, c in zip(each, map(self.codes.get, each), strict=True) if c is None]:
+            if letters is None:
+                self._learn(fresh, False)
+            else:
+                is_plain = pc.match_substring_regex(pa.array(fresh, pa.string()), _PLAIN).to_numpy(zero_copy_only=False)
+                self._learn([w for w, p in zip(fresh, is_plain.tolist(), strict=True) if p], True)
+                self._learn([w for w, p in zip(fresh, is_plain.tolist(), strict=True) if not p], False)
+        return np.fromiter(map(self.codes.__getitem__, each), np.int64, len(each))[known.indices.to_numpy()]
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts in a row, each closed by end, and where each text begins, one more for the last end."""
+        if len(self.codes) > _CACHE_WORDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.apart) if self.by_word else pa.array([True] * len(texts))
+        lists = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        words = lists.flatten().dictionary_encode()
+        number, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+        core = pc.utf8_rtrim(words, characters=_END_MARKS)
+        letters = pc.match_substring_regex(core, _PLAIN)
+        marked = pc.and_(letters, pc.not_equal(core, words))
+        marks = pc.extract_regex(words.filter(marked), pattern="(?P<m>[.,!?;:%&$#*|-]+)$").field("m")
+        main = self._code(pc.if_else(letters, pc.utf8_lower(core), words), letters)
+        after = np.zeros(len(words), np.int64)
+        after[marked.to_numpy(zero_copy_only=False)] = self._code(marks, None)
+        pair = np.stack([main[number], after[number]], axis=1).ravel()
+        # texts taken whole, then ends, stand behind each text's words
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        apart = [*(self._plain(texts[int(i)].as_py()) for i in alone), np.array([end], "<u4")]
+        n = len(self.codes)
+        ends = 2 * (lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+        codes = np.insert(pair, np.concatenate((ends[alone + 1], ends[1:])), np.concatenate((n + np.arange(len(alone)), np.full(len(texts), n + len(alone)))))
+        per_text = np.diff(ends) + 1 + np.isin(np.arange(len(texts)), alone)
+        self.pool, self.sizes = [np.concatenate(self.pool)], [np.concatenate(self.sizes)]
+        pool, sizes = np.concatenate([*self.pool, *apart]), np.concatenate([*self.sizes, [len(x) for x in apart]])
+        length = sizes[codes]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        first = np.cumsum(sizes) - sizes
+        ids = pool[np.repeat(first[codes] - upto[:-1], length) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate(([0], np.cumsum(per_text)))]
 
 
 _IDS: dict[str, Ids] = {}
@@ -115,18 +141,19 @@ def token_pieces(docs: DataFrame, keys: list[str], tokenizer: str | None = None,
             path = public_tokenizers.path(TOKENIZER)
         if path not in _IDS:
             _IDS[path] = Ids(path)
-        end = END_ID.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = _IDS[path]([t.as_py() or "" for t in part.column("pack_text")])
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, raw in enumerate(found):
-                    raw += end
-                    for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[a : a + 4 * capacity]
-                        row.append(i), piece.append(k), start.append(a // 4), length.append(len(cut) // 4), ids.append(cut)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row, pa.int32())) for k in keys), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*keys, "piece", "start", "length", "ids"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                ids, ends = _IDS[path](part.column("pack_text"), END_ID)
+                total = np.diff(ends)
+                n = -(-total // capacity)
+                row = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(total[row] - start, capacity)
+                cuts = pa.py_buffer(np.append(ends[row] + start, ends[-1]) * 4)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(row), [None, cuts, pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in keys), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), raw], names=[*keys, "piece", "start", "length", "ids"])
 
     rows = docs.select(*keys, F.col(text).alias("pack_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -241,12 +268,13 @@ def plan_packing(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP
 
 
 def pack_documents(docs: DataFrame, keys: list[str] = ("doc_id",), capacity: int = CAPACITY, group: int = GROUP, tokenizer: str | None = None) -> DataFrame:
-    """keys, piece, start, length, ids, sequence_id and offset of each piece: as few sequences as best fit finds.
+    """keys, piece, start, length, ids, ids_crc32, sequence_id and offset of each piece: as few sequences as best fit finds.
 
     Every row of docs is packed, repeated ones as often as they come; null texts are empty and take one id; no rows
     give no pieces. Offsets in a sequence are gapless from 0. Other columns of docs are not read.
     """
     uid, tie = "uid", F.xxhash64(*keys, "piece", "length")
-    tokens = stage_table(token_pieces(docs, list(keys), tokenizer, capacity).withColumn(uid, F.monotonically_increasing_id()), "tokens")
+    tokens = token_pieces(docs, list(keys), tokenizer, capacity).withColumns({"ids_crc32": F.crc32("ids"), uid: F.monotonically_increasing_id()})
+    tokens = stage_table(tokens, "tokens")  # whoever drops ids from the result reads and moves none
     plan = stage_table(plan_packing(tokens.select(uid, "length", tie.alias("tie")), capacity, group), "plan")
     return tokens.join(plan, uid).drop(uid)

@@ -64,7 +64,7 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_read(spark, sf_dir, "documents"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_ids_equal_the_tokenizers_and_pieces_are_right(spark):
         assert [r["piece"] for r in ps] == list(range(len(ps)))
         assert np.frombuffer(b"".join(r["ids"] for r in ps), "<u4").tolist() == ids
         assert [r["start"] for r in ps] == list(range(0, len(ids), K.CAPACITY)) and all(r["length"] == K.CAPACITY for r in ps[:-1])
-        assert zlib.crc32(ps[0]["ids"]) == zlib.crc32(np.array(ids[: K.CAPACITY], "<u4").tobytes())
+        assert ps[0]["ids_crc32"] == zlib.crc32(ps[0]["ids"]) == zlib.crc32(np.array(ids[: K.CAPACITY], "<u4").tobytes())
         for r in ps:
             seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     total = 0
