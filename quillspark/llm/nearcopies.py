@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,18 @@ def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in set(word_shingles(text, shingle_words))), np.uint64))
 
 
+@cache
+def _odd(tables: int) -> np.ndarray:
+    return np.random.default_rng(42).integers(0, 1 << 63, (tables, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def word_prints(text: str | None, tables: int) -> list[int]:
     """`tables` SimHashes, as signed longs, of the different words of a text; zeros without words."""
     words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not words:
         return [0] * tables
     h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    odd = np.random.default_rng(42).integers(0, 1 << 63, (tables, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = _odd(tables)
     ones = np.zeros((tables, 64), np.int64)
     for at in range(0, len(h), PRINTS):  # bounded memory for very long texts
         x = h[None, at : at + PRINTS] * odd

@@ -23,7 +23,7 @@ GROUP = 32_768
 SMALL, SIZES = 8, 24
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _END_MARKS = ".,!?;:%&$#*|-"
-_CACHE_WORDS = 1_500_000
+_CACHE_WORDS = 1_000_000
 
 
 class Ids:
