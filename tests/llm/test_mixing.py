@@ -28,11 +28,12 @@ def rows(seed=3):
 
 def test_targets_and_words_taken(spark):
     df = spark.createDataFrame(rows(), "doc_id bigint, source string, text string")
+    text = {i: t for i, _, t in rows()}
     got = M.plan_mix(df).collect()
     size, taken, target, largest = {}, {}, {}, {}
     for r in got:
         s = r["source"]
-        assert r["size"] == len((r["text"] or "").split()) and r["copies"] in (0, 1, 2)
+        assert r["size"] == len((text[r["doc_id"]] or "").split()) and r["copies"] in (0, 1, 2)
         size[s] = size.get(s, 0) + r["size"]
         taken[s] = taken.get(s, 0) + r["size"] * r["copies"]
         target[s], largest[s] = r["target"], max(largest.get(s, 0), r["size"])
@@ -52,3 +53,16 @@ def test_mix_emits_copies_and_keeps_columns(spark):
     plan = {r["doc_id"]: r["copies"] for r in M.plan_mix(df).collect()}
     assert out.count() == sum(plan.values())
     assert M.mix_sources(df.where("false")).collect() == []
+
+
+def test_the_mix_is_the_plan_also_for_equal_rows(spark):
+    """Rows that are wholly equal share their copies; whatever column tells rows apart, reruns agree."""
+    data = [(i % 7, "a" if i % 3 else None, "x " * (i % 4), float(i % 2), {"k": i % 2}) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, text string, w double, mix_copy map<string,int>")
+    count = lambda d: sorted((r["doc_id"], r["source"] or "", r["text"], r["w"], str(r["mix_copy"])) for r in d.collect())
+    got = count(M.mix_sources(df))
+    assert got == count(M.mix_sources(df.repartition(5)))
+    plan = M.plan_mix(df)
+    assert "text" not in plan.columns and plan.count() == 400 and len(got) == plan.agg({"copies": "sum"}).first()[0]
+    words = sum(len(r[2].split()) for r in got)
+    assert abs(words - 1.5 * sum(len(t.split()) for _, _, t, _, _ in data)) <= 2 * 2 * 3
