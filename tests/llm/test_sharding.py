@@ -40,3 +40,19 @@ def test_groups_stay_together_and_counts_are_even(spark):
 def test_small_and_empty(spark):
     for rows in ([], [(1, "a")], [(i, "same") for i in range(10)]):
         check(rows, H.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(1, "a", 5), (1, "b", 6), (1, "a", 7), (None, "a", 8), (None, None, 9), (None, None, 9), (2, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, at int").selectExpr("*", "'mine' slot", "0 spans")
+    H.write_shards(docs, H.shard_documents(docs, 2), f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["at"]) for r in got))) == sorted(map(str, rows))
+    check(rows, got, 2)
+
+
+def test_shard_rows_keeps_columns_with_clashing_names(spark):
+    df = spark.range(50).selectExpr("id", "id % 5 link", "id row_tie", "-id at", "'x' spans", "id shard", "id slot", "id link_at")
+    got = H.shard_rows(df).collect()
+    check([0] * 50, got)
+    assert all(r["row_tie"] == r["id"] == -r["at"] == r["link_at"] and r["spans"] == "x" for r in got) and len({r["id"] for r in got}) == 50
