@@ -55,10 +55,10 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     keys = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
     blocks = flac.decode_media(media, keys)
-    payload = blocks.select(*keys, F.unhex(F.array_join(F.transform("blocks", lambda b: F.hex(b["pcm"])), "")).alias("payload"))
+    payload = blocks.select(*keys, "features", F.unhex(F.array_join(F.transform("blocks", lambda b: F.hex(b["pcm"])), "")).alias("payload"))
     return payload.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", flac.feature(F.col("payload")).alias("feature"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", F.array_join(F.transform("features", lambda x: F.format_number(x, 6)), ":").alias("feature"),
     )
 
 
