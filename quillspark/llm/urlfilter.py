@@ -30,7 +30,7 @@ def url_path(c) -> F.Column:
 
 def canonical_url(c) -> F.Column:
     """Host without a leading www. and path without .html or trailing slashes; scheme, query and fragment go."""
-    host, path = F.regexp_replace(url_host(c), r"^www\.", ""), F.regexp_replace(url_path(c), r"(\.html)?/*$", "")
+    host, path = F.regexp_replace(url_host(c), r"^www\.", ""), F.regexp_replace(F.rtrim(url_path(c), F.lit("/")), r"\.html$", "")
     return F.concat(host, path)
 
 
