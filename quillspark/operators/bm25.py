@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import tokenize
+from ..sources.staging import stage_table
 
 #: A query vocabulary up to this many rows is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -21,14 +22,18 @@ class Index(NamedTuple):
 
 
 def postings(sections: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl). The token array is made once; a section's length is the sum of its counts."""
-    tf = sections.select(F.col(key).alias("key"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("key")))
+    """(key, term, tf, dl). The token array is made once and gives the length; only counted terms are shuffled."""
+    t = sections.select(F.col(key).alias("key"), tokenize(F.col(text)).alias("tokens"))
+    t = t.select("key", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return t.groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("key", "term", "tf", "dl")
 
 
 def bm25_stats(sections: DataFrame, key: str = "key", text: str = "text", eps: float = 0.25) -> Index:
-    """AG1. Negative idf values become eps times the mean idf of the whole vocabulary, negatives included."""
-    post = postings(sections, key, text).persist()
+    """AG1. Negative idf values become eps times the mean idf of the whole vocabulary, negatives included.
+
+    The postings are written once to the shared folder, since statistics and scores both read them.
+    """
+    post = stage_table(postings(sections, key, text), "postings")
     stats = sections.agg(F.count(F.lit(1)).alias("n")).join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")), F.lit(True), "left")
     stats = stats.select("n", (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True), "left")  # one row
@@ -49,7 +54,7 @@ def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.
     The postings are cut to the queries' vocabulary before anything is shuffled.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = q.join(index.terms, "term").persist()
+    q = stage_table(q.join(index.terms, "term"), "question_terms")
     weighted = F.broadcast(q) if q.count() <= BROADCAST_TERMS else q
     s = index.postings.join(weighted, "term").join(F.broadcast(index.stats), F.lit(True), "left")
     part = F.col("idf") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -57,7 +62,7 @@ def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "key")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "key")  # Spark cuts to k before the shuffle as well
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -8,15 +8,26 @@ from ..functions.text import name_tokens
 
 
 def match_docs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """JN1: (query_id, doc_id, overlap): documents whose names share most tokens with a question, at least two.
+    """JN1, ST3: (query_id, doc_id, overlap): documents whose names share most tokens with a question, at least two.
 
-    All documents at the best score stay. Queries without a row here are not filtered at all.
+    All documents at the best score stay. Queries without a row here are not filtered at all. Tokens stand in one order,
+    rarest first; two sets that share two tokens share one that is not the last of either, so the most frequent token
+    of a name or question is no join key. Candidates are verified on their whole token sets.
     """
-    q = queries.select("query_id", F.explode(name_tokens(F.col("text"))).alias("token"))
-    d = docs.select("doc_id", F.explode(name_tokens(F.col("name"))).alias("token"))
-    n = q.join(d, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= 2")
+    q = queries.select("query_id", name_tokens(F.col("text")).alias("asked"))
+    d = docs.select("doc_id", name_tokens(F.col("name")).alias("named"))
+    n = d.select(F.explode("named").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def keys(side: DataFrame, key: str, tokens: str) -> DataFrame:
+        t = side.where(F.size(tokens) > 1).select(key, F.explode(tokens).alias("token")).join(n, "token", "left")
+        line = t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("line"))  # of one name
+        return line.select(key, F.explode(F.slice("line", F.lit(1), F.size("line") - 1)).alias("x")).select(key, "x.token")
+
+    pairs = keys(q, "query_id", "asked").join(keys(d, "doc_id", "named"), "token").select("query_id", "doc_id").distinct()
+    overlap = F.size(F.array_intersect("asked", "named"))
+    n_shared = pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", overlap.cast("long").alias("overlap")).where("overlap >= 2")
     best = F.max("overlap").over(Window.partitionBy("query_id"))
-    return n.withColumn("best", best).where("overlap = best").drop("best")
+    return n_shared.withColumn("best", best).where("overlap = best").drop("best")
 
 
 def scope_by_folder(docs: DataFrame, folder: str) -> DataFrame:

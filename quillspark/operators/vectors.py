@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Queries held by a task at once; more are worked on in blocks of this many.
-QUERY_BLOCK = 4096
+#: A task multiplies a block of at most about so many queries with one of so many vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
@@ -39,54 +40,62 @@ def embed(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "text
     return df.withColumn(out, run(F.col(text)))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, scope: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """TK3: (query_id, key, rank, distance): the k nearest by 1 - cosine, the scope, rows (query_id, key), applied first.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, scope: DataFrame | None = None, digits: int = 6, same: str | None = None) -> DataFrame:
+    """TK3: (query_id, key, rank, distance): the k nearest by 1 - cosine.
 
-    A stated set of queries is compared with all vectors in blocks: each task multiplies its Arrow batch with a block of
-    queries and keeps k candidates a query; a window picks the best of all. With a scope, the scoped pairs are joined.
+    A stated set of queries is compared with all vectors in blocks: both sides are dealt into blocks of bounded size,
+    each pair of blocks is a group that one task multiplies, keeping k candidates a query, and the best of all are
+    picked at the end. A scope is applied first: either rows (query_id, key), whose pairs are joined, or same, a column
+    of both sides that must be equal, which is applied within the blocks.
     """
-    q = queries.select("query_id", "embedding")
-    if scope is not None:
-        pairs = scope.join(q, "query_id").join(vectors.select("key", F.col("embedding").alias("other")), "key")
-        near = pairs.select("query_id", "key", F.round(1 - _cosine("embedding", "other"), digits).alias("distance"))
-    else:
-        near = None
-        rows = q.orderBy("query_id").toLocalIterator()  # the stated query set, a block at a time
-        while block := [r for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
-            part = _block_topk(block, vectors, k, digits)
-            near = part if near is None else near.unionByName(part)
-        if near is None:
-            near = q.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "key")
+    more = [same] if same else []
+    q = queries.select("query_id", "embedding", *more)
+    near = _pair_distances(q, vectors, scope, digits) if scope is not None else _block_topk(q, vectors.select("key", "embedding", *more), k, digits, same)
+    w = Window.partitionBy("query_id").orderBy("distance", "key")  # Spark cuts to k before the shuffle as well
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "key", "rank", "distance")
 
 
+def _pair_distances(q: DataFrame, vectors: DataFrame, pairs: DataFrame, digits: int) -> DataFrame:
+    pairs = pairs.join(q, "query_id").join(vectors.select("key", F.col("embedding").alias("other")), "key")
+    return pairs.select("query_id", "key", F.round(1 - _cosine("embedding", "other"), digits).alias("distance"))
+
+
 def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def _block_topk(block: list, vectors: DataFrame, k: int, digits: int) -> DataFrame:
-    ids = np.array([r["query_id"] for r in block])
-    m = np.array([r["embedding"] for r in block], float)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, m))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b["embedding"].tolist(), float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            keys = b["key"].to_numpy()
-            d = np.round(1 - m @ x.T, digits) + 0.0  # no negative zero
-            for i in range(len(ids)):
-                order = np.lexsort((keys, d[i]))[:k] if len(keys) <= 4 * k else _few(d[i], keys, k)
-                yield pd.DataFrame({"query_id": ids[i], "key": keys[order], "distance": d[i][order]})
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
 
+def _block_topk(q: DataFrame, vectors: DataFrame, k: int, digits: int, same: str | None) -> DataFrame:
+    """k candidates of each block of vectors for each query: a row of blocks for each side, met by an equality join on the pair."""
+    n_q, n_v = q.count(), vectors.count()
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    a = max(1, -(-n_q // QUERY_BLOCK))
+    b = max(1, -(-n_v // VECTOR_BLOCK), min(cores, n_v // 512) // a)
     kinds = dict(vectors.dtypes)
-    return vectors.select("key", "embedding").mapInPandas(search, f"query_id bigint, key {kinds['key']}, distance double")
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, keys = left["query_id"].to_numpy(), right["key"].to_numpy()
+        if not len(ids) or not len(keys):
+            return pa.table({"query_id": pa.array([], left.schema.field("query_id").type), "key": pa.array([], right.schema.field("key").type), "distance": pa.array([], pa.float64())})
+        d = np.round(1 - _unit(left["embedding"]) @ _unit(right["embedding"]).T, digits) + 0.0  # no negative zero
+        if same:
+            d[np.asarray(left[same].to_pylist(), object)[:, None] != np.asarray(right[same].to_pylist(), object)[None, :]] = np.inf
+        picks = [np.lexsort((keys, row))[:k] if len(keys) <= 4 * k else _few(row, keys, k) for row in d]
+        at = np.concatenate(picks)
+        far = np.concatenate([row[p] for row, p in zip(d, picks, strict=True)])
+        t = pa.table({"query_id": left["query_id"].take(pa.array(np.repeat(np.arange(len(ids)), [len(p) for p in picks]))), "key": right["key"].take(pa.array(at)), "distance": far})
+        return t.filter(pa.array(np.isfinite(far)))
+
+    mine = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    theirs = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(b)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    pairs = mine.groupBy("qb", "vb").cogroup(theirs.groupBy("qb", "vb"))
+    return pairs.applyInArrow(best, f"query_id {dict(q.dtypes)['query_id']}, key {kinds['key']}, distance double")
 
 
 def _few(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -95,20 +104,41 @@ def _few(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((keys[near], d[near]))[:k]]
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, tables: int = 12, bits: int = 6, dims: int = 64, seed: int = 7) -> DataFrame:
-    """TK4: like vector_topk, but only among vectors that share a side of `bits` random planes in one of the tables.
+def lsh_bits(rows: int) -> int:
+    """Planes of a table: a bucket holds about 64 of the rows on average, whatever their number."""
+    return max(2, min(24, int(np.log2(max(rows, 1))) - 6))
+
 
-    Sides are compared by equality joins; what they find is ranked by the exact distance.
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, tables: int = 32, bits: int | None = None, probes: int = 2, dims: int = 64, seed: int = 7) -> DataFrame:
+    """TK4: like vector_topk, but only among vectors that share a bucket, a side of each of `bits` planes, in one of the tables.
+
+    Vectors are in one bucket of each table. Queries look into their own and into those beyond any of the `probes`
+    planes that are nearest to them. Buckets are met by equality joins; what they find is ranked by the exact distance.
+    bits: by default lsh_bits of the number of vectors.
     """
+    bits = lsh_bits(vectors.count()) if bits is None else bits
+    probes = min(probes, bits)
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
+    offset = np.arange(tables, dtype=np.int64) << 32
+
+    def sides(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        at = np.einsum("tbd,nd->ntb", planes, np.array(v.tolist(), float).reshape(-1, dims))
+        return at, ((at > 0).astype(np.int64) << np.arange(bits)).sum(axis=2) + offset
+
+    @F.pandas_udf("array<bigint>")
+    def bucket(v: pd.Series) -> pd.Series:
+        return pd.Series(list(sides(v)[1]))
 
     @F.pandas_udf("array<bigint>")
-    def buckets(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float).reshape(-1, dims)
-        side = np.einsum("tbd,nd->ntb", planes, x) > 0
-        return pd.Series(list((side << np.arange(bits)).sum(axis=2) + (np.arange(tables) << 32)))
-
-    q = queries.select("query_id", F.col("embedding").alias("mine"), F.explode(buckets("embedding")).alias("bucket"))
-    v = vectors.select("key", F.explode(buckets("embedding")).alias("bucket"))
-    pairs = q.select("query_id", "bucket").join(v, "bucket").select("query_id", "key").distinct()
+    def looked_into(v: pd.Series) -> pd.Series:
+        at, own = sides(v)
+        near = np.argsort(np.abs(at), axis=2)[:, :, :probes]
+        flips = [own]
+        for choice in range(1, 1 << probes):
+            flips.append(own ^ sum((1 << near[:, :, j]) for j in range(probes) if choice >> j & 1))
+        return pd.Series(list(np.concatenate(flips, axis=1)))
+
+    q = queries.select("query_id", F.explode(looked_into("embedding")).alias("bucket"))
+    v = vectors.select("key", F.explode(bucket("embedding")).alias("bucket"))
+    pairs = q.join(v, "bucket").select("query_id", "key").distinct()
     return vector_topk(queries, vectors, k, pairs)

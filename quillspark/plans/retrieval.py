@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import coverage_class, relevance_pct
 from ..operators import bm25, catalog, fusion, vectors
+from ..sources.staging import stage_table
 from .registry import query, read
 
 _TOKENS = r"""
@@ -39,7 +40,7 @@ score AS (
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.bm25_stats(read(spark, sf_dir, "documents").repartition("doc_id"), "doc_id")
+    return bm25.bm25_stats(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +118,7 @@ def vector_topk(spark, sf_dir):
 @query(f"WITH {_NEAR} SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank, distance FROM near WHERE label = q_label) WHERE rank <= 12")
 def vector_topk_scoped(spark, sf_dir):
     """TK3 with a scope: vectors of the query's label."""
-    q, v = _seekers(spark, sf_dir), _vectors(spark, sf_dir)
-    return vectors.vector_topk(q, v, 12, q.select("query_id", "label").join(v.select("key", "label"), "label").select("query_id", "key"))
+    return vectors.vector_topk(_seekers(spark, sf_dir), _vectors(spark, sf_dir), 12, same="label")
 
 
 @query()
@@ -136,18 +136,26 @@ def coverage(spark, sf_dir):
     return best.select("query_id", "best_distance", coverage_class(F.col("best_distance")).alias("coverage"), relevance_pct(F.col("best_distance")).alias("relevance"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each seeker asks: the first twelve words of the document with its id."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
+    return d.where("query_id % 20 = 0")
+
+
 def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of sources for each language: by length, several chunks a source, and by id."""
-    d = read(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("key"), "doc_id", "n_chars")
-    w = Window.partitionBy("query_id")
-    vec = d.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")) - 1).where("rank < 40").select("query_id", "key", "doc_id", "rank", (F.col("n_chars") / 1000000).alias("distance"))
-    key = d.withColumn("rank", F.row_number().over(w.orderBy("doc_id")) - 1).where("rank < 30").select("query_id", "key", "doc_id", "rank")
+    """For each seeker the nearest vectors and the best documents for its question, as chunks of 50 sections; ranks from 0."""
+    vec = vectors.vector_topk(_seekers(spark, sf_dir), _vectors(spark, sf_dir), 40).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"), "distance")
+    key = bm25.bm25_topk(_asked(spark, sf_dir), _index(spark, sf_dir), 30).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"))
     return vec, key
 
 
-_RANKINGS = """
-v AS (SELECT * FROM (SELECT lang AS query_id, source AS key, doc_id, n_chars / 1000000 AS distance, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents) WHERE rank < 40),
-b AS (SELECT * FROM (SELECT lang AS query_id, source AS key, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank FROM documents) WHERE rank < 30)"""
+_ASKED_TOKENS = _TOKENS.replace("SELECT item_id AS id, lower(text) AS t FROM benchmark", r"SELECT doc_id AS id, lower(array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')) AS t FROM documents WHERE doc_id % 20 = 0")
+
+_VEC_RANKS = f"""{_NEAR},
+v AS (SELECT query_id, key % 50 AS key, key AS doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS rank FROM near QUALIFY rank < 40)"""
+
+_RANKINGS = f"""{_ASKED_TOKENS}, {_VEC_RANKS},
+b AS (SELECT query_id, doc_id % 50 AS key, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM score QUALIFY rank < 30)"""
 
 
 @query(f"""WITH {_RANKINGS},
@@ -162,14 +170,14 @@ def rrf_fusion(spark, sf_dir):
     return fusion.rrf_fuse(vec, key).select("query_id", "key", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"WITH {_RANKINGS}, d AS (SELECT query_id, key, min(rank) AS rank FROM v GROUP BY ALL) SELECT query_id, string_agg(key, ',' ORDER BY rank) AS sources, count(*) AS n FROM d GROUP BY query_id")
+@query(f"WITH {_VEC_RANKS}, d AS (SELECT query_id, key, min(rank) AS rank FROM v GROUP BY ALL) SELECT query_id, string_agg(key::VARCHAR, ',' ORDER BY rank) AS sections, count(*) AS n FROM d GROUP BY query_id")
 def hit_doc_order(spark, sf_dir):
-    """WN3: distinct sources by first position."""
+    """WN3: distinct sections by first position."""
     vec, _ = _two_rankings(spark, sf_dir)
-    return fusion.hit_docs(vec.select("query_id", F.col("key").alias("doc_id"), "rank")).select("query_id", F.array_join("doc_ids", ",").alias("sources"), F.size("doc_ids").cast("long").alias("n"))
+    return fusion.hit_docs(vec.select("query_id", F.col("key").alias("doc_id"), "rank")).select("query_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("sections"), F.size("doc_ids").cast("long").alias("n"))
 
 
-@query(f"WITH {_RANKINGS} SELECT query_id, key, doc_id, rank FROM v QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1")
+@query(f"WITH {_VEC_RANKS} SELECT query_id, key, doc_id, rank FROM v QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1")
 def section_dedup(spark, sf_dir):
     """WN2: the first hit of each section."""
     vec, _ = _two_rankings(spark, sf_dir)
@@ -204,15 +212,54 @@ def read_budget(spark, sf_dir):
     return out.select("request_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join(F.transform("truncated_ids", lambda x: x.cast("string")), ",").alias("truncated"))
 
 
-@query()
+_HYBRID = f"""{_ASKED_TOKENS}, {_NEAR},
+v AS (SELECT query_id, key, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS r FROM near WHERE query_id IN (SELECT doc_id FROM documents) QUALIFY r < 17),
+b AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r FROM score WHERE query_id IN (SELECT query_id FROM v) QUALIFY r < 17),
+f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.key, b.key) AS key, coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS s, coalesce(distance, 0.5) AS distance
+      FROM v FULL JOIN b ON v.query_id = b.query_id AND v.key = b.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS rank FROM f),
+h AS (SELECT query_id, rank, d.doc_id, d.lang AS doc_name, d.source AS title, d.text, round(distance, 6) AS distance FROM r JOIN documents d ON d.doc_id = r.key WHERE rank <= 12)"""
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    s = d.select(F.col("doc_id").alias("key"), "doc_id", F.lit(0).alias("section_id"), F.col("source").alias("title"), "text")
+    q = _asked(spark, sf_dir).join(_seekers(spark, sf_dir).select("query_id", "embedding"), "query_id")
+    return fusion.hybrid_retrieve(q, _index(spark, sf_dir), _vectors(spark, sf_dir), s, d.select("doc_id", F.col("lang").alias("name")))
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, rank, doc_id, doc_name, title, substr(text, 1, 200) AS snippet, distance FROM h")
 def hybrid_retrieve(spark, sf_dir):
     """CJ1: documents as sections; the vectors of documents are those of the same id."""
+    return _hybrid(spark, sf_dir).select("query_id", "rank", "doc_id", "doc_name", "title", "snippet", F.round("distance", 6).alias("distance"))
+
+
+@query(rf"""WITH {_HYBRID},
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM h),
+c AS (SELECT *, '[片段 ' || i || ': 《' || doc_name || '》 > ' || title || ']' || chr(10) AS header FROM p WHERE text <> ''),
+l AS (SELECT *, 4000 - coalesce(sum(length(header) + length(text)) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(header) - 20 AS room FROM c),
+m AS (SELECT *, min(room) OVER (PARTITION BY query_id ORDER BY i) AS least FROM l),
+x AS (SELECT query_id, string_agg(header || CASE WHEN length(text) > room THEN substr(text, 1, room::BIGINT) || '...' ELSE text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM m WHERE least > 0 GROUP BY query_id),
+a AS (SELECT doc_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ') AS text FROM documents WHERE doc_id % 20 = 0)
+SELECT query_id, md5(CASE WHEN context IS NULL THEN a.text ELSE '参考资料：' || chr(10) || context || chr(10) || chr(10) || '问题：' || a.text END) AS prompt_md5, context IS NOT NULL AS has_context FROM a LEFT JOIN x USING (query_id)""")
+def question_prompts(spark, sf_dir):
+    """CJ2, WN4: the context of each question's hits, up to 4000 characters, in its prompt; questions without hits stay plain."""
+    hits = _hybrid(spark, sf_dir).select("query_id", "rank", "doc_name", "title", "text")
+    context = stage_table(fusion.build_context(hits, 4000), "contexts")
+    out = fusion.build_prompt(_asked(spark, sf_dir), context).join(context.select("query_id", F.lit(True).alias("has")), "query_id", "left")
+    return out.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.coalesce("has", F.lit(False)).alias("has_context"))
+
+
+@query("""SELECT e.vec_id AS chunk_id, d.doc_id, coalesce(nullif(d.source, 'src0'), 'chunk ' || e.vec_id) AS section_title, md5(coalesce(nullif(d.text, ''), 'label ' || e.label)) AS section_md5, d.lang AS doc_name
+FROM (SELECT *, vec_id % 700 AS doc_id FROM embeddings) e LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NOT NULL
+UNION ALL SELECT e.vec_id, e.doc_id, 'chunk ' || e.vec_id, md5('label ' || e.label), NULL FROM (SELECT *, vec_id % 700 AS doc_id FROM embeddings) e WHERE e.doc_id NOT IN (SELECT doc_id FROM documents)""")
+def chunk_sections(spark, sf_dir):
+    """JN3, JN4: vectors as chunks of documents; some sections have no title, some chunks no section."""
     d = read(spark, sf_dir, "documents")
-    s = d.select(F.col("doc_id").alias("key"), "doc_id", F.lit(0).alias("section_id"), F.col("source").alias("title"), "text")
-    v = _vectors(spark, sf_dir)
-    q = v.where("key % 20 = 0").join(d.select(F.col("doc_id").alias("key"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text")), "key").select(F.col("key").alias("query_id"), "text", "embedding")
-    out = fusion.hybrid_retrieve(q, _index(spark, sf_dir), v, s, d.select("doc_id", F.col("lang").alias("name")))
-    return out.select("query_id", "rank", "doc_id", "doc_name", "title", "snippet", F.round("distance", 6).alias("distance"))
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 700).alias("doc_id"), F.lit(0).alias("section_id"), F.concat(F.lit("chunk "), "vec_id").alias("title"), F.concat(F.lit("label "), "label").alias("text"))
+    s = d.select("doc_id", F.lit(0).alias("section_id"), F.when(F.col("source") == "src0", "").otherwise(F.col("source")).alias("title"), "text")
+    out = fusion.attach_names(fusion.attach_sections(chunks, s), d.select("doc_id", F.col("lang").alias("name")))
+    return out.select("chunk_id", "doc_id", "section_title", F.md5(F.col("section_text").cast("binary")).alias("section_md5"), "doc_name")
 
 
 @query()
