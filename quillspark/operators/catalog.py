@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import name_tokens
 
@@ -120,3 +120,18 @@ def sync_index(docs: DataFrame, texts: DataFrame, chunks: DataFrame, sections: D
     for df, name in ((todo, "reindexed"), (restored, "fixed"), (docs, "total")):
         report = report.join(count(df, name), F.lit(True), "left")  # one row each
     return {"chunks": delete_docs(chunks, gone), "sections": delete_docs(sections, gone).unionByName(restored), "to_index": todo, "report": report}
+
+
+def sync_job(spark: SparkSession, base: str, out: str, force: bool = False) -> DataFrame:
+    """SS5: one run of the consistency check over the stored tables docs, texts, chunks, sections and backup below base.
+
+    What sync_index makes of them is written below out, and the report row, which comes back, is added to out/reports
+    with its number. A scheduler calls this as often as it likes: with out as the next base's chunks and sections the
+    job finds nothing left to do.
+    """
+    t = {n: spark.read.parquet(f"{base}/{n}") for n in ("docs", "texts", "chunks", "sections", "backup")}
+    done = sync_index(t["docs"], t["texts"], t["chunks"], t["sections"], t["backup"], force)
+    for name in ("chunks", "sections", "to_index"):
+        done[name].write.mode("overwrite").parquet(f"{out}/{name}")
+    done["report"].withColumn("at", F.current_timestamp()).write.mode("append").json(f"{out}/reports")
+    return done["report"]

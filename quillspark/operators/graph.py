@@ -63,29 +63,34 @@ def resolve_links(pages: DataFrame) -> DataFrame:
     return x.where(~F.exists(F.array(*[F.lit(s) for s in SKIP_ENDINGS]), lambda s: F.endswith(path, s)))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int = 50) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int = 50, links: DataFrame | None = None) -> DataFrame:
     """GR2: (seed, url, depth, ordinal): pages that a breadth-first crawl of the table keeps.
 
-    pages (url, html, text); seeds (seed). Links lead within the seed's host and the folder of its path. Pages are
-    visited once, in the order of their first link; the cap counts pages with text. A level is one join.
+    pages (url, html, text); seeds (seed); links (url, pos, target), if given, are followed beside those in the html.
+    Links lead within the seed's host and the folder of its path. Pages are visited once, in the order of their first
+    link; the cap counts pages with text. A level is one join. A page's place is the list of links that lead to it,
+    which sorts like the visits, so nothing is numbered along the way.
     """
     p = pages.select(normalize_url(F.col("url")).alias("url"), "html", (F.coalesce("text", F.lit("")) != "").alias("has_text")).dropDuplicates(["url"])
-    links = stage_table(resolve_links(pages.select("url", "html")), "links")
+    found = resolve_links(pages.select("url", "html")).select("url", F.col("pos").cast("long").alias("pos"), "target")
+    if links is not None:
+        found = found.unionByName(links.select(normalize_url(F.col("url")).alias("url"), F.col("pos").cast("long").alias("pos"), normalize_url(F.col("target")).alias("target")))
+    found = stage_table(found, "links")
     have = stage_table(p.select("url", "has_text"), "pages")
     s = seeds.select("seed").distinct().withColumn("url", normalize_url(F.col("seed")))
     full = F.regexp_replace(F.when(F.col("seed").rlike("^https?://"), F.col("seed")).otherwise(F.concat(F.lit("https://"), "seed")), r"[?#].*$", "")
     prefix = F.when(full.rlike("^https?://[^/]+/"), F.regexp_replace(full, "[^/]*$", "")).otherwise(F.concat(full, F.lit("/")))
-    s = s.withColumn("prefix", prefix)
-    front = stage_table(s.select("seed", "prefix", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at")), "front")
+    place = lambda pos: F.array(F.struct(pos.alias("pos"), F.col("url").alias("url")))
+    front = stage_table(s.withColumn("prefix", prefix).select("seed", "prefix", "url", F.lit(0).alias("depth"), place(F.lit(0).cast("long")).alias("at")), "front")
     seen = front
     for depth in range(1, max_depth + 1):
         # a page is reached in the order of its parent, then of the link in it
-        step = front.join(links, "url").select("seed", "prefix", F.col("target").alias("url"), F.struct("at", "pos").alias("via"))
+        step = front.join(found, "url").select("seed", "prefix", F.col("target").alias("url"), F.struct("at", "pos").alias("via"))
         step = step.where(F.startswith("url", F.col("prefix")) | (F.concat("url", F.lit("/")) == F.col("prefix"))).groupBy("seed", "prefix", "url").agg(F.min("via").alias("via"))
         step = step.join(have.select("url"), "url", "left_semi").join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
-        order = F.row_number().over(Window.partitionBy("seed").orderBy("via", "url"))
-        front = stage_table(step.select("seed", "prefix", "url", F.lit(depth).alias("depth"), order.cast("long").alias("at")), "front")
+        front = stage_table(step.select("seed", "prefix", "url", F.lit(depth).alias("depth"), F.concat("via.at", place(F.col("via.pos"))).alias("at")), "front")
         seen = seen.unionByName(front)
+    # Spark cuts to max_pages before the shuffle as well
     kept = seen.join(have.where("has_text"), "url").select("seed", "url", "depth", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "at")).alias("ordinal"))
     return kept.where(F.col("ordinal") <= max_pages)
 

@@ -105,11 +105,11 @@ def _few(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def lsh_bits(rows: int) -> int:
-    """Planes of a table: a bucket holds about 64 of the rows on average, whatever their number."""
-    return max(2, min(24, int(np.log2(max(rows, 1))) - 6))
+    """Planes of a table: a bucket holds 45 to 90 of the rows on average, whatever their number."""
+    return max(2, min(24, int(np.log2(max(rows, 1)) - 5.5)))
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, tables: int = 32, bits: int | None = None, probes: int = 2, dims: int = 64, seed: int = 7) -> DataFrame:
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 12, tables: int = 24, bits: int | None = None, probes: int = 2, dims: int = 64, seed: int = 7) -> DataFrame:
     """TK4: like vector_topk, but only among vectors that share a bucket, a side of each of `bits` planes, in one of the tables.
 
     Vectors are in one bucket of each table. Queries look into their own and into those beyond any of the `probes`

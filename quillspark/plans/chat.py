@@ -79,11 +79,18 @@ def answer_audit(spark, sf_dir):
     return quality.audit_answers(t, quality.default_policies(2026), "medium").select("thread_id", "turn", "policy", "severity")
 
 
-@query(f"""SELECT doc_id, {_RISK.replace('(a,', '(text,')} AS has_version FROM documents""")
+_CLAIMS = f"""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '{X.VERSION}') AS v, list_filter(regexp_extract_all(text, '{X.DATE}'), lambda d: regexp_matches(d, '202[1-7]')) AS d,
+  list_filter({X.LATEST!r}::VARCHAR[], lambda k: contains(lower(text), k)) AS k FROM documents)
+SELECT doc_id, len(v) > 0 OR len(d) > 0 AS has_risk, CASE WHEN len(v) > 0 OR len(d) > 0 THEN 'high' ELSE 'low' END AS confidence,
+  concat_ws(',', CASE WHEN len(v) > 0 THEN 'version' END, CASE WHEN len(d) > 0 THEN 'recent_date' END, CASE WHEN len(v) > 0 AND len(k) > 0 THEN 'latest_keyword' END) AS signals,
+  coalesce(array_to_string(list_slice(list_slice(v, 1, 2) || list_slice(d, 1, 2) || CASE WHEN len(v) > 0 AND len(k) > 0 THEN ['关键词: ' || k[1]] ELSE [] END, 1, 3), '|'), '') AS examples FROM x"""
+
+
+@query(_CLAIMS)
 def claims_scan(spark, sf_dir):
-    """SC17: documents with version claims, the year pinned."""
-    c = X.time_sensitive_claims(F.col("text"), 2026)
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_contains(c["signals"], "version").alias("has_version"))
+    """SC17: the claims of documents that age, the year pinned."""
+    c = read(spark, sf_dir, "documents").select("doc_id", X.time_sensitive_claims(F.col("text"), 2026).alias("c"))
+    return c.select("doc_id", "c.has_risk", "c.confidence", F.array_join("c.signals", ",").alias("signals"), F.array_join("c.examples", "|").alias("examples"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN contains(text, 'All rights reserved.') THEN trim(replace(replace(text, 'All rights reserved.', ''), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(13)) ELSE text END) AS md5, contains(text, 'All rights reserved.') AS hit FROM documents""")

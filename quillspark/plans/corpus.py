@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalog, convert, graph, ingest, split
 from ..sources import files
+from ..sources.staging import shared_dir
 from .registry import query, read
 
 
@@ -30,13 +31,16 @@ def titles(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.title_from_text(F.col("text"), F.lit("untitled")).alias("title"))
 
 
-@query("""WITH t AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '### ') AS t FROM documents),
-n AS (SELECT doc_id, len(regexp_extract_all(t, '(?m)^[^\\S\\n]*## ')) AS a, len(regexp_extract_all(t, '(?m)^[^\\S\\n]*### ')) AS b FROM t)
-SELECT doc_id, 3 AS level FROM n""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
+n AS (SELECT doc_id, count(*) FILTER (length(x) % 5 = 0) AS n2, count(*) FILTER (length(x) % 5 = 1) AS n3, count(*) FILTER (length(x) % 5 = 2) AS n4, count(*) FILTER (length(x) % 5 = 3) AS n5 FROM l GROUP BY doc_id),
+a AS (SELECT *, CASE WHEN n2 >= 3 AND n2 >= 0.5 * n3 THEN 2 ELSE 3 END AS b2 FROM n),
+b AS (SELECT *, CASE WHEN n3 >= 3 AND n3 >= 0.5 * CASE b2 WHEN 2 THEN n2 ELSE n3 END THEN 3 ELSE b2 END AS b3 FROM a),
+c AS (SELECT *, CASE WHEN n4 >= 3 AND n4 >= 0.5 * CASE b3 WHEN 2 THEN n2 ELSE n3 END THEN 4 ELSE b3 END AS b4 FROM b)
+SELECT doc_id, CASE WHEN n5 >= 3 AND n5 >= 0.5 * CASE b4 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END THEN 5 ELSE b4 END AS level FROM c""")
 def heading_level(spark, sf_dir):
-    """SC8 over documents whose lines are made headings: one of level 2, the others of level 3."""
-    t = F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n### ")))
-    return read(spark, sf_dir, "documents").select("doc_id", X.detect_heading_level(t).alias("level"))
+    """SC8 over documents whose lines are made headings of levels 2 to 6, by their length."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.repeat(F.lit("#"), F.length(x) % 5 + 2), F.lit(" "), x))
+    return read(spark, sf_dir, "documents").select("doc_id", X.detect_heading_level(F.array_join(lines, "\n")).alias("level"))
 
 
 @query("""WITH w AS (SELECT doc_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
@@ -225,9 +229,26 @@ def graph_neighbours(spark, sf_dir):
 
 @query()
 def site_crawl(spark, sf_dir):
-    """GR2: crawls from the pages of every host's root; links are the site's own, by first word of each page."""
+    """GR2: crawls from every host's root, which links to all pages of the host; pages have links of their own."""
     p = read(spark, sf_dir, "pages").select("url", "html", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("text"))
-    seeds = p.select(F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), F.lit("/")).alias("seed")).distinct()
-    home = p.groupBy(F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), F.lit("/")).alias("url")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_set("url")), lambda u: F.concat(F.lit('<a href="'), u, F.lit('">')))).alias("html"))
-    roots = home.select("url", "html", F.lit("home").alias("text"))
-    return graph.crawl(p.unionByName(roots), seeds)
+    root = F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), F.lit("/"))
+    seeds = p.select(root.alias("seed")).distinct()
+    roots = seeds.select(F.col("seed").alias("url"), F.lit("").alias("html"), F.lit("home").alias("text"))
+    return graph.crawl(p.unionByName(roots), seeds, links=p.select(root.alias("url"), F.lit(0).alias("pos"), F.col("url").alias("target")))
+
+
+@query("""WITH d AS (SELECT doc_id, text, CASE WHEN lang = 'fr' THEN 'failed' ELSE 'ready' END AS status FROM documents),
+e AS (SELECT DISTINCT vec_id * 3 AS doc_id FROM embeddings), t AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), y AS (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE role = 'system')
+SELECT (SELECT count(*) FROM e WHERE doc_id NOT IN (SELECT doc_id FROM d)) AS removed,
+       (SELECT count(*) FROM d WHERE status = 'ready' AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM e)) AS reindexed,
+       (SELECT count(*) FROM d WHERE status = 'ready' AND doc_id IN (SELECT doc_id FROM e) AND doc_id IN (SELECT doc_id FROM t) AND doc_id NOT IN (SELECT doc_id FROM y)) AS fixed,
+       (SELECT count(*) FROM d) AS total""")
+def sync_report(spark, sf_dir):
+    """SS5, CJ3, JN11: the consistency check over stored tables: vectors of every third document, turns as sections."""
+    d = read(spark, sf_dir, "documents").withColumn("status", F.when(F.col("lang") == "fr", "failed").otherwise("ready"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_id"), "role", "text")
+    base = shared_dir(spark)
+    stored = {"docs": d.select("doc_id", "status"), "texts": d.select("doc_id", "text"), "chunks": read(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("doc_id"), "label"), "sections": turns.where("role = 'system'"), "backup": turns}
+    for name, df in stored.items():
+        df.write.parquet(f"{base}/{name}")
+    return catalog.sync_job(spark, base, f"{base}/out")
