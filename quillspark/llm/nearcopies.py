@@ -17,6 +17,8 @@ from .simhash import shared_only, signatures, word_shingles
 TABLES = 4
 #: All pairs of a key are compared where at most so many of its sets are outside the component of one of them.
 SMALL = 64
+#: Sets of a key that each other set is compared with at once.
+HUBS = 4
 KEYS = ["sim_id", "sim_no", "sim_h"]
 PRINTS = 1 << 12
 
@@ -95,50 +97,62 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return line.select("node", "size", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("x.key", "node", "size")
 
 
+def _fit(similarity: float):
+    return lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+
+def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int) -> DataFrame:
+    """Links of each set with `hubs` sets of its key, chosen by hash, that are not known to belong with it."""
+    fits = _fit(similarity)
+    one = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("at"), "node", "part", "size"))
+    chosen = members.groupBy("key").agg(F.array(*[one(t) for t in range(hubs)]).alias("hubs"))
+    pairs = members.join(chosen, "key").select("node", "part", "size", F.explode("hubs").alias("hub")).where((F.col("part") != F.col("hub.part")) & fits(F.col("size"), F.col("hub.size")))
+    return stage_table(_confirmed(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
+
+
+def _all_links(members: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of all pairs of sets of those keys that are not known to belong together."""
+    fits = _fit(similarity)
+    m = members.join(keys, "key")
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") < F.col("r.part")) & fits(F.col("l.size"), F.col("r.size"))
+    pairs = m.alias("l").join(m.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    return stage_table(_confirmed(pairs, sets, similarity), "links")
+
+
+def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their component so far, of keys that still have more than one, and a row for each set beside
+    the largest component's; n_out says how many sets of the key are outside that component."""
+    m = members.drop("part").join(connected_components(links), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+    m = stage_table(m, "parts")
+    of = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
+    return stage_table(m.join(of, "key"), "open")
+
+
 def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool = False) -> DataFrame:
     """Edges (a, b) that connect all nodes of members (key, node, size) which share a key and have that similarity.
 
-    First each set is compared with one of its key, the hub. After that only pairs in different components matter: all
-    of a key's, where at most SMALL sets are outside the hub's component; else other hubs are tried for as long as
-    they link something. What then is left of crowded keys is dealt anew by the rarest shingles (rare: these are the
-    keys), which any two similar sets share, and there all pairs in different components are compared. No similar pair
-    of a key is left out.
+    First each set is compared with one of its key, the hub, and what this leaves apart with HUBS more. After that only
+    pairs in different components matter: all of a key's, where at most SMALL sets are outside its largest component.
+    What is left of crowded keys is dealt anew by the rarest shingles (rare: these are the keys), which any two similar
+    sets share, and there all pairs in different components are compared. No similar pair of a key is left out, and the
+    number of rounds is fixed.
     """
-    links, turn, small = None, 0, SMALL
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    while True:
-        if links is None:
-            m = members.withColumn("part", F.col("node"))
-        else:
-            m = members.join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        m = stage_table(m, "parts")
-        first = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("at"), "node", "part", "size")
-        hubs = m.groupBy("key").agg(F.min(first).alias("hub"))
-        outside = stage_table(m.join(hubs, "key").where("part <> hub.part"), "outside")
-        if outside.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        pairs = outside.where(fits(F.col("size"), F.col("hub.size"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        if turn:
-            n = stage_table(outside.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "open")
-            done = n if small is None else n.where(f"n <= {small}")
-            few = outside.join(done.select("key"), "key").alias("l").join(m.alias("r"), "key")
-            few = few.where((F.col("l.part") != F.col("r.part")) & fits(F.col("l.size"), F.col("r.size")))
-            pairs = pairs.unionByName(few.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-        new = stage_table(_confirmed(pairs, sets, similarity), "links")
-        none = new.isEmpty()
-        links = new if links is None else links.unionByName(new)
-        if turn:
-            if small is None:
-                return links
-            members = stage_table(members.join(n.where(f"n > {small}").select("key"), "key", "left_semi"), "members")
-            if none and members.isEmpty():
-                return links
-            if none and rare:
-                small = None
-            elif none:
-                again = stage_table(rare_shingles(members.select("node").distinct(), sets, similarity), "rare")
-                return links.unionByName(set_links(again, sets, similarity, rare=True))
-        turn += 1
+    links = _hub_links(members.withColumn("part", F.col("node")), sets, similarity, 1)
+    m = _parted(members, links)
+    if m.isEmpty():
+        return links
+    links = links.unionByName(_hub_links(m, sets, similarity, HUBS))
+    m = _parted(m.drop("n_out"), links)
+    if m.isEmpty():
+        return links
+    few = m if rare else m.where(f"n_out <= {SMALL}")
+    links = links.unionByName(_all_links(m.drop("n_out"), few.select("key").distinct(), sets, similarity))
+    crowded = m.where(f"n_out > {SMALL}").select("node").distinct()
+    if rare or crowded.isEmpty():
+        return links
+    again = rare_shingles(crowded, sets, similarity)
+    shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return links.unionByName(set_links(stage_table(again.join(shared, "key"), "rare"), sets, similarity, rare=True))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:

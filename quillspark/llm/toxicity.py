@@ -124,11 +124,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CHAIN, fit_rows: in
     per = per.withColumn("tox_o", F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))).orderBy("tox_o").limit(fit_rows)
     train = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(per), "doc_id")  # fit_rows rows at most
     train = stage_table(train.select("tox_o", features(F.col("text")).alias("words"), *[f"y_{c}" for c in categories]), "train")
-    sample = train.orderBy("tox_o").limit(fit_rows).toPandas()  # repeated documents add no rows beyond the bound
-    rows, fold = Rows.of(sample["words"]), (sample["tox_o"].to_numpy() % folds).astype(int)
-    logits, models = np.zeros((len(sample), 0)), []
+    sample = train.orderBy("tox_o").limit(fit_rows).toArrow()  # repeated documents add no rows beyond the bound
+    words = sample["words"].combine_chunks()
+    rows = Rows(words.flatten().to_numpy(), np.diff(words.offsets.to_numpy()).astype(np.int64))
+    fold = (sample["tox_o"].to_numpy() % folds).astype(int)
+    logits, models = np.zeros((len(fold), 0)), []
     for c in categories:
-        y = sample[f"y_{c}"].to_numpy(float)
+        y = sample[f"y_{c}"].to_numpy().astype(float)
         if any(len(np.unique(y[fold != k])) < 2 for k in range(folds)):
             return None
         models.append(fit_linear(rows, logits, y))
