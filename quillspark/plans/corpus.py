@@ -54,7 +54,29 @@ def section_directory(spark, sf_dir):
     return catalog.section_directory(s).select("doc_id", "n_sections", "chars")
 
 
-@query()
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _last(sep: str) -> str:
+    """SQL: where the last sep of the window begins, below 0 if nowhere."""
+    find = f"instr(reverse(win), reverse({sep}))"
+    return f"CASE WHEN {find} = 0 THEN -1 ELSE length(win) - {find} + 1 - length({sep}) END"
+
+
+_SEPS = ["chr(10) || chr(10)", "chr(10)", "'。'", "'！'", "'？'", "'. '", "'! '", "'? '"]
+_STOP = "CASE WHEN pos + 500 >= length(body) THEN pos + 500 " + " ".join(f"WHEN {_last(f'({x})')} > 200 THEN pos + {_last(f'({x})')} + length({x})" for x in _SEPS) + " ELSE pos + 500 END"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, trim(text, {_SPACES}) AS t FROM documents),
+s AS (SELECT doc_id, 0 AS section_id, '全文' AS section_title, text AS body FROM w WHERE length(t) < 80
+  UNION ALL SELECT doc_id, 0, '引言', t FROM w WHERE length(t) BETWEEN 80 AND 10000
+  UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1, '引言 (第 ' || (i // 9800 + 1) || ' 部分)', substr(t, i + 1, 10000)
+    FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) - 1, 9800)) AS i FROM w WHERE length(t) > 10000) WHERE trim(substr(t, i + 1, 10000), {_SPACES}) <> ''),
+c AS (SELECT doc_id, section_id, section_title, body, pos, {_STOP} AS stop FROM (SELECT *, 0 AS pos, substr(body, 1, 500) AS win FROM s WHERE length(body) > 500)
+  UNION ALL SELECT doc_id, section_id, section_title, body, pos, {_STOP} FROM (SELECT doc_id, section_id, section_title, body, stop - 50 AS pos, substr(body, (stop - 49)::BIGINT, 500) AS win FROM c WHERE stop - 50 < length(body))),
+p AS (SELECT doc_id, section_id, section_title, pos, trim(substr(body, (pos + 1)::BIGINT, (stop - pos)::BIGINT), {_SPACES}) AS text FROM c
+  UNION ALL SELECT doc_id, section_id, section_title, 0, body FROM s WHERE length(body) BETWEEN 1 AND 500)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, pos) - 1 AS chunk_id, section_id, section_title, '' AS source, text FROM p WHERE text <> ''""")
 def chunks(spark, sf_dir):
     """TX9, TX10."""
     return split.chunks(split.index_documents(read(spark, sf_dir, "documents").repartition("doc_id")))
@@ -156,7 +178,18 @@ def page_links(spark, sf_dir):
     return p.select("page_id", F.explode(X.extract_links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _plain(html: str) -> str:
+    """SQL: html without tags, a line for each br, the usual entities resolved."""
+    text = rf"regexp_replace(regexp_replace({html}, '(?i)<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+@query(rf"""WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS rest FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(string_split(rest, '<p>'), lambda x: trim({_plain("x")}, ' ' || chr(10))), lambda x: x <> '') AS ps FROM a)
+SELECT page_id, url, coalesce(nullif(trim({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, ' ' || chr(10)), ''), url) AS title, '# ' || trim({_plain("h1")}, ' ' || chr(10)) || coalesce(chr(10) || chr(10) || nullif(array_to_string(ps, chr(10) || chr(10)), ''), '') AS text
+FROM a JOIN p USING (page_id)""")
 def page_texts(spark, sf_dir):
     """TX1, TX2."""
     return convert.html_to_text(read(spark, sf_dir, "pages").repartition("page_id"))
