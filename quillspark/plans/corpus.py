@@ -195,10 +195,24 @@ def page_texts(spark, sf_dir):
     return convert.html_to_text(read(spark, sf_dir, "pages").repartition("page_id"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, i, CASE length(y) % 6 WHEN 0 THEN ' ' || length(y) WHEN 1 THEN (length(y) % 10) || '.' || (length(y) % 7) || ' ' || y WHEN 2 THEN 'pagefooter' WHEN 3 THEN '3. 中文 ' || y ELSE y END AS x
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+g AS (SELECT *, sum(CASE WHEN digits THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, regexp_full_match(trim(x), '\d{1,4}') AS digits FROM l)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp, digits ORDER BY i) AS k, max(CASE WHEN NOT digits THEN (trim(x) <> '')::INT END) OVER (PARTITION BY doc_id, grp) AS opened FROM g),
+m AS (SELECT *, digits AND k % 2 = coalesce(opened, 0) AS glued FROM k),
+n AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM m),
+o AS (SELECT doc_id, line, max(CASE WHEN NOT glued THEN x END) AS a, max(CASE WHEN glued THEN trim(x) END) AS b FROM n GROUP BY doc_id, line),
+p AS (SELECT doc_id, line, CASE WHEN b IS NULL THEN a ELSE rtrim(a) || b END AS x FROM o),
+q AS (SELECT *, trim(x) AS s, coalesce(nullif(regexp_extract(trim(x), '^(\d{1,2}(?:\.\d{1,2})+)(?:\s|[一-鿿])', 1), ''), nullif(regexp_extract(trim(x), '^(\d{1,2})(?:\.[\s一-鿿]|\s+[一-鿿])', 1), '')) AS num
+  FROM p WHERE NOT regexp_full_match(trim(x), '\d{1,6}|[a-z]{10,}')),
+r AS (SELECT doc_id, string_agg(CASE WHEN num IS NOT NULL AND length(s) > 5 THEN repeat('#', least(length(num) - length(replace(num, '.', '')) + 2, 4)) || ' ' || s ELSE x END, chr(10) ORDER BY line) AS text FROM q GROUP BY doc_id)
+SELECT doc_id, coalesce(r.text, '') AS text FROM documents LEFT JOIN r USING (doc_id)""")
 def pdf_structure(spark, sf_dir):
-    """TX4, TX5."""
-    return convert.structure_pdf_text(read(spark, sf_dir, "documents").repartition("doc_id"))
+    """TX4, TX5: documents whose lines are made page numbers, numbered headings and footers, by their length."""
+    n = F.length
+    made = lambda y: F.when(n(y) % 6 == 0, F.concat(F.lit(" "), n(y))).when(n(y) % 6 == 1, F.concat(n(y) % 10, F.lit("."), n(y) % 7, F.lit(" "), y)).when(n(y) % 6 == 2, "page\x00footer").when(n(y) % 6 == 3, F.concat(F.lit("3.\t中文­"), y)).otherwise(y)
+    d = read(spark, sf_dir, "documents")
+    return convert.structure_pdf_text(d.withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), made), "\n")).repartition("doc_id"))
 
 
 @query("""WITH e AS (SELECT doc_id, text, substr(text, 1, 12) AS old FROM documents), c AS (SELECT *, CASE WHEN old = '' THEN 0 ELSE (length(text) - length(replace(text, old, ''))) / length(old) END AS n FROM e)
@@ -260,7 +274,9 @@ def graph_neighbours(spark, sf_dir):
     return graph.neighbours(e, "p3", "up").select(F.lit("up").alias("direction"), "node").unionByName(graph.neighbours(e, "p3").select(F.lit("down").alias("direction"), "node"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT regexp_extract(url, '^(https?://[^/]*)', 1) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u, regexp_extract(html, '<h1>([^<]*)', 1) AS t FROM pages),
+o AS (SELECT DISTINCT host, host AS u, 0 AS depth FROM p UNION ALL SELECT DISTINCT host, u, 1 FROM p WHERE t <> '' AND u <> host)
+SELECT host || '/' AS seed, u AS url, depth, row_number() OVER (PARTITION BY host ORDER BY depth, u) AS ordinal FROM o QUALIFY ordinal <= 50""")
 def site_crawl(spark, sf_dir):
     """GR2: crawls from every host's root, which links to all pages of the host; pages have links of their own."""
     p = read(spark, sf_dir, "pages").select("url", "html", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("text"))

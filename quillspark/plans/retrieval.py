@@ -262,7 +262,16 @@ def chunk_sections(spark, sf_dir):
     return out.select("chunk_id", "doc_id", "section_title", F.md5(F.col("section_text").cast("binary")).alias("section_md5"), "doc_name")
 
 
-@query()
+@query(r"""WITH t AS (SELECT 'd' AS side, doc_id AS id, lower(string_split(text, chr(10))[1]) AS x FROM documents UNION ALL SELECT 'q', item_id, lower(text) FROM benchmark),
+w AS (SELECT side, id, unnest(regexp_extract_all(x, '[a-z0-9]{3,}')) AS token FROM t),
+r AS (SELECT side, id, generate_subscripts(rs, 1) AS r, unnest(rs) AS run FROM (SELECT side, id, regexp_extract_all(x, '[a-z0-9.]+') AS rs FROM t)),
+s AS (SELECT side, id, r, generate_subscripts(ss, 1) AS i, unnest(ss) AS seg FROM (SELECT side, id, r, string_split(run, '.') AS ss FROM r)),
+f AS (SELECT *, regexp_full_match(seg, 'v?\d+') AS fits, coalesce(regexp_full_match(lag(seg) OVER (PARTITION BY side, id, r ORDER BY i), 'v?\d+'), false) AS after FROM s),
+c AS (SELECT *, sum(CASE WHEN fits AND NOT (after AND regexp_full_match(seg, '\d+')) THEN 1 ELSE 0 END) OVER (PARTITION BY side, id, r ORDER BY i) AS chain FROM f),
+v AS (SELECT side, id, string_agg(seg, '.' ORDER BY i) AS v FROM c WHERE fits GROUP BY side, id, r, chain),
+k AS (SELECT DISTINCT * FROM (SELECT * FROM w UNION ALL SELECT * FROM v UNION ALL SELECT side, id, regexp_replace(v, '^v+', '') FROM v UNION ALL SELECT side, id, string_split(v, '.')[1] FROM v WHERE contains(v, '.'))),
+n AS (SELECT q.id AS query_id, d.id AS doc_id, count(*) AS overlap FROM k q JOIN k d ON q.token = d.token AND q.side = 'q' AND d.side = 'd' GROUP BY ALL HAVING count(*) >= 2)
+SELECT query_id, doc_id, overlap FROM n QUALIFY overlap = max(overlap) OVER (PARTITION BY query_id)""")
 def name_routing(spark, sf_dir):
     """JN1: documents named by their first line, asked for by benchmark passages."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("name"))
