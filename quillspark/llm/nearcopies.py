@@ -110,21 +110,22 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int
     return stage_table(_confirmed(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
 
 
-def _all_links(members: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of all pairs of sets of those keys that are not known to belong together."""
+def _all_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of every set outside its key's largest component with all sets of the key that are not known to belong with it."""
     fits = _fit(similarity)
-    m = members.join(keys, "key")
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") < F.col("r.part")) & fits(F.col("l.size"), F.col("r.size"))
-    pairs = m.alias("l").join(m.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & fits(F.col("l.size"), F.col("r.size"))
+    pairs = members.where("part <> main").alias("l").join(members.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     return stage_table(_confirmed(pairs, sets, similarity), "links")
 
 
 def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with their component so far, of keys that still have more than one, and a row for each set beside
-    the largest component's; n_out says how many sets of the key are outside that component."""
-    m = members.drop("part").join(connected_components(links), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+    """The members (key, node, size) with their component so far, part, of keys that still have more than one.
+
+    main is the key's largest component, and n_out says how many of its sets are outside that one.
+    """
+    m = members.select("key", "node", "size").join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     m = stage_table(m, "parts")
-    of = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
+    of = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), (F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
     return stage_table(m.join(of, "key"), "open")
 
 
@@ -142,11 +143,10 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool
     if m.isEmpty():
         return links
     links = links.unionByName(_hub_links(m, sets, similarity, HUBS))
-    m = _parted(m.drop("n_out"), links)
+    m = _parted(m, links)
     if m.isEmpty():
         return links
-    few = m if rare else m.where(f"n_out <= {SMALL}")
-    links = links.unionByName(_all_links(m.drop("n_out"), few.select("key").distinct(), sets, similarity))
+    links = links.unionByName(_all_links(m if rare else m.where(f"n_out <= {SMALL}"), sets, similarity))
     crowded = m.where(f"n_out > {SMALL}").select("node").distinct()
     if rare or crowded.isEmpty():
         return links
