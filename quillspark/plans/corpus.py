@@ -178,17 +178,18 @@ def page_links(spark, sf_dir):
     return p.select("page_id", F.explode(X.extract_links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _plain(html: str) -> str:
-    """SQL: html without tags, a line for each br, the usual entities resolved."""
+def _plain(html: str, end: str = ";?") -> str:
+    """SQL: html without tags, a line for each br, the usual entities resolved, also without their semicolon."""
     text = rf"regexp_replace(regexp_replace({html}, '(?i)<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
-        text = f"replace({text}, '&{name};', '{sign}')"
+        text = f"regexp_replace({text}, '&{name}{end}', '{sign}', 'g')"
     return text
 
 
-@query(rf"""WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS rest FROM pages),
-p AS (SELECT page_id, list_filter(list_transform(string_split(rest, '<p>'), lambda x: trim({_plain("x")}, ' ' || chr(10))), lambda x: x <> '') AS ps FROM a)
-SELECT page_id, url, coalesce(nullif(trim({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, ' ' || chr(10)), ''), url) AS title, '# ' || trim({_plain("h1")}, ' ' || chr(10)) || coalesce(chr(10) || chr(10) || nullif(array_to_string(ps, chr(10) || chr(10)), ''), '') AS text
+@query(rf"""WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS rest, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(string_split(rest, '<p>'), lambda x: trim({_plain("x")}, ' ' || chr(10))), lambda x: x <> '') AS ps, length(trim({_plain("h1 || rest")}, ' ' || chr(10))) <= 30 AS is_short FROM a)
+SELECT page_id, url, coalesce(nullif(trim({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)", ";")}, ' ' || chr(10)), ''), url) AS title,
+  CASE WHEN is_short THEN {_plain("ad")} || chr(10) || chr(10) ELSE '' END || '# ' || trim({_plain("h1")}, ' ' || chr(10)) || coalesce(chr(10) || chr(10) || nullif(array_to_string(ps, chr(10) || chr(10)), ''), '') AS text
 FROM a JOIN p USING (page_id)""")
 def page_texts(spark, sf_dir):
     """TX1, TX2."""
