@@ -168,8 +168,9 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     keyed = named.select(*[F.col(m).alias(k) for m, k in zip(mine, KEYS, strict=True)], "text")
     rows = stage_table(_prints(keyed, shingle_words, tables), "prints")
     reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
-    prints = reps.where("size > 0").select("node", "size", F.posexplode("fps").alias("table", "fp"))
-    members = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node", "size"), "members")
+    prints = reps.where("size > 0").select("node", F.posexplode("fps").alias("table", "fp"))
+    members = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node"), "shared")
+    members = stage_table(members.join(reps.select("node", "size"), "node").select("key", "node", "size"), "members")
     asked = reps.join(members.select("node").distinct(), "node").select("node", "x.*")
     texts = keyed.join(asked.hint("merge"), KEYS)  # the same join at every size
     sets = stage_table(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")

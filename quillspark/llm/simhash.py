@@ -61,11 +61,12 @@ def fingerprints(docs: DataFrame, keys: list[str], shingle_words: int = 5, table
 
 
 def signatures(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(sig, node and what else fps has): the fingerprint cut into max_bits // 2 + 1 segments (two at least), of which one differs by at most a bit.
+    """(sig, wild, node and what else fps has): the fingerprint cut into max_bits // 2 + 1 segments (two at least), of which one differs by at most a bit.
 
     A segment gives one signature for each choice of a wildcard bit. A wildcard reads as clear, so all choices of a bit
     that is clear are the segment itself, and half as many signatures remain as there are bits. Two fingerprints within
-    max_bits share a signature: of two segments that differ in one bit, the one that has it set names the other.
+    max_bits share a signature: of two segments that differ in one bit, the one that has it set names the other. wild
+    has one bit set: the lowest for the segment itself, else that after the wildcard.
     """
     n = max(2, max_bits // 2 + 1)
     at = [64 * i // n for i in range(n + 1)]
@@ -73,11 +74,11 @@ def signatures(fps: DataFrame, max_bits: int) -> DataFrame:
     for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         seg = F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1)
         # segments have 32 bits at most, so table, segment and what is left of it fit a long
-        name = lambda v, s=s: (F.col("table") * 64 + s) * (1 << 32) + v
-        keys.append(name(seg))
-        keys += [F.when(seg.bitwiseAND(1 << i) != 0, name(seg - (1 << i))) for i in range(b - a)]
+        name = lambda v, i, s=s: F.struct(((F.col("table") * 64 + s) * (1 << 32) + v).alias("sig"), F.lit(1 << i).cast("long").alias("wild"))
+        keys.append(name(seg, 0))
+        keys += [F.when(seg.bitwiseAND(1 << i) != 0, name(seg - (1 << i), i + 1)) for i in range(b - a)]
     rest = [c for c in fps.columns if c != "table"]
-    return fps.select(F.explode(F.array(*keys)).alias("sig"), *rest).where("sig is not null")
+    return fps.select(F.explode(F.array(*keys)).alias("x"), *rest).where("x is not null").select("x.sig", "x.wild", *rest)
 
 
 def _ball(fp, radius: int) -> F.Column:
@@ -101,9 +102,14 @@ def neighbour_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def shared_only(sig: DataFrame) -> DataFrame:
-    """The rows of sig whose signature another row has too, with their number n. Counts are summed before they move."""
-    count = stage_table(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
-    return sig.join(count.hint("merge"), "sig")  # the same join at every size
+    """The rows of sig whose signature tells something, with their number n.
+
+    These are segments that several fingerprints have, and signatures that different segments share. What only equal
+    segments share is left out: they share the segment. Counts are summed before they move.
+    """
+    count = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_or("wild").alias("wilds")).where("n > 1 and (wilds = 1 or bit_count(wilds) > 1)")
+    count = stage_table(count.drop("wilds"), "signatures")
+    return sig.drop("wild").join(count.hint("merge"), "sig")  # the same join at every size
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
