@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import flac, linededup, mixing, packing, pii, sharding, simhash, toxicity, urlfilter, winnow
+from . import crosstok, flac, lexical, linededup, mixing, packing, pii, sharding, simhash, toxicity, urlfilter, warc, winnow
+from .common import stage_table
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -76,8 +77,26 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(_read(spark, sf_dir, "pages")))
+    records = records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    records = stage_table(records.select("page_id", "record_type", "record_id", "refers_id", "payload_bytes", "payload_digest"), "records")
+    return warc.resolve_revisits(records, "payload_bytes", "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "benchmark").select(F.xxhash64("item_id", "text").alias("qid"), "item_id", "text").distinct()
+    found = lexical.lexical_topk(_read(spark, sf_dir, "documents"), items.select("qid", "text"), 20)
+    return found.join(items.select("qid", "item_id"), "qid").select("item_id", "rank", "doc_id", "score")
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = crosstok.score_alignments(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_mix, op4_url_filter, op5_shard, op6_pii, op7_flac, op8_pack, op9_toxicity, op10_winnow)
+    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_mix, op4_url_filter, op5_shard, op6_pii, op7_flac, op8_pack, op9_toxicity, op10_winnow, op11_warc, op12_lexical, op13_align)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,4 +117,23 @@ listed AS (SELECT DISTINCT canonical FROM named WHERE contains(url, '://') AND c
 SELECT n.page_id, host, path, f.rule,
        coalesce(f.says, CASE WHEN l.canonical IS NOT NULL AND contains(n.url, '://') THEN 'block' ELSE 'allow' END) AS verdict
 FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.k = 1 LEFT JOIN listed l ON l.canonical = n.canonical""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+    "op12_lexical": rf"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{lexical.TERM}')) AS term FROM documents),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{lexical.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, big_n),
+x AS (
+  SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN t USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 20""",
 }
