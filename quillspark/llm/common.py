@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.staging import shared_dir, stage_table  # noqa: F401
+from ..sources.staging import drop_staged, shared_dir, stage_table  # noqa: F401
 
 #: ASCII white space as the operators see it: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +35,19 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def maybe_among(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of df whose column may be among those of wanted: all that are, and few others while wanted is small.
+
+    The hashes of wanted set bits of a bitmap, which is sent as a table of 4 kB rows, so many at most that it has `bits`
+    bits; no more of it ever moves. An exact join follows.
+    """
+    at, mark, bucket, marks = spare_names(df, "maybe_at", "maybe_bit", "maybe_bucket", "maybe_marks")
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    said = wanted.select(spread(column).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(marks))
+    out = df.withColumn(at, spread(column)).withColumns({bucket: F.bitmap_bucket_number(at), mark: F.bitmap_bit_position(at)}).join(F.broadcast(said), bucket)
+    return out.where(F.expr(f"getbit(cast(conv(hex(substring({marks}, cast({mark} div 8 as int) + 1, 1)), 16, 10) as int), cast({mark} % 8 as int)) = 1")).select(*df.columns)
+
+
 def with_global_rank(df: DataFrame, order: list, rank: str, name: str = "ranked") -> DataFrame:
     """df with its 0-based position in a total order, without a window over everything.
 
@@ -69,4 +82,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage_table(rest.unionByName(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        before, e = e, stage_table(rest.unionByName(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        drop_staged(before)

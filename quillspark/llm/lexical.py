@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions, stage_table
+from .common import maybe_among, partitions, stage_table
 
 #: Letters, digits and all beyond ASCII; only A-Z become lower case.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -240,15 +240,10 @@ class _Asked:
 def _exact(docs: DataFrame, candidates: DataFrame, terms: DataFrame, stats: DataFrame, name: str, text: str) -> DataFrame:
     """(qid, id, h, no, score) of candidates (qid, id, h): a row for each row of docs that a candidate names.
 
-    A bitmap of 2^20 bits, 32 rows at most, keeps the texts of other documents from moving; the join on id and text
-    hash that follows is exact.
+    A bitmap keeps the texts of other documents from moving; the join on id and text hash that follows is exact.
     """
-    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)) + 1
-    marks = candidates.select(spread("h").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("marks"))
     own = docs.select(F.col(name).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.col(text).alias("text"))
-    own = own.withColumn("x", spread("h")).withColumn("bucket", F.bitmap_bucket_number("x")).join(F.broadcast(marks), "bucket")
-    bit = "cast(bitmap_bit_position(x) % 8 as int)"
-    own = own.where(F.expr(f"getbit(cast(conv(hex(substring(marks, cast(bitmap_bit_position(x) div 8 as int) + 1, 1)), 16, 10) as int), {bit}) = 1"))
+    own = maybe_among(own, "h", candidates)
     named = candidates.select("id", "h").distinct()
     own = own.select("id", "h", "text").join(named.withColumnsRenamed({"id": "c_id", "h": "c_h"}), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_semi")
     own = own.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, spare_names, stage_table
+from .common import connected_components, drop_staged, maybe_among, spare_names, stage_table
 from .simhash import shared_only, signatures, word_shingles
 
 #: Independent fingerprints of a text's different words, two segments of 32 bits each; sets that share a signature of any are candidates.
@@ -21,6 +21,8 @@ SMALL = 64
 HUBS = 4
 KEYS = ["sim_id", "sim_no", "sim_h"]
 PRINTS = 1 << 12
+#: Bits of a set's parity map: what it holds an odd number of is set, so two maps differ in no more bits than their sets in shingles.
+PARITY = 1024
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -48,35 +50,38 @@ def word_prints(text: str | None, tables: int) -> list[int]:
     return np.packbits(2 * ones > len(h), axis=1).view(">i8")[:, 0].tolist()
 
 
+def parity_map(h: np.ndarray) -> list[int]:
+    """PARITY bits, as signed longs, of a set of hashes."""
+    return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1).view(">i8").tolist()
+
+
 def _prints(docs: DataFrame, shingle_words: int, tables: int) -> DataFrame:
-    """KEYS, the node (one for all texts of one shingle set), the set's size and the fingerprints. No shuffle."""
+    """KEYS, the node (one for all texts of one shingle set), the set's size, its parity map and the fingerprints. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, fps = [], [], []
+            node, size, bits, fps = [], [], [], []
             for t in b.column("text"):
                 text = t.as_py()
                 h = shingle_set(text, shingle_words)
                 node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
+                bits.append(parity_map(h))
                 fps.append(word_prints(text, tables))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=[*KEYS, "node", "size", "fps"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.list_(pa.int64()))], names=[*KEYS, "node", "size", "bits", "fps"])
 
-    return docs.select(*KEYS, "text").mapInArrow(run, "sim_id bigint, sim_no boolean, sim_h bigint, node bigint, size int, fps array<bigint>")
+    return docs.select(*KEYS, "text").mapInArrow(run, "sim_id bigint, sim_no boolean, sim_h bigint, node bigint, size int, bits array<bigint>, fps array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, hashes) of the texts: of each hash of a shingle the lower 32 bits, which halves what moves.
-
-    In texts of 200,000 words chance makes ten of them equal, so a similarity stays right to 0.0001.
-    """
+    """(node, hashes): the different shingles of the texts as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, n in zip(b.column("text"), b.column("node"), strict=True):  # a row each: sets are as large as texts
-                yield pa.RecordBatch.from_arrays([pa.array([n.as_py()], pa.int64()), pa.array([np.unique(shingle_set(t.as_py(), shingle_words).astype(np.uint32)).view(np.int32)], pa.list_(pa.int32()))], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([n.as_py()], pa.int64()), pa.array([shingle_set(t.as_py(), shingle_words).view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<int>")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -88,48 +93,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, size): for each node the rarest of its shingles, so many that any two sets of that similarity share one.
+    """(key, pos, node, size, bits): for each node the rarest of its shingles, so many that any two sets of that similarity share one.
 
     Shingles stand in one order for all, by how many of the nodes have them; of a set of n, all but the last
-    similarity * n, rounded up, and one more are taken. What one node alone has gives no key but fills its place.
+    similarity * n, rounded up, and one more are taken, with their places in that order, from 0. What one node alone has
+    gives no key but fills its place.
     """
-    s = nodes.join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    s = nodes.select("node").join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
     n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     line = s.join(n, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("line"))  # of one text
     first = F.slice("line", F.lit(1), F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1)
-    return line.select("node", "size", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("x.key", "node", "size")
+    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["key"].alias("key"), i.alias("pos"), x["n"].alias("n"))), lambda x: x["n"] > 1)
+    return line.select("node", "size", F.explode(placed).alias("x")).join(nodes.select("node", "bits"), "node").select("x.key", "x.pos", "node", "size", "bits")
+
+
+def _may_fit(similarity: float, x: str, y: str):
+    """Whether two members can have that similarity: no pair that has it fails, and no set is needed.
+
+    Of n and m shingles they then share s / (1 + s) * (n + m) at least. Where the first that they share stands at places
+    i and j of the common order, they share n - i and m - j at most; that holds for one of the keys of a pair. All others
+    are in one set alone, and the parity maps differ in as many bits at most.
+    """
+    of = lambda side, c: F.col(f"{side}.{c}")
+    total = (of(x, "size") + of(y, "size")).cast("double")
+    shared = F.least(of(x, "size") - of(x, "pos"), of(y, "size") - of(y, "pos"))
+    differ = F.aggregate(F.zip_with(of(x, "bits"), of(y, "bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    return (shared >= similarity / (1 + similarity) * total - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
 
 
-def _fit(similarity: float):
-    return lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+_MEMBER = ["node", "size", "pos", "bits"]
 
 
 def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int) -> DataFrame:
     """Links of each set with `hubs` sets of its key, chosen by hash, that are not known to belong with it."""
-    fits = _fit(similarity)
-    one = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("at"), "node", "part", "size"))
+    one = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("at"), "part", *_MEMBER))
     chosen = members.groupBy("key").agg(F.array(*[one(t) for t in range(hubs)]).alias("hubs"))
-    pairs = members.join(chosen, "key").select("node", "part", "size", F.explode("hubs").alias("hub")).where((F.col("part") != F.col("hub.part")) & fits(F.col("size"), F.col("hub.size")))
-    return stage_table(_confirmed(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
+    pairs = members.alias("m").join(chosen, "key").select("m.*", F.explode("hubs").alias("hub")).alias("m").where((F.col("m.part") != F.col("hub.part")) & _may_fit(similarity, "m", "hub"))
+    return stage_table(_confirmed(pairs.select(F.col("m.node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
 
 
 def _all_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links of every set outside its key's largest component with all sets of the key that are not known to belong with it."""
-    fits = _fit(similarity)
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & fits(F.col("l.size"), F.col("r.size"))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & _may_fit(similarity, "l", "r")
     pairs = members.where("part <> main").alias("l").join(members.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     return stage_table(_confirmed(pairs, sets, similarity), "links")
 
 
 def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members (key, node, size) with their component so far, part, of keys that still have more than one.
+    """The members with their component so far, part, of keys that still have more than one.
 
     main is the key's largest component, and n_out says how many of its sets are outside that one.
     """
-    m = members.select("key", "node", "size").join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    m = members.select("key", *_MEMBER).join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     m = stage_table(m, "parts")
     of = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), (F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
-    return stage_table(m.join(of, "key"), "open")
+    out = stage_table(m.join(of, "key"), "open")
+    drop_staged(m)
+    return out
 
 
 def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool = False) -> DataFrame:
@@ -138,9 +158,11 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool
     First each set is compared with one of its key, the hub, and what this leaves apart with HUBS more. After that only
     pairs in different components matter: all of a key's, where at most SMALL sets are outside its largest component.
     What is left of crowded keys is dealt anew by the rarest shingles (rare: these are the keys), which any two similar
-    sets share, and there all pairs in different components are compared. No similar pair of a key is left out, and the
-    number of rounds is fixed.
+    sets share, and there those in different components are compared. What sizes, places and parity maps exclude
+    (_may_fit) goes before any set moves; members may lack pos and bits, which then exclude nothing. No similar pair of a key is left out, and the number of rounds is fixed.
     """
+    spare = {"pos": F.lit(0), "bits": F.array().cast("array<bigint>")}
+    members = members.withColumns({c: v for c, v in spare.items() if c not in members.columns})
     links = _hub_links(members.withColumn("part", F.col("node")), sets, similarity, 1)
     m = _parted(members, links)
     if m.isEmpty():
@@ -150,7 +172,7 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool
     if m.isEmpty():
         return links
     links = links.unionByName(_all_links(m if rare else m.where(f"n_out <= {SMALL}"), sets, similarity))
-    crowded = m.where(f"n_out > {SMALL}").select("node").distinct()
+    crowded = m.where(f"n_out > {SMALL}").select("node", "bits").distinct()
     if rare or crowded.isEmpty():
         return links
     again = rare_shingles(crowded, sets, similarity)
@@ -163,19 +185,20 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
 
     Candidates share a one-wildcard signature of one of `tables` SimHashes of their words. The document with the
     smallest doc_id stays. Rows that repeat the kept doc_id and text are one document and stay once. A group without
-    any doc_id keeps the text with the smallest hash. Texts without words are one group. All columns of docs stay.
+    any doc_id keeps the text with the smallest hash. Texts without words, null or empty, are one group. An empty table
+    stays empty. All columns of docs stay.
     """
     mine = spare_names(docs, *KEYS)
     h, no = F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").isNull()
     named = docs.withColumns(dict(zip(mine, [F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), no, h], strict=True)))
     keyed = named.select(*[F.col(m).alias(k) for m, k in zip(mine, KEYS, strict=True)], "text")
     rows = stage_table(_prints(keyed, shingle_words, tables), "prints")
-    reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
+    reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fps").alias("fps")), "nodes")
     prints = reps.where("size > 0").select("node", F.posexplode("fps").alias("table", "fp"))
     members = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node"), "shared")
-    members = stage_table(members.join(reps.select("node", "size"), "node").select("key", "node", "size"), "members")
-    asked = reps.join(members.select("node").distinct(), "node").select("node", "x.*")
-    texts = keyed.join(asked.hint("merge"), KEYS)  # the same join at every size
+    members = stage_table(members.join(reps.select("node", "size", F.lit(0).alias("pos"), "bits"), "node").select("key", *_MEMBER), "members")
+    asked = stage_table(reps.join(members.select("node").distinct(), "node").select("node", "x.*"), "asked")
+    texts = maybe_among(keyed, "sim_h", asked).join(asked.hint("merge"), KEYS)  # the same join at every size
     sets = stage_table(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
     comp = connected_components(set_links(members, sets, similarity))
     low = reps.select("node", "x").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
