@@ -92,8 +92,9 @@ def signature_index(docs: DataFrame, name: str = "doc_id", text: str = "text") -
                 df.update(tf.keys())
                 if len(known) > _CACHE:
                     known.clear()
-                for w in tf.keys() - known.keys():
-                    known[w] = xxhash.xxh64_intdigest(w)
+                for w in tf:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w)
                 hashes = np.fromiter(map(known.__getitem__, tf), np.uint64, len(tf))
                 times = np.fromiter(tf.values(), np.int64, len(tf))
                 reached = np.searchsorted(levels, times, "right")
