@@ -1,46 +1,60 @@
-"""Keyword retrieval: postings, corpus statistics, BM25 scores and top-k for a whole table of queries."""
+"""Keyword retrieval: an index stored once for a state of the corpus, kept up by signed changes, and top-k that reads only lists that can matter."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokenize
-from ..sources.staging import stage_table
+from ..sources.staging import shared_dir, stage_table
 
-#: A query vocabulary up to this many rows is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: About so many sections share a bucket; a term's sections in a bucket are one block of its list.
+BUCKET = 1024
+#: The first pass reads each question's rarest terms as long as their lists hold so many sections for each of the k asked for.
+SEED = 40
+#: Scores closer than this count as equal.
+SAME = 1e-6
 
 
 class Index(NamedTuple):
-    """postings(key, term, tf, dl), terms(term, df, idf) and one row of n, avgdl."""
+    """forward(key, bucket, dl, terms, tfs), blocks(term, bucket, posts, n, max_tf, min_dl), terms(term, df, idf, max_tf, min_dl) and one row of n, avgdl."""
 
-    postings: DataFrame
+    forward: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
-def postings(sections: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl). The token array is made once and gives the length; only counted terms are shuffled."""
-    t = sections.select(F.col(key).alias("key"), tokenize(F.col(text)).alias("tokens"))
-    t = t.select("key", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return t.groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("key", "term", "tf", "dl")
+def forward_rows(sections: DataFrame, n_buckets: int, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, bucket, dl, terms, tfs): a section's different terms and how often it has each. No shuffle.
 
+    The tokens are sorted within the row, where equal ones stand together; where they begin gives the numbers.
+    """
+    t = sections.select(F.col(key).alias("key"), F.array_sort(tokenize(F.col(text))).alias("s"))
+    begins = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (x != F.get("s", i - 1)), i)), lambda i: i.isNotNull())
+    t = t.select("key", "s", F.size("s").cast("long").alias("dl"), begins.alias("at"))
+    ends = F.when(F.size("at") > 0, F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("s")))).otherwise(F.col("at"))
+    return t.select("key", F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int").alias("bucket"), "dl", F.transform("at", lambda i: F.get("s", i)).alias("terms"), F.zip_with("at", ends, lambda a, b: (b - a).cast("long")).alias("tfs"))
 
-def bm25_stats(sections: DataFrame, key: str = "key", text: str = "text", eps: float = 0.25) -> Index:
-    """AG1. Negative idf values become eps times the mean idf of the whole vocabulary, negatives included.
 
-    The postings are written once to the shared folder, since statistics and scores both read them.
-    """
-    post = stage_table(postings(sections, key, text), "postings")
-    stats = sections.agg(F.count(F.lit(1)).alias("n")).join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")), F.lit(True), "left")
-    stats = stats.select("n", (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True), "left")  # one row
-    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean), F.lit(True), "left").select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * eps).otherwise(F.col("raw")).alias("idf"))
-    return Index(post, terms, stats)
+def postings(forward: DataFrame) -> DataFrame:
+    """(key, bucket, term, tf, dl): a row for each term of each section."""
+    return forward.select("key", "bucket", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("key", "bucket", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), "dl")
+
+
+def _counts(post: DataFrame) -> DataFrame:
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def _totals(forward: DataFrame) -> DataFrame:
+    return forward.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+
+
+def _blocks(forward: DataFrame) -> DataFrame:
+    """A term's sections of a bucket in a row, so no list has a row of its own that grows with the corpus."""
+    return postings(forward).groupBy("term", "bucket").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("posts"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
 def corpus_signature(sections: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
@@ -48,17 +62,134 @@ def corpus_signature(sections: DataFrame, key: str = "key", text: str = "text")
     return sections.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.xxhash64(key).bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("keys_hash"))
 
 
-def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """AG2: (query_id, key, score) with score above 0. Repeated query tokens count each.
+def _state(sections: DataFrame, key: str, text: str) -> str:
+    """The name of a state: the signature and the sections' contents."""
+    content = sections.agg(F.coalesce(F.sum(F.xxhash64(key, text).bitwiseAND((1 << 40) - 1)), F.lit(0)).alias("content"))
+    return "-".join(str(v) for v in corpus_signature(sections, key, text).join(content, F.lit(True), "left").first())  # one row each
+
+
+class Store:
+    """An index below a folder: totals, terms' counts, forward rows and blocks of postings, each a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.table(name)
+
+    def has(self, name: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def index(self, eps: float = 0.25) -> Index:
+        if not self.has("blocks"):
+            self.put("blocks", _blocks(self.table("forward")))
+        return Index(self.table("forward"), self.table("blocks"), *self.terms(eps))
+
+    def terms(self, eps: float = 0.25) -> tuple[DataFrame, DataFrame]:
+        """Terms with their idf, and one row of n, avgdl. Negative idf values become eps times the mean of all, negatives included."""
+        stats = self.table("totals").select("n", (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
+        df = self.table("counts").join(F.broadcast(stats), F.lit(True), "left")  # one row
+        raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw").alias("mean"))
+        idf = F.when(F.col("raw") < 0, F.col("mean") * eps).otherwise(F.col("raw"))
+        return raw.join(F.broadcast(mean), F.lit(True), "left").select("term", "df", idf.alias("idf"), "max_tf", "min_dl"), stats
+
+    def n_buckets(self) -> int:
+        return self.table("totals").first()["n_buckets"]
+
+
+def build_store(sections: DataFrame, path: str, key: str = "key", text: str = "text") -> Store:
+    """AG1: a new store for the sections; texts are tokenised once and only counts of terms are shuffled."""
+    store = Store(sections.sparkSession, path)
+    n_buckets = max(1, -(-sections.count() // BUCKET))
+    forward = store.put("forward", forward_rows(sections, n_buckets, key, text))
+    store.put("totals", _totals(forward).withColumn("n_buckets", F.lit(n_buckets)))
+    store.put("counts", _counts(postings(forward)))
+    return store
+
+
+def open_store(sections: DataFrame, key: str = "key", text: str = "text") -> Store:
+    """The stored index of this state of the sections, built where there is none yet.
 
-    The postings are cut to the queries' vocabulary before anything is shuffled.
+    It lies in the shared folder under the name of the state; a new one is made aside and renamed when complete, so two
+    jobs that build the same never see each other's halves.
     """
+    spark = sections.sparkSession
+    base = shared_dir(spark)
+    path = f"{base.rsplit('/', 1)[0]}/quill-bm25-{_state(sections, key, text)}"
+    if not Store(spark, path).has("counts"):
+        build_store(sections, base, key, text)
+        here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (base, path))
+        files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.rename(here, there):
+            files.delete(here, True)
+    return Store(spark, path)
+
+
+def change_store(store: Store, removed: DataFrame, added: DataFrame, path: str, key: str = "key", text: str = "text") -> Store:
+    """The store after a change, below path: sections with a key of removed or added go, those of added come.
+
+    Totals and terms' counts are the stored ones plus signed changes, which only the sections that come or go are read
+    for; buckets that have none of them keep their blocks. What a term's largest tf and smallest length were stays a
+    bound after deletions. The result equals a new store of the same sections but for such bounds.
+    """
+    new, n_buckets = Store(store.spark, path), store.n_buckets()
+    keys = removed.select(F.col(key).alias("key")).unionByName(added.select(F.col(key).alias("key"))).distinct()
+    forward = store.table("forward")
+    come = stage_table(forward_rows(added, n_buckets, key, text), "come")
+    gone = stage_table(forward.join(keys, "key", "left_semi"), "gone")
+    after = new.put("forward", forward.join(keys, "key", "left_anti").unionByName(come))
+    signed = lambda df, sign: df.withColumn("sign", F.lit(sign))
+    totals = reduce(DataFrame.unionByName, [signed(store.table("totals").select("n", "tokens"), 1), signed(_totals(come), 1), signed(_totals(gone), -1)])
+    new.put("totals", totals.agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("n", "tokens")]).withColumn("n_buckets", F.lit(n_buckets)))
+    counts = reduce(DataFrame.unionByName, [signed(store.table("counts"), 1), signed(_counts(postings(come)), 1), signed(_counts(postings(gone)), -1)])
+    was = F.col("sign") > 0
+    new.put("counts", counts.groupBy("term").agg(F.sum(F.col("df") * F.col("sign")).alias("df"), F.max(F.when(was, F.col("max_tf"))).alias("max_tf"), F.min(F.when(was, F.col("min_dl"))).alias("min_dl")).where("df > 0"))
+    if store.has("blocks"):
+        touched = come.select("bucket").unionByName(gone.select("bucket")).distinct()
+        new.put("blocks", store.table("blocks").join(touched, "bucket", "left_anti").unionByName(_blocks(after.join(touched, "bucket", "left_semi")).select(*store.table("blocks").columns)))
+    return new
+
+
+def bm25_stats(sections: DataFrame, key: str = "key", text: str = "text", eps: float = 0.25) -> Index:
+    """AG1: the index of the sections, from the store of their state."""
+    return open_store(sections, key, text).index(eps)
+
+
+def _part(tf, dl, k1: float, b: float):
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def _asked(queries: DataFrame, index: Index, k1: float, b: float) -> DataFrame:
+    """(query_id, term, w, most, df): the terms of each question that the index has, repeated ones with the sum of their weights, and the most each can add to a score."""
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = stage_table(q.join(index.terms, "term"), "question_terms")
-    weighted = F.broadcast(q) if q.count() <= BROADCAST_TERMS else q
-    s = index.postings.join(weighted, "term").join(F.broadcast(index.stats), F.lit(True), "left")
-    part = F.col("idf") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return s.groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
+    q = q.join(index.terms, "term").join(F.broadcast(index.stats), F.lit(True)).withColumn("w", F.col("idf") * F.col("qtf"))  # one row
+    return q.select("query_id", "term", "w", F.greatest(F.lit(0.0), F.col("w") * _part(F.col("max_tf"), F.col("min_dl"), k1, b)).alias("most"), "df")
+
+
+def _sums(index: Index, asked: DataFrame, scope: DataFrame | None, k1: float, b: float) -> DataFrame:
+    """(query_id, key, part): what the asked terms (query_id, term, w) add to the score of each section in their lists."""
+    s = index.blocks.select("term", "posts").join(asked.select("query_id", "term", "w"), "term").select("query_id", "w", F.inline("posts"))
+    s = s.join(F.broadcast(index.stats.select("avgdl")), F.lit(True))  # one row
+    s = s.groupBy("query_id", "key").agg(F.sum(F.col("w") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("part"))
+    return s if scope is None else s.join(scope, ["query_id", "key"], "left_semi")
+
+
+def _exact(index: Index, pairs: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, key, score) of pairs (query_id, key), from the forward rows of their sections alone."""
+    own = postings(index.forward.join(pairs.select("key").distinct(), "key", "left_semi")).select("key", "term", "tf", "dl")
+    s = pairs.join(asked.select("query_id", "term", "w"), "query_id").join(own, ["key", "term"]).join(F.broadcast(index.stats.select("avgdl")), F.lit(True))  # one row
+    return s.groupBy("query_id", "key").agg(F.sum(F.col("w") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("score")).where("score > 0")
+
+
+def bm25_scores(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """AG2: (query_id, key, score) of all sections with a score above 0. Repeated query tokens count each."""
+    return _sums(index, stage_table(_asked(queries, index, k1, b), "asked"), None, k1, b).withColumnRenamed("part", "score").where("score > 0")
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
@@ -66,14 +197,58 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _needed(asked: DataFrame, least: DataFrame) -> DataFrame:
+    """asked with is_needed, and rest, what all terms that are not needed can add.
+
+    The terms with the smallest most, as long as together they stay below the least score, lift no section there alone:
+    whatever reaches it has one of the others.
+    """
+    order = Window.partitionBy("query_id").orderBy("most", "term")
+    a = asked.join(least, "query_id", "left").withColumn("upto", F.sum("most").over(order)).withColumn("is_needed", F.col("upto") >= F.coalesce("least", F.lit(0.0)) - SAME)
+    return a.withColumn("rest", F.sum(F.when(~F.col("is_needed"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query_id")))
+
+
+def _plan(queries: DataFrame, index: Index, k: int, scope: DataFrame | None, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """The questions' terms as _needed has them, and which of them the first pass read."""
+    asked = stage_table(_asked(queries, index, k1, b), "asked")
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    seeds = asked.withColumn("upto", F.sum("df").over(rare)).where((F.col("upto") - F.col("df") < k * SEED) & (F.col("w") > 0))
+    seeds = seeds.withColumn("first", F.row_number().over(rare)).where((F.col("upto") <= 4 * k * SEED) | (F.col("first") == 1)).drop("upto", "first")
+    found = _sums(index, seeds, scope, k1, b)
+    best = Window.partitionBy("query_id").orderBy(F.desc("part"), "key")
+    first = stage_table(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * k).select("query_id", "key"), "first")
+    least = _top(_exact(index, first, asked, k1, b), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    return stage_table(_needed(asked, least), "needed"), seeds
+
+
+def _pruned(queries: DataFrame, index: Index, k: int, scope: DataFrame | None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The scores of all sections that can be among the k best of a question, in two passes.
+
+    The first scores what the rarest terms of a question find; its k-th score is the least that others have to reach.
+    Lists of terms that can't lift a section there, the longest ones mostly, are not read any more (_needed); a section
+    from the other lists is scored exactly, from its forward row, if what it has so far and the rest reach the least.
+    """
+    asked, _ = _plan(queries, index, k, scope, k1, b)
+    found = _sums(index, asked.where("is_needed"), scope, k1, b)
+    bound = asked.groupBy("query_id").agg(F.max("rest").alias("rest"), F.max("least").alias("least"))
+    open_ = found.join(bound, "query_id").where(F.col("part") + F.col("rest") >= F.coalesce("least", F.lit(0.0)) - SAME)
+    return _exact(index, stage_table(open_.select("query_id", "key"), "open"), asked, k1, b)
+
+
+def bm25_read_share(queries: DataFrame, index: Index, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, n_postings, n_read): the lengths of a question's lists and how much of them bm25_topk reads, in both passes."""
+    asked, seeds = _plan(queries, index, k, None, k1, b)
+    first = seeds.groupBy("query_id").agg(F.sum("df").alias("n_first"))
+    a = asked.groupBy("query_id").agg(F.sum("df").alias("n_postings"), F.sum(F.when(F.col("is_needed"), F.col("df")).otherwise(0)).alias("n_second"))
+    return a.join(first, "query_id", "left").select("query_id", "n_postings", (F.coalesce("n_first", F.lit(0)) + F.col("n_second")).alias("n_read"))
+
+
 def bm25_topk(queries: DataFrame, index: Index, k: int = 20, scope: DataFrame | None = None, scope_first: bool = True) -> DataFrame:
     """TK1, TK2, TK5: (query_id, key, rank, score). A scope, rows (query_id, key), is applied before the cut or after.
 
     Statistics stay those of the whole corpus either way. Equal scores are ordered by key.
     """
-    scores = bm25_scores(queries, index)
-    if scope is None:
-        return _top(scores, k).select("query_id", "key", "rank", "score")
-    if scope_first:
-        return _top(scores.join(scope, ["query_id", "key"], "left_semi"), k).select("query_id", "key", "rank", "score")
-    return _top(scores, k).join(scope, ["query_id", "key"], "left_semi").select("query_id", "key", "rank", "score")
+    top = _top(_pruned(queries, index, k, scope if scope_first else None), k)
+    if scope is not None and not scope_first:
+        top = top.join(scope, ["query_id", "key"], "left_semi")
+    return top.select("query_id", "key", "rank", "score")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import has_exact_id, snippet
+from ..sources.staging import stage_table
 from .bm25 import Index, bm25_topk
+from .catalog import match_docs
 from .vectors import vector_topk
 
 
@@ -102,21 +104,40 @@ def attach_names(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(docs.select("doc_id", F.col("name").alias("doc_name")), "doc_id", "left")
 
 
-def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, sections: DataFrame, docs: DataFrame, k: int = 12, scope: DataFrame | None = None, rrf_k: int = 60) -> DataFrame:
-    """CJ1: (query_id, rank, doc_id, section_id, doc_name, title, text, distance).
+def _route(queries: DataFrame, sections: DataFrame, docs: DataFrame) -> DataFrame:
+    """The scope (query_id, key) of the questions whose words name documents (JN1); the others have no row and no filter."""
+    return match_docs(queries, docs).join(sections.select("key", "doc_id"), "doc_id").select("query_id", "key")
+
 
-    queries (query_id, text, embedding); vectors (key, embedding), keys "doc:section" shared with the index; sections
-    (key, doc_id, section_id, title, text). Vector and keyword top k + 5 under the scope are fused. A query without any
-    vector hit takes BM25's first of all sections at distance 0 if it names an exact identifier, else nothing.
+def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, sections: DataFrame, docs: DataFrame, k: int = 12, scope: DataFrame | None = None, rrf_k: int = 60) -> DataFrame:
+    """CJ1: (query_id, rank, doc_id, section_id, doc_name, title, text, snippet, distance).
+
+    queries (query_id, text, embedding); vectors (key, embedding), a row for each chunk, keys "doc:section" shared with the
+    index; sections (key, doc_id, section_id, title, text). Given a scope (query_id, key), all questions stay within
+    theirs. Without one, questions that name documents stay within those, and the others are not filtered.
+    The k + 5 nearest chunks and the k + 5 best sections by keywords are fused into k + 5 sections at most. A question
+    without keyword hits keeps the order of its chunks, of which the first of a section counts. One without any vector
+    hit takes BM25's first of all sections at distance 0 if it names an exact identifier, else nothing.
     """
-    vec = vector_topk(queries, vectors, k + 5, scope).withColumn("rank", F.col("rank") - 1)
-    key = bm25_topk(queries, index, k + 5, scope).withColumn("rank", F.col("rank") - 1)
+    most = k + 5
+    within = stage_table(_route(queries, sections, docs) if scope is None else scope.select("query_id", "key"), "scope")
+    asks = stage_table(queries.select("query_id", "text", "embedding").join(within.select("query_id", F.lit(True).alias("is_scoped")).distinct(), "query_id", "left"), "asks")
+    scoped, free = asks.where("is_scoped" if scope is None else "true"), asks.where("is_scoped is null" if scope is None else "false")
+    vec = vector_topk(scoped, vectors, most, within)
+    key = bm25_topk(scoped, index, most, within)
+    if scope is None:
+        vec = vec.unionByName(vector_topk(free, vectors, most))
+        key = key.unionByName(bm25_topk(free, index, most))
+    vec = stage_table(vec.withColumn("rank", F.col("rank") - 1), "near")
     found = vec.select("query_id").distinct()
-    fused = rrf_fuse(vec, key.join(found, "query_id", "left_semi"), rrf_k)
-    lost = queries.join(found, "query_id", "left_anti").where(has_exact_id(F.col("text")))
-    only = bm25_topk(lost, index, 1).select("query_id", "key", F.lit(0.0).alias("rrf_score"), F.lit(0.0).alias("distance"), "rank")
-    hits = fused.withColumn("named", F.lit(True)).unionByName(only.withColumn("named", F.lit(False)))
-    hits = hits.join(sections.select("key", "doc_id", "section_id"), "key")
-    hits = dedup_sections(hits).where(F.col("rank") <= k)
+    key = stage_table(key.withColumn("rank", F.col("rank") - 1).join(found, "query_id", "left_semi"), "worded")
+    both = key.select("query_id").distinct()
+    fused = rrf_fuse(vec.join(both, "query_id", "left_semi"), key, rrf_k).where(F.col("rank") <= most).select("query_id", "key", "distance", "rank")
+    alone = vec.join(both, "query_id", "left_anti").groupBy("query_id", "key").agg(F.min_by("distance", "rank").alias("distance"), F.min("rank").alias("rank"))
+    lost = asks.join(found, "query_id", "left_anti").where(has_exact_id(F.col("text")))
+    only = bm25_topk(lost, index, 1).select("query_id", "key", F.lit(0.0).alias("distance"), "rank")
+    hits = fused.unionByName(alone.select(*fused.columns)).withColumn("named", F.lit(True)).unionByName(only.withColumn("named", F.lit(False)))
+    hits = dedup_sections(hits.join(sections.select("key", "doc_id", "section_id"), "key"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "key")))
     hits = attach_names(hits, docs).withColumn("doc_name", F.when(F.col("named"), F.col("doc_name")))
     return hits.join(sections.select("key", "title", "text"), "key").select("query_id", "rank", "doc_id", "section_id", "doc_name", "title", "text", snippet(F.col("text")).alias("snippet"), "distance")

@@ -84,7 +84,14 @@ def bm25_cut_then_scope(spark, sf_dir):
 @query(f"WITH {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_terms(spark, sf_dir):
     """AG1: document frequency and idf of every term."""
-    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    terms, _ = bm25.open_store(read(spark, sf_dir, "documents"), "doc_id").terms()
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query()
+def bm25_read_share(spark, sf_dir):
+    """TK1: how many postings of its terms each benchmark passage has, and how many the two passes read."""
+    return bm25.bm25_read_share(_questions(spark, sf_dir), _index(spark, sf_dir), 20)
 
 
 @query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
@@ -142,11 +149,14 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("query_id % 20 = 0")
 
 
-def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """For each seeker the nearest vectors and the best documents for its question, as chunks of 50 sections; ranks from 0."""
-    vec = vectors.vector_topk(_seekers(spark, sf_dir), _vectors(spark, sf_dir), 40).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"), "distance")
-    key = bm25.bm25_topk(_asked(spark, sf_dir), _index(spark, sf_dir), 30).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"))
-    return vec, key
+def _vector_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each seeker the nearest vectors, as chunks of 50 sections; ranks from 0."""
+    return vectors.vector_topk(_seekers(spark, sf_dir), _vectors(spark, sf_dir), 40).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"), "distance")
+
+
+def _keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each seeker the best documents for its question, as chunks of 50 sections; ranks from 0."""
+    return bm25.bm25_topk(_asked(spark, sf_dir), _index(spark, sf_dir), 30).select("query_id", (F.col("key") % 50).alias("key"), F.col("key").alias("doc_id"), (F.col("rank") - 1).alias("rank"))
 
 
 _ASKED_TOKENS = _TOKENS.replace("SELECT item_id AS id, lower(text) AS t FROM benchmark", r"SELECT doc_id AS id, lower(array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')) AS t FROM documents WHERE doc_id % 20 = 0")
@@ -166,21 +176,20 @@ f AS (SELECT coalesce(v1.query_id, b1.query_id) AS query_id, coalesce(v1.key, b1
 SELECT query_id, key, round(s, 6) AS rrf_score, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS rank FROM f""")
 def rrf_fusion(spark, sf_dir):
     """WN1, JN5, ST1: ranks from 0, the worst chunk of a section counts."""
-    vec, key = _two_rankings(spark, sf_dir)
-    return fusion.rrf_fuse(vec, key).select("query_id", "key", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 6).alias("distance"), "rank")
+    return fusion.rrf_fuse(_vector_ranking(spark, sf_dir), _keyword_ranking(spark, sf_dir)).select("query_id", "key", F.round("rrf_score", 6).alias("rrf_score"), F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(f"WITH {_VEC_RANKS}, d AS (SELECT query_id, key, min(rank) AS rank FROM v GROUP BY ALL) SELECT query_id, string_agg(key::VARCHAR, ',' ORDER BY rank) AS sections, count(*) AS n FROM d GROUP BY query_id")
 def hit_doc_order(spark, sf_dir):
     """WN3: distinct sections by first position."""
-    vec, _ = _two_rankings(spark, sf_dir)
+    vec = _vector_ranking(spark, sf_dir)
     return fusion.hit_docs(vec.select("query_id", F.col("key").alias("doc_id"), "rank")).select("query_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("sections"), F.size("doc_ids").cast("long").alias("n"))
 
 
 @query(f"WITH {_VEC_RANKS} SELECT query_id, key, doc_id, rank FROM v QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1")
 def section_dedup(spark, sf_dir):
     """WN2: the first hit of each section."""
-    vec, _ = _two_rankings(spark, sf_dir)
+    vec = _vector_ranking(spark, sf_dir)
     hits = vec.select("query_id", F.col("key").alias("doc_id"), F.lit(0).alias("section_id"), F.col("doc_id").alias("chunk"), "rank")
     return fusion.dedup_sections(hits).select("query_id", F.col("doc_id").alias("key"), F.col("chunk").alias("doc_id"), "rank")
 
@@ -212,13 +221,25 @@ def read_budget(spark, sf_dir):
     return out.select("request_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join(F.transform("truncated_ids", lambda x: x.cast("string")), ",").alias("truncated"))
 
 
+#: SQL: of names and questions t (side, id, x) the pairs with the most shared name tokens, two at least.
+_NAMES = r"""
+n_w AS (SELECT side, id, unnest(regexp_extract_all(x, '[a-z0-9]{3,}')) AS token FROM t),
+n_r AS (SELECT side, id, generate_subscripts(rs, 1) AS r, unnest(rs) AS run FROM (SELECT side, id, regexp_extract_all(x, '[a-z0-9.]+') AS rs FROM t)),
+n_s AS (SELECT side, id, r, generate_subscripts(ss, 1) AS i, unnest(ss) AS seg FROM (SELECT side, id, r, string_split(run, '.') AS ss FROM n_r)),
+n_f AS (SELECT *, regexp_full_match(seg, 'v?\d+') AS fits, coalesce(regexp_full_match(lag(seg) OVER (PARTITION BY side, id, r ORDER BY i), 'v?\d+'), false) AS after FROM n_s),
+n_c AS (SELECT *, sum(CASE WHEN fits AND NOT (after AND regexp_full_match(seg, '\d+')) THEN 1 ELSE 0 END) OVER (PARTITION BY side, id, r ORDER BY i) AS chain FROM n_f),
+n_v AS (SELECT side, id, string_agg(seg, '.' ORDER BY i) AS v FROM n_c WHERE fits GROUP BY side, id, r, chain),
+n_k AS (SELECT DISTINCT * FROM (SELECT * FROM n_w UNION ALL SELECT * FROM n_v UNION ALL SELECT side, id, regexp_replace(v, '^v+', '') FROM n_v UNION ALL SELECT side, id, string_split(v, '.')[1] FROM n_v WHERE contains(v, '.'))),
+n_n AS (SELECT q.id AS query_id, d.id AS doc_id, count(*) AS overlap FROM n_k q JOIN n_k d ON q.token = d.token AND q.side = 'q' AND d.side = 'd' GROUP BY ALL HAVING count(*) >= 2),
+named AS (SELECT query_id, doc_id, overlap FROM n_n QUALIFY overlap = max(overlap) OVER (PARTITION BY query_id))"""
+
 _HYBRID = f"""{_ASKED_TOKENS}, {_NEAR},
 v AS (SELECT query_id, key, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS r FROM near WHERE query_id IN (SELECT doc_id FROM documents) QUALIFY r < 17),
 b AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r FROM score WHERE query_id IN (SELECT query_id FROM v) QUALIFY r < 17),
 f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.key, b.key) AS key, coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS s, coalesce(distance, 0.5) AS distance
       FROM v FULL JOIN b ON v.query_id = b.query_id AND v.key = b.key),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS rank FROM f),
-h AS (SELECT query_id, rank, d.doc_id, d.lang AS doc_name, d.source AS title, d.text, round(distance, 6) AS distance FROM r JOIN documents d ON d.doc_id = r.key WHERE rank <= 12)"""
+h AS (SELECT query_id, rank, d.doc_id, d.lang AS doc_name, d.source AS title, d.text, round(distance, 6) AS distance FROM r JOIN documents d ON d.doc_id = r.key WHERE rank <= 17)"""
 
 
 def _hybrid(spark, sf_dir) -> DataFrame:
@@ -250,6 +271,40 @@ def question_prompts(spark, sf_dir):
     return out.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.coalesce("has", F.lit(False)).alias("has_context"))
 
 
+_ROUTED_TOKENS = _TOKENS.replace("SELECT item_id AS id, lower(text) AS t FROM benchmark", "SELECT id, lower(x) AS t FROM a")
+
+
+@query(rf"""WITH a AS (SELECT doc_id AS id, CASE doc_id % 60 WHEN 0 THEN f WHEN 20 THEN '?' ELSE reverse(f) || ' code 1234' END AS x
+  FROM (SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ') AS f FROM documents WHERE doc_id % 20 = 0) WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+{_ROUTED_TOKENS}, {_NEAR},
+names AS (SELECT doc_id // 4 AS doc, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 4), ' ') AS name FROM documents WHERE doc_id % 4 = 0),
+t AS (SELECT 'd' AS side, doc AS id, lower(name) AS x FROM names UNION ALL SELECT 'q', id, lower(x) FROM a),
+{_NAMES},
+ok AS (SELECT a.id AS query_id, d.doc FROM a, (SELECT DISTINCT doc_id // 4 AS doc FROM documents) d WHERE a.id NOT IN (SELECT query_id FROM named) OR EXISTS (SELECT 1 FROM named n WHERE n.query_id = a.id AND n.doc_id = d.doc)),
+v AS (SELECT near.query_id, key // 2 AS key, distance, row_number() OVER (PARTITION BY near.query_id ORDER BY distance, key // 2) - 1 AS r FROM near JOIN ok ON ok.query_id = near.query_id AND ok.doc = key // 8 QUALIFY r < 17),
+b AS (SELECT s.query_id, doc_id AS key, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) - 1 AS r FROM score s JOIN ok ON ok.query_id = s.query_id AND ok.doc = doc_id // 4 WHERE s.query_id IN (SELECT query_id FROM v) QUALIFY r < 17),
+v1 AS (SELECT query_id, key, max(r) AS r, arg_max(distance, r) AS distance FROM v WHERE query_id IN (SELECT query_id FROM b) GROUP BY ALL),
+f AS (SELECT coalesce(v1.query_id, b.query_id) AS query_id, coalesce(v1.key, b.key) AS key, coalesce(1.0 / (60 + v1.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS s, coalesce(distance, 0.5) AS distance
+      FROM v1 FULL JOIN b ON v1.query_id = b.query_id AND v1.key = b.key),
+h AS (
+  SELECT query_id, key, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS rank, true AS has_name FROM f QUALIFY rank <= 17
+  UNION ALL SELECT query_id, key, arg_min(distance, r), row_number() OVER (PARTITION BY query_id ORDER BY min(r)), true FROM v WHERE query_id NOT IN (SELECT query_id FROM b) GROUP BY query_id, key
+  UNION ALL SELECT s.query_id, doc_id, 0.0, 1, false FROM score s JOIN a ON a.id = s.query_id WHERE s.query_id NOT IN (SELECT query_id FROM v) AND regexp_matches(x, '\d{{4,}}|/|(?i)(code|错误码|error)\s*[=:：]?\s*\d') QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) = 1)
+SELECT query_id, rank, key // 4 AS doc_id, key % 4 AS section_id, CASE WHEN has_name THEN name END AS doc_name, round(distance, 6) AS distance FROM h LEFT JOIN names ON names.doc = key // 4""")
+def hybrid_routed(spark, sf_dir):
+    """CJ1, JN1: four texts are a document, two vectors the chunks of a section; some questions name documents, some have no words."""
+    d = read(spark, sf_dir, "documents")
+    lead = lambda n: F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " ")
+    s = d.select(F.col("doc_id").alias("key"), F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4).alias("section_id"), F.col("source").alias("title"), "text")
+    names = d.where("doc_id % 4 = 0").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), lead(4).alias("name"))
+    kind = F.col("query_id") % 60
+    asked = _asked(spark, sf_dir).withColumn("text", F.when(kind == 0, F.col("text")).when(kind == 20, "?").otherwise(F.concat(F.reverse("text"), F.lit(" code 1234"))))
+    q = asked.join(_seekers(spark, sf_dir).select("query_id", "embedding"), "query_id")
+    chunks = _vectors(spark, sf_dir).select(F.floor(F.col("key") / 2).alias("key"), "embedding")
+    out = fusion.hybrid_retrieve(q, _index(spark, sf_dir), chunks, s, names)
+    return out.select("query_id", "rank", "doc_id", "section_id", "doc_name", F.round("distance", 6).alias("distance"))
+
+
 @query("""SELECT e.vec_id AS chunk_id, d.doc_id, coalesce(nullif(d.source, 'src0'), 'chunk ' || e.vec_id) AS section_title, md5(coalesce(nullif(d.text, ''), 'label ' || e.label)) AS section_md5, d.lang AS doc_name
 FROM (SELECT *, vec_id % 700 AS doc_id FROM embeddings) e LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NOT NULL
 UNION ALL SELECT e.vec_id, e.doc_id, 'chunk ' || e.vec_id, md5('label ' || e.label), NULL FROM (SELECT *, vec_id % 700 AS doc_id FROM embeddings) e WHERE e.doc_id NOT IN (SELECT doc_id FROM documents)""")
@@ -262,16 +317,8 @@ def chunk_sections(spark, sf_dir):
     return out.select("chunk_id", "doc_id", "section_title", F.md5(F.col("section_text").cast("binary")).alias("section_md5"), "doc_name")
 
 
-@query(r"""WITH t AS (SELECT 'd' AS side, doc_id AS id, lower(string_split(text, chr(10))[1]) AS x FROM documents UNION ALL SELECT 'q', item_id, lower(text) FROM benchmark),
-w AS (SELECT side, id, unnest(regexp_extract_all(x, '[a-z0-9]{3,}')) AS token FROM t),
-r AS (SELECT side, id, generate_subscripts(rs, 1) AS r, unnest(rs) AS run FROM (SELECT side, id, regexp_extract_all(x, '[a-z0-9.]+') AS rs FROM t)),
-s AS (SELECT side, id, r, generate_subscripts(ss, 1) AS i, unnest(ss) AS seg FROM (SELECT side, id, r, string_split(run, '.') AS ss FROM r)),
-f AS (SELECT *, regexp_full_match(seg, 'v?\d+') AS fits, coalesce(regexp_full_match(lag(seg) OVER (PARTITION BY side, id, r ORDER BY i), 'v?\d+'), false) AS after FROM s),
-c AS (SELECT *, sum(CASE WHEN fits AND NOT (after AND regexp_full_match(seg, '\d+')) THEN 1 ELSE 0 END) OVER (PARTITION BY side, id, r ORDER BY i) AS chain FROM f),
-v AS (SELECT side, id, string_agg(seg, '.' ORDER BY i) AS v FROM c WHERE fits GROUP BY side, id, r, chain),
-k AS (SELECT DISTINCT * FROM (SELECT * FROM w UNION ALL SELECT * FROM v UNION ALL SELECT side, id, regexp_replace(v, '^v+', '') FROM v UNION ALL SELECT side, id, string_split(v, '.')[1] FROM v WHERE contains(v, '.'))),
-n AS (SELECT q.id AS query_id, d.id AS doc_id, count(*) AS overlap FROM k q JOIN k d ON q.token = d.token AND q.side = 'q' AND d.side = 'd' GROUP BY ALL HAVING count(*) >= 2)
-SELECT query_id, doc_id, overlap FROM n QUALIFY overlap = max(overlap) OVER (PARTITION BY query_id)""")
+@query(f"""WITH t AS (SELECT 'd' AS side, doc_id AS id, lower(string_split(text, chr(10))[1]) AS x FROM documents UNION ALL SELECT 'q', item_id, lower(text) FROM benchmark),
+{_NAMES} SELECT query_id, doc_id, overlap FROM named""")
 def name_routing(spark, sf_dir):
     """JN1: documents named by their first line, asked for by benchmark passages."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("name"))
