@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import name_tokens
+from ..sources.staging import stage_table
+from . import split
+from .split import index_documents
 
 
 def match_docs(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -109,29 +112,53 @@ def section_directory(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.length("text")).alias("chars"), F.array_sort(F.collect_list(row)).alias("listing"))
 
 
+def _like(rows: DataFrame, old: DataFrame) -> DataFrame:
+    """rows with the columns of old; what they lack is null."""
+    kinds = dict(old.dtypes)
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in old.columns])
+
+
 def sync_index(docs: DataFrame, texts: DataFrame, chunks: DataFrame, sections: DataFrame, backup: DataFrame, force: bool = False) -> dict[str, DataFrame]:
-    """CJ3: chunks and sections without orphans and with restored sections, what to index, and a report row."""
-    none = docs.select("doc_id").where(F.lit(False))
-    gone = orphans(chunks, docs)
-    todo = missing(none if force else chunks, docs, texts)
-    restored = section_gaps(docs, chunks, sections, backup)
+    """CJ3: docs, chunks and sections after a consistency run, to_index, and a report row.
+
+    Rows of documents that the catalog lacks go. Ready or indexing documents with a text but without chunks are split
+    and indexed (TX10), and those that were indexing become ready. Ready documents with chunks but without sections get
+    theirs back from the backup. force: all chunks go first, so every document with a text is indexed anew. New rows
+    have the columns of the given tables. A second run over the result finds nothing to do.
+    """
+    kept = chunks.where(F.lit(False)) if force else chunks
+    gone = orphans(kept, docs)
+    todo = stage_table(missing(kept, docs, texts), "to_index")
+    fresh = stage_table(index_documents(texts.join(todo.select("doc_id"), "doc_id", "left_semi")), "indexed")
+    found = delete_docs(kept, gone)
+    left = delete_docs(delete_docs(sections, orphans(sections, docs) if force else gone), todo)
+    restored = section_gaps(docs, found, left, backup)
+    ready = docs.join(todo.select("doc_id", F.lit(True).alias("is_new"), F.col("char_count").alias("new_chars")), "doc_id", "left")
+    status = F.when(F.col("is_new") & (F.col("status") == "indexing"), "ready").otherwise(F.col("status"))
+    ready = ready.withColumn("status", status)
+    if "char_count" in docs.columns:
+        ready = ready.withColumn("char_count", F.coalesce("new_chars", "char_count").cast(dict(docs.dtypes)["char_count"]))
     count = lambda df, name: df.select("doc_id").distinct().agg(F.count(F.lit(1)).alias(name))
     report = count(gone, "removed")
     for df, name in ((todo, "reindexed"), (restored, "fixed"), (docs, "total")):
         report = report.join(count(df, name), F.lit(True), "left")  # one row each
-    return {"chunks": delete_docs(chunks, gone), "sections": delete_docs(sections, gone).unionByName(restored), "to_index": todo, "report": report}
+    return {
+        "docs": ready.select(*docs.columns), "chunks": found.unionByName(_like(split.chunks(fresh), chunks)),
+        "sections": left.unionByName(restored.select(*sections.columns)).unionByName(_like(split.sections(fresh), sections)), "to_index": todo, "report": report,
+    }
 
 
-def sync_job(spark: SparkSession, base: str, out: str, force: bool = False) -> DataFrame:
+def sync_job(spark: SparkSession, base: str, out: str, force: bool = False, state: str | None = None) -> DataFrame:
     """SS5: one run of the consistency check over the stored tables docs, texts, chunks, sections and backup below base.
 
     What sync_index makes of them is written below out, and the report row, which comes back, is added to out/reports
-    with its number. A scheduler calls this as often as it likes: with out as the next base's chunks and sections the
-    job finds nothing left to do.
+    with its time. A scheduler calls this as often as it likes: with the last out as state, where docs, chunks and
+    sections are then read, the job finds nothing left to do.
     """
-    t = {n: spark.read.parquet(f"{base}/{n}") for n in ("docs", "texts", "chunks", "sections", "backup")}
+    at = {n: f"{state or base}/{n}" for n in ("docs", "chunks", "sections")} | {n: f"{base}/{n}" for n in ("texts", "backup")}
+    t = {n: spark.read.parquet(p) for n, p in at.items()}
     done = sync_index(t["docs"], t["texts"], t["chunks"], t["sections"], t["backup"], force)
-    for name in ("chunks", "sections", "to_index"):
+    for name in ("docs", "chunks", "sections", "to_index"):
         done[name].write.mode("overwrite").parquet(f"{out}/{name}")
     done["report"].withColumn("at", F.current_timestamp()).write.mode("append").json(f"{out}/reports")
     return done["report"]

@@ -29,20 +29,24 @@ def graph_overview(services: DataFrame, edges: DataFrame) -> DataFrame:
     return graph_nodes(services, edges).agg(F.count(F.lit(1)).alias("services")).join(edges.agg(F.count(F.lit(1)).alias("edges")), F.lit(True), "left")
 
 
-def trace(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int = 6, mark: str = " (环)") -> DataFrame:
+def trace(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int = 6, mark: str = "(环)", services: DataFrame | None = None) -> DataFrame:
     """GR1: (start, path, depth, is_cycle): all paths from each start to a leaf, to max_depth or to a repeated node.
 
-    Repeated edges give repeated paths; a start without edges gives none. The frontier is joined with the edges on its
-    last node, once for each level; finished paths leave it. The mark is appended to the repeated node's name.
+    Repeated edges give repeated paths. A start without edges in that direction is a path of itself, of depth 0, if it is
+    known: as another edge's end or, where given, among services (name); unknown ones give nothing. The frontier is
+    joined with the edges on its last node, once for each level; finished paths leave it. The mark is appended to the
+    repeated node's name.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     e = edges.select(F.col(a).cast("string").alias("at"), F.col(b).cast("string").alias("to"))
-    front = starts.select(F.col("start").cast("string").alias("start")).distinct()
-    front = front.select("start", F.array("start").alias("path"), F.col("start").alias("at"))
+    known = e.select("at").unionByName(e.select(F.col("to").alias("at")))
+    known = known if services is None else known.unionByName(services.select(F.col("name").cast("string").alias("at")))
+    front = starts.select(F.col("start").cast("string").alias("at")).distinct().join(known.distinct(), "at", "left_semi")
+    front = front.select(F.col("at").alias("start"), F.array("at").alias("path"), "at")
     done = None
     for depth in range(max_depth + 1):
         step = front.join(e, "at", "left") if depth < max_depth else front.withColumn("to", F.lit(None).cast("string"))
-        over = step.where("to is null").select("start", "path", F.lit(depth).alias("depth"), F.lit(False).alias("is_cycle")).where("depth > 0")
+        over = step.where("to is null").select("start", "path", F.lit(depth).alias("depth"), F.lit(False).alias("is_cycle"))
         loop = step.where(F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array(F.concat("to", F.lit(mark)))).alias("path"), F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_cycle"))
         done = over.unionByName(loop) if done is None else done.unionByName(over).unionByName(loop)
         if depth == max_depth:

@@ -23,10 +23,11 @@ class Policy(NamedTuple):
 def default_policies(current_year: int) -> list[Policy]:
     c = F.col
     risky = time_sensitive_claims(c("answer"), current_year)["has_risk"]
+    said = F.coalesce(c("answer"), F.lit("")) != ""  # without an answer nothing is missing in it
     return [
         Policy("unsupported_claim", "high", c("kb_retrieve_done") & ~c("kb_has_coverage") & ~c("web_used") & risky, "time-sensitive claim without any source"),
-        Policy("missing_doc_cite", "medium", c("kb_has_coverage") & ~has_doc_cite(c("answer")), "covered by documents but none is cited"),
-        Policy("missing_url_cite", "medium", c("web_used") & ~has_url_cite(c("answer")), "web results without a link or a note"),
+        Policy("missing_doc_cite", "medium", said & c("kb_has_coverage") & ~has_doc_cite(c("answer")), "covered by documents but none is cited"),
+        Policy("missing_url_cite", "medium", said & c("web_used") & ~has_url_cite(c("answer")), "web results without a link or a note"),
         Policy("web_before_kb", "blocked", c("web_used") & (~c("kb_retrieve_done") | c("kb_has_coverage")), "web search before or despite the knowledge base"),
     ]
 

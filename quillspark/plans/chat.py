@@ -67,15 +67,16 @@ def turn_state(spark, sf_dir):
 _RISK = r"""regexp_matches(a, '(?i)((v|版本|version)\s*[\d.]+[a-zA-Z0-9.-]*|(Java|Python|Node|Go|Ruby|PHP|\.NET|Spring|Django|React|Vue)\s+\d+(\.\d+)*|\b\d+\.\d+(\.\d+)?(\.\d+)?[a-zA-Z0-9-]*\b)')"""
 
 
-@query(f"""WITH {_TURN}, j AS (SELECT t.*, d.text AS a, {_RISK.replace('(a,', '(d.text,')} AS risk FROM t JOIN documents d ON d.doc_id = t.thread_id),
+@query(f"""WITH {_TURN}, j AS (SELECT *, coalesce({_RISK}, false) AS risk, coalesce(a, '') <> '' AS said FROM (SELECT t.*, CASE turn % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE d.text END AS a FROM t JOIN documents d ON d.doc_id = t.thread_id)),
 p AS (SELECT thread_id, turn, 'unsupported_claim' AS policy, 'high' AS severity FROM j WHERE r AND NOT c AND NOT w AND risk
-UNION ALL SELECT thread_id, turn, 'missing_doc_cite', 'medium' FROM j WHERE c AND NOT regexp_matches(a, 'doc_id[=:]\\s*\\d+')
-UNION ALL SELECT thread_id, turn, 'missing_url_cite', 'medium' FROM j WHERE w AND NOT (regexp_matches(a, 'https?://') OR contains(a, '联网搜索'))
+UNION ALL SELECT thread_id, turn, 'missing_doc_cite', 'medium' FROM j WHERE said AND c AND NOT regexp_matches(a, 'doc_id[=:]\\s*\\d+')
+UNION ALL SELECT thread_id, turn, 'missing_url_cite', 'medium' FROM j WHERE said AND w AND NOT (regexp_matches(a, 'https?://') OR contains(a, '联网搜索'))
 UNION ALL SELECT thread_id, turn, 'web_before_kb', 'blocked' FROM j WHERE w AND (NOT r OR c))
 SELECT * FROM p""")
 def answer_audit(spark, sf_dir):
-    """CJ5, SC18: turns of users with a document of the same number as answer."""
+    """CJ5, SC18: turns of users with a document of the same number as answer; some turns have none or an empty one."""
     t = chatlog.turn_state(_calls(spark, sf_dir)).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("thread_id"), F.col("text").alias("answer")), "thread_id")
+    t = t.withColumn("answer", F.when(F.col("turn") % 7 == 1, "").when(F.col("turn") % 7 != 0, F.col("answer")))
     return quality.audit_answers(t, quality.default_policies(2026), "medium").select("thread_id", "turn", "policy", "severity")
 
 

@@ -250,14 +250,16 @@ def _edges(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_EDGES},
+st AS (SELECT src AS x FROM e WHERE starts_with(src, 's') UNION SELECT dst FROM e WHERE dst NOT IN (SELECT src FROM e)),
 w(start, node, path, depth, cyc) AS (
-  SELECT DISTINCT src, src, [src], 0, false FROM e WHERE starts_with(src, 's')
-  UNION ALL SELECT start, e.dst, list_append(path, CASE WHEN list_contains(path, e.dst) THEN e.dst || ' (环)' ELSE e.dst END), depth + 1, list_contains(path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT cyc AND depth < 6)
-SELECT start, array_to_string(path, '>') AS path, depth, cyc AS is_cycle FROM w WHERE depth > 0 AND (cyc OR depth = 6 OR node NOT IN (SELECT src FROM e))""")
+  SELECT x, x, [x], 0, false FROM st
+  UNION ALL SELECT start, e.dst, list_append(path, CASE WHEN list_contains(path, e.dst) THEN e.dst || '(环)' ELSE e.dst END), depth + 1, list_contains(path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT cyc AND depth < 6)
+SELECT start, array_to_string(path, '>') AS path, depth, cyc AS is_cycle FROM w WHERE cyc OR depth = 6 OR node NOT IN (SELECT src FROM e)""")
 def chain_trace(spark, sf_dir):
-    """GR1: all chains from every supplier over parts."""
+    """GR1: all chains from every supplier over parts; parts that lead nowhere are starts as well, and one that isn't there."""
     e = _edges(spark, sf_dir)
-    starts = e.where(F.startswith("src", F.lit("s"))).select(F.col("src").alias("start")).distinct()
+    leaves = e.select(F.col("dst").alias("start")).join(e.select(F.col("src").alias("start")), "start", "left_anti")
+    starts = e.where(F.startswith("src", F.lit("s"))).select(F.col("src").alias("start")).unionByName(leaves).unionByName(spark.range(1).select(F.lit("nowhere").alias("start")))
     return graph.trace(e, starts).select("start", F.array_join("path", ">").alias("path"), "depth", "is_cycle")
 
 
@@ -302,3 +304,28 @@ def sync_report(spark, sf_dir):
     for name, df in stored.items():
         df.write.parquet(f"{base}/{name}")
     return catalog.sync_job(spark, base, f"{base}/out")
+
+
+@query("""WITH d AS (SELECT doc_id, text, CASE lang WHEN 'fr' THEN 'failed' WHEN 'de' THEN 'indexing' ELSE 'ready' END AS status FROM documents),
+e AS (SELECT DISTINCT vec_id * 3 AS doc_id FROM embeddings WHERE vec_id * 3 IN (SELECT doc_id FROM documents)), t AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), y AS (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE role = 'system'),
+m AS (SELECT doc_id FROM d WHERE status <> 'failed' AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM e)),
+x AS (SELECT doc_id FROM e UNION SELECT doc_id FROM m)
+SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM m) THEN 'ready' ELSE status END AS status, d.doc_id IN (SELECT doc_id FROM x) AS has_chunks,
+  d.doc_id IN (SELECT doc_id FROM m) OR d.doc_id IN (SELECT doc_id FROM y) OR d.doc_id IN (SELECT doc_id FROM t) AND status = 'ready' AND d.doc_id IN (SELECT doc_id FROM e) AS has_sections,
+  CASE WHEN length(text) <= 10000 AND d.doc_id IN (SELECT doc_id FROM m) THEN md5(text) END AS text_md5, 0 AS again_removed, 0 AS again_reindexed, 0 AS again_fixed FROM d""")
+def sync_tables(spark, sf_dir):
+    """SS5, CJ3, JN7, JN11: what a run of the consistency job makes of the tables, and what a second run over them finds."""
+    d = read(spark, sf_dir, "documents").withColumn("status", F.when(F.col("lang") == "fr", "failed").when(F.col("lang") == "de", "indexing").otherwise("ready"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("section_id"), F.lit("").alias("title"), "role", "text")
+    base = shared_dir(spark)
+    vectors = read(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("doc_id"), F.col("vec_id").cast("int").alias("chunk_id"), F.lit("old").alias("text"))
+    stored = {"docs": d.select("doc_id", "status"), "texts": d.select("doc_id", "text"), "chunks": vectors, "sections": turns.where("role = 'system'").drop("role"), "backup": turns.drop("role")}
+    for name, df in stored.items():
+        df.write.parquet(f"{base}/{name}")
+    catalog.sync_job(spark, base, f"{base}/out")
+    again = catalog.sync_job(spark, base, f"{base}/out2", state=f"{base}/out").select(*[F.col(c).cast("int").alias(f"again_{c}") for c in ("removed", "reindexed", "fixed")])
+    table = lambda name: spark.read.parquet(f"{base}/out/{name}")
+    has = lambda name: table(name).select("doc_id", F.lit(True).alias(f"has_{name}")).distinct()
+    fresh = table("to_index").select("doc_id").join(table("sections"), "doc_id").groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.md5(F.first("text").cast("binary"))).alias("text_md5"))
+    out = table("docs").join(has("chunks"), "doc_id", "left").join(has("sections"), "doc_id", "left").join(fresh, "doc_id", "left").join(F.broadcast(again), F.lit(True))  # one row
+    return out.select("doc_id", "status", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_chunks", "has_sections")], "text_md5", "again_removed", "again_reindexed", "again_fixed")

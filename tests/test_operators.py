@@ -95,9 +95,11 @@ def test_lsh_recall(spark):
 
 def test_trace(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("a", "d"), ("x", "x")], "src string, dst string")
-    starts = spark.createDataFrame([("a",), ("x",), ("none",)], "start string")
-    got = sorted((r["start"], ">".join(r["path"]), r["is_cycle"]) for r in graph.trace(e, starts).collect())
-    assert got == [("a", "a>b>c>a (环)", True), ("a", "a>d", False), ("a", "a>d", False), ("x", "x>x (环)", True)]
+    starts = spark.createDataFrame([("a",), ("x",), ("none",), ("d",), ("alone",)], "start string")
+    services = spark.createDataFrame([("alone",), ("a",)], "name string")
+    got = sorted((r["start"], ">".join(r["path"]), r["is_cycle"]) for r in graph.trace(e, starts, services=services).collect())
+    assert got == [("a", "a>b>c>a(环)", True), ("a", "a>d", False), ("a", "a>d", False), ("alone", "alone", False), ("d", "d", False), ("x", "x>x(环)", True)]
+    assert [(r["start"], r["depth"]) for r in graph.trace(e, starts.where("start = 'd'")).collect()] == [("d", 0)]
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "src string, dst string")
     assert [r["depth"] for r in graph.trace(chain, spark.createDataFrame([("0",)], "start string")).collect()] == [6]
 
@@ -128,6 +130,23 @@ def test_sync_is_idempotent(spark):
     again = catalog.sync_index(docs, texts, out["chunks"].unionByName(out["to_index"].select("doc_id", F.lit(0).alias("chunk_id"))), out["sections"].unionByName(backup.where("doc_id = 2")), backup)
     assert again["report"].first().asDict() == {"removed": 0, "reindexed": 0, "fixed": 0, "total": 4}
     assert catalog.sync_index(docs, texts, chunks, backup, backup, force=True)["to_index"].count() == 3
+    status = {r["doc_id"]: r["status"] for r in out["docs"].collect()}
+    assert status == {1: "ready", 2: "ready", 3: "failed", 4: "ready"} and sorted(r["doc_id"] for r in out["chunks"].collect()) == [1, 2, 4]
+    assert sorted((r["doc_id"], r["text"]) for r in out["sections"].collect()) == [(1, "s"), (2, "text"), (4, "text")]
+    anew = catalog.sync_index(out["docs"], texts, out["chunks"], out["sections"], backup)
+    assert anew["report"].first().asDict() == {"removed": 0, "reindexed": 0, "fixed": 0, "total": 4}
+    forced = catalog.sync_index(out["docs"], texts, out["chunks"], out["sections"], backup, force=True)
+    assert sorted(r["doc_id"] for r in forced["chunks"].collect()) == [1, 2, 4] and forced["sections"].count() == 3
+
+
+def test_hybrid_keeps_chunk_order_without_words_and_routes_by_name(spark):
+    s = spark.createDataFrame([(f"{i}:{j}", i, j, "t", f"words of part {w}") for i, j, w in ((1, 0, "red"), (1, 1, "green"), (2, 0, "blue"), (3, 0, "red"))], "key string, doc_id bigint, section_id int, title string, text string")
+    v = spark.createDataFrame([("1:0", [1.0, 0.1]), ("2:0", [1.0, 0.2]), ("1:0", [1.0, 0.3]), ("3:0", [1.0, 0.9])], "key string, embedding array<float>")
+    q = spark.createDataFrame([(1, "?", [1.0, 0.0]), (2, "red of manual alpha", [1.0, 0.0])], "query_id bigint, text string, embedding array<float>")
+    docs = spark.createDataFrame([(1, "other"), (2, "blue"), (3, "manual alpha")], "doc_id bigint, name string")
+    got = fusion.hybrid_retrieve(q, bm25.bm25_stats(s), v, s, docs, k=1).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["section_id"], r["rank"]) for r in got] == [(1, 1, 0, 1), (1, 2, 0, 2), (1, 3, 0, 3), (2, 3, 0, 1)]
+    assert got[0]["distance"] < 0.01 and got[3]["doc_name"] == "manual alpha"
 
 
 def test_answers(spark):
@@ -139,9 +158,9 @@ def test_answers(spark):
 
 def test_policies(spark):
     cols = "thread_id string, turn int, kb_retrieve_done boolean, kb_has_coverage boolean, web_used boolean, answer string"
-    rows = [("a", 1, True, False, False, "Java 21"), ("b", 1, True, True, False, "no cite"), ("c", 1, False, False, True, "plain"), ("d", 1, True, True, False, "see doc_id: 4")]
+    rows = [("a", 1, True, False, False, "Java 21"), ("b", 1, True, True, False, "no cite"), ("c", 1, False, False, True, "plain"), ("d", 1, True, True, False, "see doc_id: 4"), ("e", 1, True, True, True, None), ("f", 1, True, True, True, "")]
     got = {(r["thread_id"], r["policy"]) for r in quality.audit_answers(spark.createDataFrame(rows, cols), quality.default_policies(2026), "low").collect()}
-    assert got == {("a", "unsupported_claim"), ("b", "missing_doc_cite"), ("c", "missing_url_cite"), ("c", "web_before_kb")}
+    assert got == {("a", "unsupported_claim"), ("b", "missing_doc_cite"), ("c", "missing_url_cite"), ("c", "web_before_kb"), ("e", "web_before_kb"), ("f", "web_before_kb")}
 
 
 def test_files(spark, tmp_path):
