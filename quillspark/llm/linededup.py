@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, spare_names, stage_table
+from .common import SPACE, drop_staged, spare_names, stage_table
 
 #: A boundary follows a line where the rolling hash of it and the lines before it is 0 modulo DIVISOR.
 DIVISOR = 2
@@ -109,16 +109,18 @@ def line_seeds(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_l
     return d.withColumn("seeds", F.concat(seeds, few)).drop("chunks", "line_words")
 
 
-def repeated_passages(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE) -> DataFrame:
+def repeated_passages(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE, tables: list[DataFrame] | None = None) -> DataFrame:
     """(line_id, line_h, drops) as repeated_lines has it, for every run of lines that occurs earlier too.
 
     Each run of long_line words or more goes from end to end: its lines all are in seeds that repeat. Shorter runs are
-    found if they hold a short seed, and go to their ends as well. All seeds are compared byte by byte.
+    found if they hold a short seed, and go to their ends as well. All seeds are compared byte by byte. tables gets the
+    staged tables that the result reads.
     """
     keyed = _key(docs)
     hashed = lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["is_short"].alias("is_short"), F.xxhash64(F.slice("line_full", s["start"] + 1, s["n"])).alias("chunk_hash"))
     seeds = line_seeds(keyed, divisor, roll, long_line).select("line_id", "line_h", F.inline(F.transform("seeds", hashed)))
-    marks = _marks(stage_table(seeds, "seeds"), "is_short")
+    seeds = stage_table(seeds, "seeds")
+    marks = _marks(seeds, "is_short")
     texts = keyed.select("line_id", "line_h", F.coalesce("text", F.lit("")).alias("text")).join(marks.hint("merge"), ["line_id", "line_h"])  # the same join at every size
     texts = texts.select("line_id", "line_h", F.split("text", "\n", -1).alias("lines"), "marks")
     # a run that goes on over a long line, or over long_line lines, is covered by seeds
@@ -128,7 +130,11 @@ def repeated_passages(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL,
     before = lambda s: F.when(s["is_short"], F.reverse(near(F.slice("lines", F.greatest(s["start"] - room, F.lit(0)) + 1, F.least(s["start"], room))))).otherwise(none)
     after = lambda s: F.when(s["is_short"], near(F.slice("lines", s["start"] + s["n"] + 1, room))).otherwise(none)
     cut = F.transform("marks", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["chunk_hash"].alias("chunk_hash"), s["is_kept"].alias("is_kept"), F.array_join(F.slice("lines", s["start"] + 1, s["n"]), "\n").alias("body"), before(s).alias("before"), after(s).alias("after")))
-    return _agreed(stage_table(texts.select("line_id", "line_h", F.inline(cut)), "parts"))
+    parts = stage_table(texts.select("line_id", "line_h", F.inline(cut)), "parts")
+    drop_staged(seeds)
+    if tables is not None:
+        tables.append(parts)
+    return _agreed(parts)
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE, whole: bool = False) -> DataFrame:
@@ -138,12 +144,15 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, roll: int = ROLL, long_
     and their neighbours reach (repeated_lines).
     Null texts stay null; a document all of whose lines are repeats stays with an empty text. Rows that repeat both
     doc_id and text are one document, of which each row keeps the same lines. Documents without repeats keep their text
-    byte for byte. Columns named n_removed, line_id or line_h are replaced; others stay.
+    byte for byte. An empty table stays empty. Columns named n_removed, line_id or line_h are replaced; others stay.
     """
     docs = docs.drop("n_removed", "line_id", "line_h")
     drops, every, left, text = spare_names(docs, "line_drops", "line_all", "line_left", "line_text")
-    find = repeated_passages if whole else repeated_lines
-    found = stage_table(find(docs, divisor, roll, long_line), "drops").withColumnRenamed("drops", drops)
+    tables: list[DataFrame] = []
+    runs = repeated_passages(docs, divisor, roll, long_line, tables) if whole else repeated_lines(docs, divisor, roll, long_line)
+    found = stage_table(runs, "drops").withColumnRenamed("drops", drops)
+    for table in tables:
+        drop_staged(table)
     out = _key(docs).join(found.hint("merge"), ["line_id", "line_h"], "left")
     cut = F.col(drops).isNotNull()
     out = out.withColumn(every, F.when(cut, F.split("text", "\n", -1)))

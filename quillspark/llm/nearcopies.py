@@ -124,11 +124,11 @@ def _may_fit(similarity: float, x: str, y: str):
 _MEMBER = ["node", "size", "pos", "bits"]
 
 
-def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int) -> DataFrame:
-    """Links of each set with `hubs` sets of its key, chosen by hash, that are not known to belong with it."""
+def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int, of: str = "true") -> DataFrame:
+    """Links of each set, `of` those for which that holds, with `hubs` sets of its key, chosen by hash, that are not known to belong with it."""
     one = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("at"), "part", *_MEMBER))
     chosen = members.groupBy("key").agg(F.array(*[one(t) for t in range(hubs)]).alias("hubs"))
-    pairs = members.alias("m").join(chosen, "key").select("m.*", F.explode("hubs").alias("hub")).alias("m").where((F.col("m.part") != F.col("hub.part")) & _may_fit(similarity, "m", "hub"))
+    pairs = members.where(of).alias("m").join(chosen, "key").select("m.*", F.explode("hubs").alias("hub")).alias("m").where((F.col("m.part") != F.col("hub.part")) & _may_fit(similarity, "m", "hub"))
     return stage_table(_confirmed(pairs.select(F.col("m.node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
 
 
@@ -152,14 +152,15 @@ def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool = False) -> DataFrame:
+def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all nodes of members (key, node, size) which share a key and have that similarity.
 
-    First each set is compared with one of its key, the hub, and what this leaves apart with HUBS more. After that only
-    pairs in different components matter: all of a key's, where at most SMALL sets are outside its largest component.
-    What is left of crowded keys is dealt anew by the rarest shingles (rare: these are the keys), which any two similar
-    sets share, and there those in different components are compared. What sizes, places and parity maps exclude
-    (_may_fit) goes before any set moves; members may lack pos and bits, which then exclude nothing. No similar pair of a key is left out, and the number of rounds is fixed.
+    First each set is compared with one of its key, the hub, and then those outside their key's largest component with
+    HUBS more. After that only pairs in different components matter: all of a key's, where at most SMALL sets are outside
+    its largest component. What is left of crowded keys is dealt anew by the rarest shingles, which any two similar sets
+    share, and there those in different components are compared. What sizes, places and parity maps exclude (_may_fit)
+    goes before any set moves; members may lack pos and bits, which then exclude nothing. No similar pair of a key is
+    left out, and the number of rounds is fixed.
     """
     spare = {"pos": F.lit(0), "bits": F.array().cast("array<bigint>")}
     members = members.withColumns({c: v for c, v in spare.items() if c not in members.columns})
@@ -167,17 +168,17 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float, rare: bool
     m = _parted(members, links)
     if m.isEmpty():
         return links
-    links = links.unionByName(_hub_links(m, sets, similarity, HUBS))
+    links = links.unionByName(_hub_links(m, sets, similarity, HUBS, "part <> main"))
     m = _parted(m, links)
     if m.isEmpty():
         return links
-    links = links.unionByName(_all_links(m if rare else m.where(f"n_out <= {SMALL}"), sets, similarity))
+    links = links.unionByName(_all_links(m.where(f"n_out <= {SMALL}"), sets, similarity))
     crowded = m.where(f"n_out > {SMALL}").select("node", "bits").distinct()
-    if rare or crowded.isEmpty():
+    if crowded.isEmpty():
         return links
     again = rare_shingles(crowded, sets, similarity)
     shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return links.unionByName(set_links(stage_table(again.join(shared, "key"), "rare"), sets, similarity, rare=True))
+    return links.unionByName(_all_links(_parted(stage_table(again.join(shared, "key"), "rare"), links), sets, similarity))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
@@ -195,12 +196,14 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     rows = stage_table(_prints(keyed, shingle_words, tables), "prints")
     reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fps").alias("fps")), "nodes")
     prints = reps.where("size > 0").select("node", F.posexplode("fps").alias("table", "fp"))
-    members = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node"), "shared")
-    members = stage_table(members.join(reps.select("node", "size", F.lit(0).alias("pos"), "bits"), "node").select("key", *_MEMBER), "members")
+    shared = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node"), "shared")
+    members = stage_table(shared.join(reps.select("node", "size", F.lit(0).alias("pos"), "bits"), "node").select("key", *_MEMBER), "members")
     asked = stage_table(reps.join(members.select("node").distinct(), "node").select("node", "x.*"), "asked")
     texts = maybe_among(keyed, "sim_h", asked).join(asked.hint("merge"), KEYS)  # the same join at every size
     sets = stage_table(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
     comp = connected_components(set_links(members, sets, similarity))
     low = reps.select("node", "x").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = low.groupBy("component").agg(F.min("x").alias("x")).select("x.*").toDF(*mine)
+    keep = stage_table(low.groupBy("component").agg(F.min("x").alias("x")).select("x.*").toDF(*mine), "keep")
+    for table in (rows, reps, shared, members, asked, sets):
+        drop_staged(table)
     return named.join(keep, mine, "left_semi").dropDuplicates(mine).select(*docs.columns)

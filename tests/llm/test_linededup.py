@@ -138,3 +138,18 @@ def test_whole_runs_equal_a_plain_search(spark):
         for k, x in enumerate(docs[i]):
             first.setdefault(x, (i, k))
     assert not got & set(first.values())
+
+
+def test_edges_of_whole_runs(spark):
+    """What the registered query uses: nulls, equal rows, no rows, columns of the same names, many short lines."""
+    rng = random.Random(29)
+    run = lambda df: L.dedup_lines(df, whole=True)
+    assert run(spark.createDataFrame([], DOCS)).collect() == []
+    passage = "\n".join(words(rng, 9) for _ in range(4))
+    long = "\n".join(f"w{i}" for i in range(3000))
+    rows = [(None, passage, "a"), (1, passage, "b"), (1, passage, "b"), (2, f"own line\n{passage}", None), (3, None, "c"), (4, "", "d"), (5, long, "e"), (6, "first\n" + long, "f")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"lines": F.lit("x"), "line_id": F.lit(1), "n_removed": F.lit(7)})
+    out = run(df)
+    assert out.columns == ["doc_id", "text", "source", "lines", "n_removed"]
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"], r["lines"]) for r in out.collect()), key=str)
+    assert got == sorted([(None, "", 4, "x"), (1, passage, 0, "x"), (1, passage, 0, "x"), (2, "own line", 4, "x"), (3, None, 0, "x"), (4, "", 0, "x"), (5, long, 0, "x"), (6, "first", 3000, "x")], key=str)
