@@ -24,6 +24,8 @@ LEVELS = (1, 2, 3, 4, 6, 9, 14, 21, 32, 64, 128, 256, 1024, 4096, 1 << 16, 1 <<
 BITS, HASHES, BLOCK = 12, 3, 1 << 22
 #: Questions are dealt into blocks of about so many terms; a task that meets a block keeps the best of its questions alone.
 QUESTION_TERMS = 4096
+#: So many texts are scored beside one copy of a block of questions.
+SCORED = 512
 _CHUNK = 512
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CACHE = 500_000
@@ -202,6 +204,7 @@ class _Asked:
                     weight.append(t["w"])
                 own.append((at[t["term"]], t["qtf"]))
             self.parts.append((np.array([x for x, _ in own]), np.array([x for _, x in own], np.int64)))
+        self.terms = at
         self.hashes = np.array([xxhash.xxh64_intdigest(t) for t in at], np.uint64)
         self.weight = np.array(weight, np.int64)
 
@@ -238,23 +241,52 @@ class _Asked:
         return out
 
 
-def _exact(docs: DataFrame, candidates: DataFrame, terms: DataFrame, stats: DataFrame, name: str, text: str) -> DataFrame:
-    """(qid, id, h, no, score) of candidates (qid, id, h): a row for each row of docs that a candidate names.
+def _exact(docs: DataFrame, candidates: DataFrame, questions: DataFrame, stats: DataFrame, k: int, name: str, text: str) -> DataFrame:
+    """(qid, id, h, no, score) of candidates (qid, id, h): of what a task scores the k best of a question, a row for each row of docs.
 
-    A bitmap keeps the texts of other documents from moving; the join on id and text hash that follows is exact.
+    A bitmap keeps the texts of other documents from moving; the join on id and text hash that follows is exact. A text
+    moves once for each block of questions that it is a candidate of, with the numbers of the questions, and about
+    SCORED texts meet a copy of the block in a task, so no row is made for a document's terms.
     """
+    in_block = questions.select("qb", F.explode("questions.qid").alias("qid"))
+    named = candidates.join(in_block, "qid").groupBy("qb", "id", "h").agg(F.collect_set("qid").alias("qids"))  # of one block
+    named = stage_table(named, "named").withColumnsRenamed({"id": "c_id", "h": "c_h"})
+    n = max(1, -(-named.count() // SCORED))
     own = docs.select(F.col(name).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.col(text).alias("text"))
-    own = maybe_among(own, "h", candidates)
-    named = candidates.select("id", "h").distinct()
-    own = own.select("id", "h", "text").join(named.withColumnsRenamed({"id": "c_id", "h": "c_h"}), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_semi")
+    on = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h"))
+    own = maybe_among(own, "h", candidates).join(named.select("c_id", "c_h").distinct(), on, "left_semi")
     own = own.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
-    own = own.withColumn("terms", _terms(F.col("text"))).select("id", "h", "rows", F.size("terms").cast("long").alias("n"), F.explode("terms").alias("term"))
-    tf = own.groupBy("id", "h", "rows", "n", F.col("term").cast("binary").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-    asked = candidates.select("qid", "id", "h").distinct().join(terms.select("qid", "term", "qtf", "w"), "qid").withColumnsRenamed({"id": "c_id", "h": "c_h"})
-    met = asked.join(tf, (asked["term"] == tf["term"]) & (F.col("h") == F.col("c_h")) & F.col("id").eqNullSafe(F.col("c_id"))).join(F.broadcast(stats), F.lit(True))  # one row
-    m = F.expr("75 + (25 * n * n_docs) div total")
-    score = F.sum(F.col("qtf") * F.col("w") * F.expr("(1000000000 * tf) div (1000 * tf + 12 * m)"))
-    scored = met.withColumn("m", m).groupBy("qid", "id", "h", "rows").agg(score.alias("score")).where("score > 0")
+    own = own.join(named, on).join(F.broadcast(stats), F.lit(True))  # one row
+    own = own.select("qb", F.pmod(F.xxhash64("h", "id"), F.lit(n)).cast("int").alias("salt"), "id", "h", "rows", "text", "qids", "n_docs", "total")
+    theirs = questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: dict[int, list[tuple]] = {}
+        if len(left) and len(right):
+            asked = _Asked(right["questions"][0].as_py())
+            number = {q: i for i, q in enumerate(asked.qid)}
+            for r in range(len(left)):
+                get = lambda c: left[c][r].as_py()  # noqa: B023, E731
+                tf = Counter(words_of(get("text")))
+                n = sum(tf.values())
+                m = 75 + 25 * n * get("n_docs") // get("total")
+                adds = np.zeros(len(asked.terms), np.int64)
+                at, times = np.array([(asked.terms[w], t) for w, t in tf.items() if w in asked.terms], np.int64).reshape(-1, 2).T
+                adds[at] = asked.weight[at] * ((1_000_000_000 * times) // (1000 * times + 12 * m))
+                for q in get("qids"):
+                    own, asks = asked.parts[number[q]]
+                    if (s := int(asks @ adds[own])) > 0:
+                        i = get("id")
+                        best = rows.setdefault(q, [])
+                        best.append((-s, i is None, i or 0, get("h"), get("rows")))
+                        if len(best) >= 4 * k + 64:
+                            best.sort()
+                            del best[k:]
+        flat = [(q, None if x[1] else x[2], x[3], x[4], -x[0]) for q, best in rows.items() for x in sorted(best)[:k]]
+        return pa.table({c: pa.array([x[j] for x in flat], pa.int64()) for j, c in enumerate(("qid", "id", "h", "rows", "score"))})
+
+    met = own.groupBy("qb", "salt").cogroup(theirs.groupBy("qb", "salt"))
+    scored = met.applyInArrow(score, "qid bigint, id bigint, h bigint, rows bigint, score bigint")
     return scored.select("qid", "id", "h", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("no"))
 
 
@@ -282,12 +314,13 @@ def lexical_topk(docs: DataFrame, questions: DataFrame, k: int = 20, index: Inde
     terms = stage_table(terms, "terms")
     n = terms.count()
     best = Window.partitionBy("qid").orderBy(F.desc("bound"), "h")
-    first = _bounds(index, _question_blocks(terms.withColumn("least", F.lit(1).cast("long")), n), k)
+    any_score = _question_blocks(terms.withColumn("least", F.lit(1).cast("long")), n)
+    first = _bounds(index, any_score, k)
     first = stage_table(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "id", "h"), "first")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "h", "no")
-    ranked = _exact(docs, first, terms, stats, name, text).withColumn("rank", F.row_number().over(order))
+    ranked = _exact(docs, first, any_score, stats, k, name, text).withColumn("rank", F.row_number().over(order))
     least = stage_table(ranked.where(F.col("rank") == k).select("qid", F.col("score").alias("least")), "least")
-    bounded = terms.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(1).cast("long")))
-    left = stage_table(_bounds(index, _question_blocks(bounded, n), None).select("qid", "id", "h"), "left")
-    ranked = _exact(docs, left, terms, stats, name, text).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    bounded = _question_blocks(terms.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(1).cast("long"))), n)
+    left = stage_table(_bounds(index, bounded, None).select("qid", "id", "h"), "left")
+    ranked = _exact(docs, left, any_score, stats, k, name, text).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", F.col("id").alias("doc_id"), "score")
