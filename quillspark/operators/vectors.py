@@ -1,16 +1,23 @@
-"""Vector retrieval: pluggable embedding, exact block search and hyperplane hashing."""
+"""Vector retrieval: pluggable embedding, exact block search, an inverted file and hyperplane hashing."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.staging import stage_table
+
 #: A task multiplies a block of at most about so many queries with one of so many vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
+#: Queries of a block that are multiplied at once.
+ROWS = 256
+#: The centres of an inverted file are fitted on so many vectors at most, the first by a hash of their keys.
+FIT_VECTORS, MOST_LISTS = 20_000, 4096
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
@@ -77,25 +84,33 @@ def _block_topk(q: DataFrame, vectors: DataFrame, k: int, digits: int, same: str
     cores = q.sparkSession.sparkContext.defaultParallelism
     a = max(1, -(-n_q // QUERY_BLOCK))
     b = max(1, -(-n_v // VECTOR_BLOCK), min(cores, n_v // 512) // a)
-    kinds = dict(vectors.dtypes)
+    mine = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    theirs = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(b)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    return _best_of_blocks(mine, theirs, ["qb", "vb"], k, digits, same)
+
+
+def _best_of_blocks(mine: DataFrame, theirs: DataFrame, block: list[str], k: int, digits: int, same: str | None = None) -> DataFrame:
+    """(query_id, key, distance): the k nearest vectors of each block for each of its queries, one task a block."""
 
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, keys = left["query_id"].to_numpy(), right["key"].to_numpy()
         if not len(ids) or not len(keys):
             return pa.table({"query_id": pa.array([], left.schema.field("query_id").type), "key": pa.array([], right.schema.field("key").type), "distance": pa.array([], pa.float64())})
-        d = np.round(1 - _unit(left["embedding"]) @ _unit(right["embedding"]).T, digits) + 0.0  # no negative zero
-        if same:
-            d[np.asarray(left[same].to_pylist(), object)[:, None] != np.asarray(right[same].to_pylist(), object)[None, :]] = np.inf
-        picks = [np.lexsort((keys, row))[:k] if len(keys) <= 4 * k else _few(row, keys, k) for row in d]
-        at = np.concatenate(picks)
-        far = np.concatenate([row[p] for row, p in zip(d, picks, strict=True)])
-        t = pa.table({"query_id": left["query_id"].take(pa.array(np.repeat(np.arange(len(ids)), [len(p) for p in picks]))), "key": right["key"].take(pa.array(at)), "distance": far})
-        return t.filter(pa.array(np.isfinite(far)))
-
-    mine = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    theirs = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(b)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
-    pairs = mine.groupBy("qb", "vb").cogroup(theirs.groupBy("qb", "vb"))
-    return pairs.applyInArrow(best, f"query_id {dict(q.dtypes)['query_id']}, key {kinds['key']}, distance double")
+        codes = [pa.chunked_array([*left[same].chunks, *right[same].chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()] if same else []
+        vecs = _unit(right["embedding"])
+        parts = []
+        for at in range(0, len(ids), ROWS):  # bounded memory, however many queries a block has
+            rows = slice(at, at + ROWS)
+            d = np.round(1 - _unit(left["embedding"].slice(at, ROWS)) @ vecs.T, digits) + 0.0  # no negative zero
+            for c in codes:
+                d[c[: len(ids)][rows, None] != c[None, len(ids) :]] = np.inf
+            picks = [np.lexsort((keys, row))[:k] if len(keys) <= 4 * k else _few(row, keys, k) for row in d]
+            far = np.concatenate([row[p] for row, p in zip(d, picks, strict=True)])
+            parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at + np.repeat(np.arange(len(picks)), [len(p) for p in picks]))), "key": right["key"].take(pa.array(np.concatenate(picks))), "distance": far}).filter(pa.array(np.isfinite(far))))
+        return pa.concat_tables(parts)
+
+    pairs = mine.groupBy(*block).cogroup(theirs.groupBy(*block))
+    return pairs.applyInArrow(best, f"query_id {dict(mine.dtypes)['query_id']}, key {dict(theirs.dtypes)['key']}, distance double")
 
 
 def _few(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -104,6 +119,108 @@ def _few(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((keys[near], d[near]))[:k]]
 
 
+class Lists(NamedTuple):
+    """An inverted file: vectors(key, embedding, list, slot), the lists' centres, and how many slots each list has."""
+
+    vectors: DataFrame
+    centres: np.ndarray
+    slots: np.ndarray
+
+
+def _array(v: pd.Series) -> np.ndarray:
+    x = np.array(v.tolist(), np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def fit_centres(vectors: DataFrame, n_lists: int, fit_rows: int = FIT_VECTORS, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """n_lists unit vectors, or fewer if there are fewer vectors, by k-means on at most fit_rows vectors."""
+    sample = vectors.select("embedding").orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(fit_rows).toArrow()
+    x = _unit(sample["embedding"]).astype(np.float32) if sample.num_rows else np.zeros((0, 1), np.float32)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:n_lists]]
+    for _ in range(rounds if len(c) else 0):
+        of = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.unique(np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c), axis=0)
+    return c
+
+
+def inverted_lists(vectors: DataFrame, n_lists: int | None = None, fit_rows: int = FIT_VECTORS) -> Lists:
+    """TK4: every vector stored by its list, that of the nearest centre; long lists have several slots of bounded size.
+
+    The centres are fitted on a bounded sample (fit_centres), about four times as many as the root of the number of
+    vectors, MOST_LISTS at most; all vectors are stored. No vectors give no lists.
+    """
+    n = vectors.count()
+    centres = fit_centres(vectors, n_lists or int(np.clip(4 * np.sqrt(n), 1, MOST_LISTS)), fit_rows)
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series((_array(v) @ centres.T).argmax(axis=1).astype(np.int32))
+
+    stored = stage_table(vectors.select("key", "embedding", (nearest("embedding") if len(centres) else F.lit(0)).alias("list")), "lists")
+    slots = np.ones(max(1, len(centres)), np.int64)
+    for r in stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("n")).collect():  # a row for each list
+        slots[r["list"]] = r["n"]
+    of = F.element_at(F.lit(slots), F.col("list") + 1)
+    return Lists(stored.withColumn("slot", F.pmod(F.xxhash64("key"), of).cast("int")), centres, slots)
+
+
+def _list_bounds(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each unit vector and list no more than its distance from the list's vectors: that from the plane half-way to its own list's centre."""
+    d = 2 - 2 * q @ centres.T
+    own = d.argmin(axis=1)
+    between = np.sqrt(np.maximum(2 - 2 * centres[own] @ centres.T, 1e-12))
+    return (d - d[np.arange(len(q)), own][:, None] - 1e-5) / (2 * between)  # rounding never makes it larger
+
+
+def probed_lists(queries: DataFrame, lists: Lists, k: int = 12, first: int = 8, reach: float = 0.4, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(query_id, list) that a search reads beyond the `first` nearest lists, and the k nearest vectors that those hold (query_id, key, distance).
+
+    The k-th distance there ends the search: a list is read only if its bound is at most `reach` times that distance. At
+    reach 1 no list that could hold a nearer vector is left out, and the search is exact.
+    """
+    centres = lists.centres
+    q = queries.select("query_id", "embedding")
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.argsort(-(_array(v) @ centres.T), axis=1, kind="stable")[:, :first].astype(np.int32)))
+
+    @F.pandas_udf("array<int>")
+    def beyond(v: pd.Series, far: pd.Series) -> pd.Series:
+        x = _array(v)
+        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :first]
+        ok = _list_bounds(x, centres) <= reach * np.sqrt(2 * far.fillna(2.0).to_numpy())[:, None] + 1e-4
+        ok |= far.isna().to_numpy()[:, None]  # fewer than k so far: all
+        np.put_along_axis(ok, near, False, axis=1)
+        return pd.Series([np.flatnonzero(r).astype(np.int32) for r in ok])
+
+    begun = stage_table(_search(q.withColumn("list", F.explode(nearest("embedding"))), lists, k, digits), "begun")
+    kth = begun.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))
+    more = q.join(kth, "query_id", "left").select("query_id", F.explode(beyond("embedding", F.col("far"))).alias("list"))
+    return stage_table(more, "probes"), begun.drop("rank")
+
+
+def _search(asked: DataFrame, lists: Lists, k: int, digits: int) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest in the lists asked (query_id, embedding, list), which meet queries slot by slot."""
+    mine = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.element_at(F.lit(lists.slots), F.col("list") + 1).cast("int") - 1)))
+    near = _best_of_blocks(mine, lists.vectors, ["list", "slot"], k, digits)
+    w = Window.partitionBy("query_id").orderBy("distance", "key")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ivf_topk(queries: DataFrame, lists: Lists, k: int = 12, first: int = 8, reach: float = 0.4, digits: int = 6) -> DataFrame:
+    """TK4: (query_id, key, rank, distance) like vector_topk, from the lists that a distance bound leaves (probed_lists)."""
+    if not len(lists.centres):
+        return vector_topk(queries, lists.vectors, k, digits=digits)
+    more, begun = probed_lists(queries, lists, k, first, reach, digits)
+    rest = _search(more.join(queries.select("query_id", "embedding"), "query_id"), lists, k, digits).drop("rank")
+    w = Window.partitionBy("query_id").orderBy("distance", "key")
+    return begun.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "key", "rank", "distance")
+
+
 def lsh_bits(rows: int) -> int:
     """Planes of a table: a bucket holds 45 to 90 of the rows on average, whatever their number."""
     return max(2, min(24, int(np.log2(max(rows, 1)) - 5.5)))

@@ -128,6 +128,18 @@ def vector_topk_scoped(spark, sf_dir):
     return vectors.vector_topk(_seekers(spark, sf_dir), _vectors(spark, sf_dir), 12, same="label")
 
 
+@query(f"WITH {_NEAR} SELECT * FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank, distance FROM near) WHERE rank <= 12")
+def vector_ivf_exact(spark, sf_dir):
+    """TK4: the inverted file, searched as far as any nearer vector could be."""
+    return vectors.ivf_topk(_seekers(spark, sf_dir), vectors.inverted_lists(_vectors(spark, sf_dir)), 12, reach=1.0)
+
+
+@query()
+def vector_ivf(spark, sf_dir):
+    """TK4: the inverted file, searched within 0.4 of the distance found first; recall and share read are tested."""
+    return vectors.ivf_topk(_seekers(spark, sf_dir), vectors.inverted_lists(_vectors(spark, sf_dir)), 12)
+
+
 @query()
 def vector_lsh(spark, sf_dir):
     """TK4: approximate neighbours by hyperplane tables; recall is tested against vector_topk."""
