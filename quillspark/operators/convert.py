@@ -9,7 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import clean_pdf_text, html_title, postprocess_lines
+from ..functions.text import clean_pdf_text, html_title, postprocess_lines, strip
+from ..sources.staging import stage_table
 
 #: Tags and classes without content, inline and block tags, and where a page's content is, best first.
 SKIP_TAGS = {"script", "style", "noscript", "nav", "footer", "aside", "iframe", "object", "embed", "canvas", "svg"}
@@ -19,6 +20,9 @@ BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "a
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
 DIV_CLASSES = ("body-inner", "page-inner", "theme-default-content")
+ROLE = "main"
+DIV_PARTS, DIV_NAMES = ("content", "post", "article"), ("content", "main", "article")
+SECTION_PART, LAST_PARTS = "content", ("markdown", "document")
 
 
 class Node:
@@ -27,23 +31,6 @@ class Node:
     def __init__(self, tag: str, attrs: dict | None = None, up: Node | None = None):
         self.tag, self.attrs, self.up, self.kids = tag, attrs or {}, up, []
 
-    def walk(self) -> Iterator[Node]:
-        todo = [self]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                todo.extend(reversed(n.kids))
-        return "".join(out)
-
 
 class _Tree(HTMLParser):
     """A forgiving tree: a new paragraph or list item ends the open one, with the inline tags inside it."""
@@ -85,104 +72,147 @@ class _Tree(HTMLParser):
             self.at.kids.append(data)
 
 
-def _content(root: Node) -> Node:
-    nodes = [n for n in root.walk() if n.tag not in SKIP_TAGS]
-    cls = lambda n: n.attrs.get("class", "")
-    tests = [
-        lambda n: n.tag == "article",
-        lambda n: n.tag == "main",
-        *[(lambda n, c=c: n.tag == "div" and c in cls(n)) for c in DIV_CLASSES],
-        lambda n: n.attrs.get("role") == "main",
-        lambda n: n.tag == "div" and any(c in cls(n) for c in ("content", "post", "article")),
-        lambda n: n.tag == "div" and n.attrs.get("id") in ("content", "main", "article"),
-        lambda n: n.tag == "section" and "content" in cls(n),
-        lambda n: n.tag == "div" and any(c in cls(n) for c in ("markdown", "document")),
-    ]
-    for test in tests:
-        for n in nodes:
-            if test(n):
-                if len(n.text().strip()) > 30:
-                    return n
-                break
-    return next((n for n in nodes if n.tag == "body"), root)
-
-
-def _inline(n: Node) -> str:
-    parts = []
-    for k in n.kids:
-        if isinstance(k, str):
-            parts.append(k.strip())
-        elif k.tag in SKIP_TAGS:
-            continue
-        elif k.tag in INLINE:
-            parts.append(_inline(k))
-        elif k.tag == "img" and k.attrs.get("alt"):
-            parts.append(f"[图: {k.attrs['alt']}]")
-        elif k.tag == "br":
-            parts.append("\n")
-    return " ".join(p for p in parts if p).replace(" \n ", "\n").strip()
-
-
-def _table(n: Node) -> list[str]:
-    rows = [[c.text().strip() for c in r.walk() if c.tag in ("th", "td")] for r in n.walk() if r.tag == "tr"]
-    rows = [r for r in rows if r]
-    if len(rows) < 2:
-        return []
-    width = len(rows[0])
-    line = lambda cells: "| " + " | ".join((cells + [""] * width)[:width]) + " |"
-    return ["", line(rows[0]), line(["---"] * width), *map(line, rows[1:]), ""]
-
-
-def _lines(root: Node) -> list[str]:
-    """The lines of a node, its own inline text before those of its blocks. Deep markup does not recurse."""
-    done: dict[int, list[str]] = {}
-    todo = [(root, False)]
-    while todo:
-        n, ready = todo.pop()
-        if n.tag in SKIP_TAGS or n.attrs.get("class", "").lower() in SKIP_CLASSES or n.tag in INLINE:
-            done[id(n)] = []
-        elif n.tag == "table":
-            done[id(n)] = _table(n)
-        elif n.tag == "pre":
-            code = n.text().strip()
-            done[id(n)] = ["", "```", code, "```", ""] if code else []
-        elif not ready:
-            todo.append((n, True))
-            todo.extend((k, False) for k in n.kids if isinstance(k, Node))
-        else:
-            below: list[str] = []
-            for k in n.kids:
-                if isinstance(k, Node) and (k.tag in BLOCK or k.tag in HEADINGS or k.tag in ("pre", "li")) and (got := done.pop(id(k), [])):
-                    below += [""] * bool(below and below[-1]) + got
-            own = _inline(n)
-            if n.tag in HEADINGS:
-                own_lines = ["", HEADINGS[n.tag] + own, ""] if own else []
-            elif n.tag == "li":
-                mark = "- "
-                if n.up is not None and n.up.tag == "ol":
-                    items = [k for k in n.up.kids if isinstance(k, Node) and k.tag == "li"]
-                    mark = f"{next(i for i, k in enumerate(items, 1) if k is n)}. "
-                own_lines = [mark + own] if own else []
-            else:
-                own_lines = [own] if own else []
-            done[id(n)] = own_lines + below
-    return done[id(root)]
-
-
-def page_text(html: str | None) -> str:
+def _kind(n: Node) -> str:
+    """What a node gives to the text: nothing with all below it (none), or with what is below it unless that is looked at (other)."""
+    if n.tag in SKIP_TAGS or n.tag in INLINE or n.attrs.get("class", "").lower() in SKIP_CLASSES:
+        return "none"
+    return n.tag if n.tag in ("table", "pre", "li") else "head" if n.tag in HEADINGS else "block" if n.tag in BLOCK else "other"
+
+
+def page_tokens(html: str | None) -> tuple[str, list[dict]]:
+    """A page's text and its elements and text pieces in order, with unclosed tags repaired.
+
+    Each is numbered and names its parent, the last token below it, where its text begins and ends, the nearest ancestor
+    that is no inline tag (owner), and the nearest token, itself or above, that hides it from a text in which it stands (cover).
+    """
     tree = _Tree()
     tree.feed(re.sub(r"<!--.*?-->", "", html or "", flags=re.S))
-    return "\n".join(_lines(_content(tree.root)))
+    out: list[dict] = []
+    texts: list[str] = []
+    at = 0
+    todo: list[tuple] = [(tree.root, None, 0, -1)]
+    while todo:
+        n, up, owner, cover = todo.pop()
+        if isinstance(n, int):  # the end of that token
+            out[n] |= {"last": len(out) - 1, "to": at}
+            continue
+        i, is_text = len(out), isinstance(n, str)
+        row = dict.fromkeys(("tag", "kind", "cls", "name", "role", "alt", "text", "up_tag"))
+        out.append(row | {"id": i, "up": -1 if up is None else up[0], "last": i, "from": at, "to": at, "owner": owner, "cover": cover})
+        if is_text:
+            texts.append(n)
+            at += len(n)
+            out[i] |= {"text": n, "to": at}
+            continue
+        kind = _kind(n)
+        own = i if kind in ("none", "other") else cover
+        out[i] |= {"tag": n.tag, "kind": kind, "cls": n.attrs.get("class", ""), "name": n.attrs.get("id"), "role": n.attrs.get("role"), "alt": n.attrs.get("alt"), "up_tag": up and up[1], "cover": own}
+        todo.append((i, None, 0, 0))
+        below = (i, n.tag), owner if n.tag in INLINE else i, i if kind in ("table", "pre") else own
+        todo.extend((k, *below) for k in reversed(n.kids))
+    return "".join(texts), out
 
 
-def html_to_text(pages: DataFrame) -> DataFrame:
-    """TX1: (page_id, url, title, text). Trees are built in Arrow batches; titles and clean-up are built-in functions."""
+_TOKEN = "id int, up int, last int, from int, to int, owner int, cover int, tag string, kind string, cls string, name string, role string, alt string, text string, up_tag string"
 
-    @F.pandas_udf("string")
-    def run(html: pd.Series) -> pd.Series:
-        return html.map(page_text)
 
-    return pages.select("page_id", "url", html_title(F.col("html"), F.col("url")).alias("title"), postprocess_lines(run("html")).alias("text"))
+def _tokens(pages: DataFrame) -> DataFrame:
+    """(page, whole, token columns) of pages (page, html)."""
+
+    @F.pandas_udf("struct<whole:string, tokens:array<struct<" + ", ".join(c.replace(" ", ":") for c in _TOKEN.split(", ")) + ">>>")
+    def run(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_tokens(h) for h in html], columns=["whole", "tokens"])
+
+    t = pages.select("page", run("html").alias("p"))
+    return t.select("page", "p.whole", F.inline("p.tokens"))
+
+
+def _text_of(whole: str, begin: str, end: str) -> F.Column:
+    return strip(F.substring(F.col(whole), F.col(begin) + 1, F.col(end) - F.col(begin)))
+
+
+def content_roots(tokens: DataFrame) -> DataFrame:
+    """(page, root, last, kind): the first element of the best test that has one with more than 30 characters, else the body, else all."""
+    tag, cls = F.col("tag"), F.col("cls")
+    has = lambda *parts: F.coalesce(F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(cls, p)), F.lit(False))
+    tests = [
+        tag == "article", tag == "main", *[(tag == "div") & has(c) for c in DIV_CLASSES], F.col("role") == ROLE, (tag == "div") & has(*DIV_PARTS),
+        (tag == "div") & F.col("name").isin(*DIV_NAMES), (tag == "section") & has(SECTION_PART), (tag == "div") & has(*LAST_PARTS),
+    ]
+    e = tokens.where("tag is not null").where(~tag.isin(*SKIP_TAGS))
+    met = e.select("page", "id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(i)) for i, x in enumerate(tests)]))).alias("test"))
+    first = met.groupBy("page", "test").agg(F.min("id").alias("id"))
+    fit = first.join(e, ["page", "id"]).where(F.length(_text_of("whole", "from", "to")) > 30).select("page", F.struct("test", "id").alias("x"))
+    rest = e.where("tag = 'body' or id = 0").select("page", F.struct(F.when(tag == "body", len(tests)).otherwise(len(tests) + 1).alias("test"), "id").alias("x"))
+    best = fit.unionByName(rest).groupBy("page").agg(F.min("x")["id"].alias("id"))
+    return best.join(e, ["page", "id"]).select("page", F.col("id").alias("root"), F.col("last").alias("root_last"), F.col("kind").alias("root_kind"))
+
+
+def _table_lines(tokens: DataFrame, shown: DataFrame) -> DataFrame:
+    """(page, id, rows) of the tables shown: rows of cells in order, those without cells left out."""
+    tables = shown.where("kind = 'table'").select("page", F.col("id").alias("t_id"), F.col("last").alias("t_last"))
+    within = tokens.join(tables.select("page").distinct(), "page", "left_semi")
+    inside = (F.col("id") > F.col("t_id")) & (F.col("id") <= F.col("t_last"))
+    r = within.where("tag = 'tr'").join(tables, "page").where(inside).select("page", "t_id", F.col("id").alias("r_id"), F.col("last").alias("r_last"))
+    c = within.where("tag in ('th', 'td')").join(r, "page").where((F.col("id") > F.col("r_id")) & (F.col("id") <= F.col("r_last")))
+    c = c.select("page", "t_id", "r_id", F.struct("id", _text_of("whole", "from", "to").alias("cell")).alias("x"))
+    cells = c.groupBy("page", "t_id", "r_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["cell"]).alias("cells"))
+    return cells.groupBy("page", F.col("t_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r_id", "cells"))), lambda x: x["cells"]).alias("rows"))
+
+
+def page_lines(tokens: DataFrame) -> DataFrame:
+    """(page, text) of tokens: the lines of what is shown below each page's root, in order.
+
+    An element's own text is that of the pieces it owns; headings, list items, code and tables get their marks. What
+    follows a line that isn't blank is set apart by one, unless it is the first below an element with text of its own.
+    """
+    roots = content_roots(tokens)
+    t = tokens.join(roots, "page").where(F.col("id").between(F.col("root"), F.col("root_last")))
+    is_root = F.col("id") == F.col("root")
+    seen = (F.col("kind") != "none") & (is_root | (F.col("cover") <= F.col("root")) & ~F.col("root_kind").isin("none", "table", "pre"))
+    shown = t.where("tag is not null").where(seen)
+    piece = F.when(F.col("tag").isNull(), strip(F.col("text"))).when((F.col("tag") == "img") & (F.coalesce("alt", F.lit("")) != ""), F.concat(F.lit("[图: "), "alt", F.lit("]"))).when(F.col("tag") == "br", "\n")
+    # a line break in an inline tag counts between what else that tag holds, not at its edge
+    inline = t.where(F.col("tag").isin(*INLINE)).select("page", F.col("id").alias("lo"), F.col("last").alias("hi"))
+    broken = t.where("tag = 'br'").select("page", "id", F.col("up").alias("lo")).join(inline, ["page", "lo"])
+    pieces = t.select("page", "id", "owner", piece.alias("piece")).where("piece <> ''").join(broken, ["page", "id"], "left")
+    pieces = pieces.groupBy("page", F.col("owner").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("at"), "piece", "lo", "hi"))).alias("all"))
+    some = lambda ok: F.exists("all", lambda y: (y["piece"] != "\n") & ok(y["at"]))
+    kept = F.filter("all", lambda x: x["lo"].isNull() | some(lambda at: (at > x["lo"]) & (at < x["at"])) & some(lambda at: (at > x["at"]) & (at <= x["hi"])))
+    own = pieces.select("page", "id", F.array_join(F.transform(kept, lambda x: x["piece"]), " ").alias("own"))
+    own = own.withColumn("own", strip(F.replace("own", F.lit(" \n "), F.lit("\n"))))
+    item = Window.partitionBy("page", "up").orderBy("id")
+    items = t.where("tag = 'li' and up_tag = 'ol'").select("page", "id", F.row_number().over(item).alias("item"))
+    g = shown.join(own, ["page", "id"], "left").join(items, ["page", "id"], "left").join(_table_lines(tokens, shown), ["page", "id"], "left")
+    text = F.coalesce("own", F.lit(""))
+    code = _text_of("whole", "from", "to")
+    marks = F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), text)
+    cells = lambda r, width: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width), " | "), F.lit(" |"))
+    width = F.size(F.get("rows", F.lit(0)))
+    table = F.concat(F.array(F.lit(""), cells(F.get("rows", F.lit(0)), width), cells(F.array_repeat(F.lit("---"), width), width)), F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: cells(r, width)), F.array(F.lit("")))
+    lines = (
+        F.when(F.col("kind") == "table", F.when(F.size("rows") > 1, table))
+        .when(F.col("kind") == "pre", F.when(code != "", F.array(F.lit(""), F.lit("```"), code, F.lit("```"), F.lit(""))))
+        .when(text == "", None).when(F.col("kind") == "head", F.array(F.lit(""), marks, F.lit("")))
+        .when(F.col("kind") == "li", F.array(F.concat(F.coalesce(F.concat(F.col("item").cast("string"), F.lit(". ")), F.lit("- ")), text))).otherwise(F.array(text))
+    )
+    g = g.select("page", "id", "last", lines.alias("lines")).where("lines is not null")
+    before = Window.partitionBy("page").orderBy("id")
+    apart = (F.lag("last").over(before) < F.col("id")) & (F.lag(F.element_at("lines", -1)).over(before) != "")
+    g = g.select("page", "id", F.when(F.coalesce(apart, F.lit(False)), F.concat(F.array(F.lit("")), "lines")).otherwise(F.col("lines")).alias("lines"))
+    return g.groupBy("page").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "lines"))), lambda x: x["lines"])), "\n").alias("text"))
+
+
+def html_to_text(pages: DataFrame) -> DataFrame:
+    """TX1: (page_id, url, title, text). Python repairs the tags of a page and numbers its tokens, nothing else.
+
+    Which part is the content, tables, lists, code and lines are found by grouping and windows over a page's tokens. Rows
+    are told apart by page_id and url; null html has an empty text.
+    """
+    page = F.xxhash64("page_id", "url", "html")
+    tokens = stage_table(_tokens(pages.select(page.alias("page"), "html").dropDuplicates(["page"])), "tokens")
+    own = pages.select(page.alias("page"), "page_id", "url", html_title(F.col("html"), F.col("url")).alias("title")).join(page_lines(tokens), "page", "left")
+    return own.select("page_id", "url", "title", postprocess_lines(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def structure_pdf_lines(text: str | None) -> str | None:

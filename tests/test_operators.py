@@ -37,14 +37,20 @@ x</pre><img alt="pic"><div class="has-results">gone</div></article><footer>no</f
 
 
 def test_html(spark):
-    t = convert.page_text(PAGE)
+    pages = [PAGE, None, "<body><article>x</article><p>body text that is longer than thirty characters</p></body>", "<div>" * 5000 + "deep", "<p>a<b>b<br></b>c<i>d<br>e</i></p>", "<body><ol><li>x<ul><li>y</ul><li>z</ol><table><tr><td>a<tr><td>b</table>", "<span role='main'>thirty characters and more of text</span>"]
+    got = [r["text"] for r in convert.html_to_text(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+    t = got[0]
     for want in ("# Head", "second link tail", "- one", "- inner", "1. first", "2. second", "| a | b |", "| 1 |  |", "```\ncode\nx\n```", "[图: pic]"):
         assert want in t, want
     assert "no" not in t.split() and "gone" not in t
-    assert convert.page_text(None) == "" and "body text" in convert.page_text("<body><article>x</article><p>body text that is longer than thirty characters</p></body>")
-    assert convert.page_text("<div>" * 5000 + "deep").strip() == "deep"
+    assert got[1] == "" and "body text" in got[2]
+    assert got[3].strip() == "deep"
+    assert got[4].strip() == "a b c d\ne"
+    assert got[5].split() == "1. x - y 2. z | a | | --- | | b |".split()
+    assert got[6].strip() == ""
     r = convert.html_to_text(spark.createDataFrame([(1, "u", PAGE)], "page_id bigint, url string, html string")).first()
     assert r["title"] == "A & B"
+    assert convert.html_to_text(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
 def test_pdf():
