@@ -196,6 +196,21 @@ def page_texts(spark, sf_dir):
     return convert.html_to_text(read(spark, sf_dir, "pages").repartition("page_id"))
 
 
+@query("""SELECT c_custkey AS page_id, '# ' || c_name || chr(10) || chr(10) || 'Account of a customer in segment ' || c_mktsegment || chr(10) || chr(10) || '- ' || c_nationkey || chr(10) || chr(10) || '- second' || chr(10) || chr(10)
+  || '1. first' || chr(10) || chr(10) || '2. of ' || c_mktsegment || chr(10) || chr(10) || '| key | value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' |' || chr(10) || '| alone |  |' || chr(10) || chr(10)
+  || '```' || chr(10) || 'x = ' || c_custkey || chr(10) || 'y' || chr(10) || '```' AS text FROM customer""")
+def page_structures(spark, sf_dir):
+    """TX1: pages made of customers: a heading, lists, a table and code, with paragraphs, items, rows and cells left open. Clean-up takes the indent of lines."""
+    c = F.col
+    html = F.concat(
+        F.lit("<body><div>menu</div><nav>skip</nav><article><h1>"), "c_name", F.lit("</h1><p>Account of a <b>customer</b> in <a href='x'>segment <i>"), "c_mktsegment", F.lit("</i></a><ul><li>"), c("c_nationkey").cast("string"),
+        F.lit("<li>second</ul><ol><li>first<li>of "), "c_mktsegment", F.lit("</ol><table><tr><th>key<th>value<tr><td>"), c("c_custkey").cast("string"), F.lit("<td>"), "c_name", F.lit("<tr><td>alone</table><pre>x = "), c("c_custkey").cast("string"), F.lit("\n  y\n</pre><script>gone</script></article>"),
+    )
+    pages = read(spark, sf_dir, "customer").select(c("c_custkey").alias("page_id"), "c_name", html.alias("html")).withColumnRenamed("c_name", "url")
+    return convert.html_to_text(pages).select("page_id", "text")
+
+
+
 @query(r"""WITH l AS (SELECT doc_id, i, CASE length(y) % 6 WHEN 0 THEN ' ' || length(y) WHEN 1 THEN (length(y) % 10) || '.' || (length(y) % 7) || ' ' || y WHEN 2 THEN 'pagefooter' WHEN 3 THEN '3. 中文 ' || y ELSE y END AS x
   FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 g AS (SELECT *, sum(CASE WHEN digits THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, regexp_full_match(trim(x), '\d{1,4}') AS digits FROM l)),
