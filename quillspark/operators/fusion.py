@@ -133,11 +133,11 @@ def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, sectio
     key = stage_table(key.withColumn("rank", F.col("rank") - 1).join(found, "query_id", "left_semi"), "worded")
     both = key.select("query_id").distinct()
     fused = rrf_fuse(vec.join(both, "query_id", "left_semi"), key, rrf_k).where(F.col("rank") <= most).select("query_id", "key", "distance", "rank")
-    alone = vec.join(both, "query_id", "left_anti").groupBy("query_id", "key").agg(F.min_by("distance", "rank").alias("distance"), F.min("rank").alias("rank"))
+    alone = vec.join(both, "query_id", "left_anti").groupBy("query_id", "key").agg(F.min_by("distance", "rank").alias("distance"), F.min("rank").alias("at"))
+    alone = alone.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at")))
     lost = asks.join(found, "query_id", "left_anti").where(has_exact_id(F.col("text")))
     only = bm25_topk(lost, index, 1).select("query_id", "key", F.lit(0.0).alias("distance"), "rank")
     hits = fused.unionByName(alone.select(*fused.columns)).withColumn("named", F.lit(True)).unionByName(only.withColumn("named", F.lit(False)))
     hits = dedup_sections(hits.join(sections.select("key", "doc_id", "section_id"), "key"))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "key")))
     hits = attach_names(hits, docs).withColumn("doc_name", F.when(F.col("named"), F.col("doc_name")))
     return hits.join(sections.select("key", "title", "text"), "key").select("query_id", "rank", "doc_id", "section_id", "doc_name", "title", "text", snippet(F.col("text")).alias("snippet"), "distance")

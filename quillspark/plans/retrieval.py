@@ -302,7 +302,7 @@ h AS (
   SELECT query_id, key, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS rank, true AS has_name FROM f QUALIFY rank <= 17
   UNION ALL SELECT query_id, key, arg_min(distance, r), row_number() OVER (PARTITION BY query_id ORDER BY min(r)), true FROM v WHERE query_id NOT IN (SELECT query_id FROM b) GROUP BY query_id, key
   UNION ALL SELECT s.query_id, doc_id, 0.0, 1, false FROM score s JOIN a ON a.id = s.query_id WHERE s.query_id NOT IN (SELECT query_id FROM v) AND regexp_matches(x, '\d{{4,}}|/|(?i)(code|错误码|error)\s*[=:：]?\s*\d') QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) = 1)
-SELECT query_id, rank, key // 4 AS doc_id, key % 4 AS section_id, CASE WHEN has_name THEN name END AS doc_name, round(distance, 6) AS distance FROM h LEFT JOIN names ON names.doc = key // 4""")
+SELECT query_id, rank, key // 4 AS doc_id, key % 4 AS section_id, CASE WHEN has_name THEN name END AS doc_name, round(distance, 6) AS distance FROM h LEFT JOIN names ON names.doc = key // 4 WHERE key IN (SELECT doc_id FROM documents)""")
 def hybrid_routed(spark, sf_dir):
     """CJ1, JN1: four texts are a document, two vectors the chunks of a section; some questions name documents, some have no words."""
     d = read(spark, sf_dir, "documents")
