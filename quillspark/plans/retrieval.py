@@ -292,7 +292,7 @@ _ROUTED_TOKENS = _TOKENS.replace("SELECT item_id AS id, lower(text) AS t FROM be
 names AS (SELECT doc_id // 4 AS doc, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 4), ' ') AS name FROM documents WHERE doc_id % 4 = 0),
 t AS (SELECT 'd' AS side, doc AS id, lower(name) AS x FROM names UNION ALL SELECT 'q', id, lower(x) FROM a),
 {_NAMES},
-ok AS (SELECT a.id AS query_id, d.doc FROM a, (SELECT DISTINCT doc_id // 4 AS doc FROM documents) d WHERE a.id NOT IN (SELECT query_id FROM named) OR EXISTS (SELECT 1 FROM named n WHERE n.query_id = a.id AND n.doc_id = d.doc)),
+ok AS (SELECT a.id AS query_id, d.doc FROM a, (SELECT doc_id // 4 AS doc FROM documents UNION SELECT vec_id // 8 FROM embeddings) d WHERE a.id NOT IN (SELECT query_id FROM named) OR EXISTS (SELECT 1 FROM named n WHERE n.query_id = a.id AND n.doc_id = d.doc)),
 v AS (SELECT near.query_id, key // 2 AS key, distance, row_number() OVER (PARTITION BY near.query_id ORDER BY distance, key // 2) - 1 AS r FROM near JOIN ok ON ok.query_id = near.query_id AND ok.doc = key // 8 QUALIFY r < 17),
 b AS (SELECT s.query_id, doc_id AS key, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) - 1 AS r FROM score s JOIN ok ON ok.query_id = s.query_id AND ok.doc = doc_id // 4 WHERE s.query_id IN (SELECT query_id FROM v) QUALIFY r < 17),
 v1 AS (SELECT query_id, key, max(r) AS r, arg_max(distance, r) AS distance FROM v WHERE query_id IN (SELECT query_id FROM b) GROUP BY ALL),
