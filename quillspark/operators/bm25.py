@@ -78,7 +78,7 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")  # what a job that ended midway left goes
         return self.table(name)
 
     def has(self, name: str) -> bool:
