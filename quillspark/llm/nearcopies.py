@@ -107,17 +107,16 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return line.select("node", "size", F.explode(placed).alias("x")).join(nodes.select("node", "bits"), "node").select("x.key", "x.pos", "node", "size", "bits")
 
 
-def _may_fit(similarity: float, x: str, y: str):
+def _may_fit(similarity: float, x, y):
     """Whether two members can have that similarity: no pair that has it fails, and no set is needed.
 
     Of n and m shingles they then share s / (1 + s) * (n + m) at least. Where the first that they share stands at places
     i and j of the common order, they share n - i and m - j at most; that holds for one of the keys of a pair. All others
-    are in one set alone, and the parity maps differ in as many bits at most.
+    are in one set alone, and the parity maps differ in as many bits at most. x and y give a member's columns by name.
     """
-    of = lambda side, c: F.col(f"{side}.{c}")
-    total = (of(x, "size") + of(y, "size")).cast("double")
-    shared = F.least(of(x, "size") - of(x, "pos"), of(y, "size") - of(y, "pos"))
-    differ = F.aggregate(F.zip_with(of(x, "bits"), of(y, "bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    total = (x("size") + y("size")).cast("double")
+    shared = F.least(x("size") - x("pos"), y("size") - y("pos"))
+    differ = F.aggregate(F.zip_with(x("bits"), y("bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
     return (shared >= similarity / (1 + similarity) * total - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
 
 
@@ -128,13 +127,15 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int
     """Links of each set, `of` those for which that holds, with `hubs` sets of its key, chosen by hash, that are not known to belong with it."""
     one = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("at"), "part", *_MEMBER))
     chosen = members.groupBy("key").agg(F.array(*[one(t) for t in range(hubs)]).alias("hubs"))
-    pairs = members.where(of).alias("m").join(chosen, "key").select("m.*", F.explode("hubs").alias("hub")).alias("m").where((F.col("m.part") != F.col("hub.part")) & _may_fit(similarity, "m", "hub"))
-    return stage_table(_confirmed(pairs.select(F.col("m.node").alias("a"), F.col("hub.node").alias("b")), sets, similarity), "links")
+    # hubs that can't fit go within the row, before anything is made of them
+    fit = F.filter("hubs", lambda h: (F.col("part") != h["part"]) & _may_fit(similarity, F.col, lambda c: h[c]))
+    pairs = members.where(of).join(chosen, "key").select(F.col("node").alias("a"), F.explode(F.transform(fit, lambda h: h["node"])).alias("b"))
+    return stage_table(_confirmed(pairs, sets, similarity), "links")
 
 
 def _all_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links of every set outside its key's largest component with all sets of the key that are not known to belong with it."""
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & _may_fit(similarity, "l", "r")
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & _may_fit(similarity, lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))
     pairs = members.where("part <> main").alias("l").join(members.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     return stage_table(_confirmed(pairs, sets, similarity), "links")
 
