@@ -97,13 +97,15 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     Shingles stand in one order for all, by how many of the nodes have them; of a set of n, all but the last
     similarity * n, rounded up, and one more are taken, with their places in that order, from 0. What one node alone has
-    gives no key but fills its place.
+    gives no key but fills its place; it is counted, not joined.
     """
     s = nodes.select("node").join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
-    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     line = s.join(n, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("line"))  # of one text
-    first = F.slice("line", F.lit(1), F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1)
-    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["key"].alias("key"), i.alias("pos"), x["n"].alias("n"))), lambda x: x["n"] > 1)
+    # what one node alone has stands first in the order, so its number says where the others begin
+    alone = F.col("size") - F.size("line")
+    first = F.slice("line", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1 - alone, F.lit(0)))
+    placed = F.transform(first, lambda x, i: F.struct(x["key"].alias("key"), (alone + i).alias("pos")))
     return line.select("node", "size", F.explode(placed).alias("x")).join(nodes.select("node", "bits"), "node").select("x.key", "x.pos", "node", "size", "bits")
 
 

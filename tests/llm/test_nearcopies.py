@@ -96,3 +96,17 @@ def test_random_texts_make_few_candidates(spark):
     rows = [(i, " ".join(word(rng) for _ in range(rng.randrange(20, 200)))) for i in range(3000)]
     prints = spark.createDataFrame([(i, 1, N.word_prints(t, N.TABLES)) for i, t in rows], "node bigint, size int, fps array<bigint>").selectExpr("node", "size", "posexplode(fps) as (table, fp)")
     assert N.shared_only(N.signatures(prints, 3)).count() <= 30
+
+
+def test_rare_shingles_equal_a_plain_order(spark):
+    """Keys and places in the order by (number of sets, hash), those of one set alone first, of all but the last 0.8 of a set."""
+    rng = random.Random(47)
+    held = {i: sorted(rng.sample(range(60), rng.randrange(1, 25)) + [1000 + i]) for i in range(20)}
+    sets = spark.createDataFrame(list(held.items()), "node bigint, hashes array<bigint>")
+    nodes = sets.selectExpr("node", "array(node) bits")
+    n = {h: sum(h in s for s in held.values()) for s in held.values() for h in s}
+    want = set()
+    for node, s in held.items():
+        last = len(s) - -(-len(s) * 4 // 5) + 1
+        want |= {(h, at, node, len(s)) for at, h in enumerate(sorted(s, key=lambda h: (n[h], h))[:last]) if n[h] > 1}
+    assert {(r["key"], r["pos"], r["node"], r["size"]) for r in N.rare_shingles(nodes, sets, 0.8).collect()} == want
