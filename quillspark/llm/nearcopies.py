@@ -158,10 +158,10 @@ def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
 def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all nodes of members (key, node, size) which share a key and have that similarity.
 
-    First each set is compared with one of its key, the hub, and then those outside their key's largest component with
-    HUBS more. After that only pairs in different components matter: all of a key's, where at most SMALL sets are outside
-    its largest component. What is left of crowded keys is dealt anew by the rarest shingles, which any two similar sets
-    share, and there those in different components are compared. What sizes, places and parity maps exclude (_may_fit)
+    First each set is compared with one of its key, the hub. After that only pairs in different components matter: all of
+    a key's, where at most SMALL sets are outside its largest component. What is left of crowded keys is dealt anew by the
+    rarest shingles, which any two similar sets share; there those outside their key's largest component are compared with
+    HUBS more, and then all in different components. What sizes, places and parity maps exclude (_may_fit)
     goes before any set moves; members may lack pos and bits, which then exclude nothing. No similar pair of a key is
     left out, and the number of rounds is fixed.
     """
@@ -169,10 +169,6 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     members = members.withColumns({c: v for c, v in spare.items() if c not in members.columns})
     links = _hub_links(members.withColumn("part", F.col("node")), sets, similarity, 1)
     m = _parted(members, links)
-    if m.isEmpty():
-        return links
-    links = links.unionByName(_hub_links(m, sets, similarity, HUBS, "part <> main"))
-    m = _parted(m, links)
     if m.isEmpty():
         return links
     links = links.unionByName(_all_links(m.where(f"n_out <= {SMALL}"), sets, similarity))
@@ -181,7 +177,9 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         return links
     again = rare_shingles(crowded, sets, similarity)
     shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return links.unionByName(_all_links(_parted(stage_table(again.join(shared, "key"), "rare"), links), sets, similarity))
+    m = _parted(stage_table(again.join(shared, "key"), "rare"), links)
+    links = links.unionByName(_hub_links(m, sets, similarity, HUBS, "part <> main"))
+    return links.unionByName(_all_links(_parted(m, links), sets, similarity))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
