@@ -64,3 +64,15 @@ def test_pruned_topk_equals_all_scores_and_reads_less(spark, tmp_path, monkeypat
         r = bm25.bm25_read_share(q, index, 5).agg(F.sum("n_read") / F.sum("n_postings")).first()[0]
         share.append(r)
     assert max(share) < 0.7
+
+
+def test_scores_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Many blocks of sections and questions, few pairs at a time, string keys; building blocks moves no row for a posting."""
+    for name, n in (("BUCKET", 16), ("SECTIONS", 50), ("PAIRS", 300), ("QUESTION_TERMS", 40)):
+        monkeypatch.setattr(bm25, name, n)
+    rows, pick = corpus(spark, 400, 5)
+    store = bm25.build_store(spark.createDataFrame([(f"é{k}", t) for k, t in rows], "key string, text string"), f"file://{tmp_path}/s")
+    assert "Generate" not in bm25._blocks(store.table("forward"))._jdf.queryExecution().toString()
+    q = spark.createDataFrame([(i, pick(9)) for i in range(25)], "query_id bigint, text string")
+    top = lambda df: sorted((r["query_id"], r["key"], r["rank"], round(r["score"], 6)) for r in df.collect())
+    assert top(bm25.bm25_topk(q, store.index(), 7)) == top(bm25._top(bm25.bm25_scores(q, store.index()), 7))
