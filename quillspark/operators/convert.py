@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import clean_pdf_text, html_title, postprocess_lines, strip
@@ -19,6 +19,8 @@ INLINE = {"a", "strong", "b", "em", "i", "code", "span", "abbr", "sub", "sup", "
 BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "form", "table", "tr", "ul", "ol", "dl", "blockquote", "figure", "figcaption", "details", "summary", "hr", "br"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
+#: So many tokens of pages, or characters of texts, go back to Spark together.
+TOKENS, CHARS = 8192, 1 << 20
 DIV_CLASSES = ("body-inner", "page-inner", "theme-default-content")
 ROLE = "main"
 DIV_PARTS, DIV_NAMES = ("content", "post", "article"), ("content", "main", "article")
@@ -119,12 +121,26 @@ _TOKEN = "id int, up int, last int, from int, to int, owner int, cover int, tag
 def _tokens(pages: DataFrame) -> DataFrame:
     """(page, whole, token columns) of pages (page, html)."""
 
-    @F.pandas_udf("struct<whole:string, tokens:array<struct<" + ", ".join(c.replace(" ", ":") for c in _TOKEN.split(", ")) + ">>>")
-    def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_tokens(h) for h in html], columns=["whole", "tokens"])
+    fields = [c.split(" ") for c in _TOKEN.split(", ")]
+    most = TOKENS
+    kind = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in fields]))
 
-    t = pages.select("page", run("html").alias("p"))
-    return t.select("page", "p.whole", F.inline("p.tokens"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, n = [], 0
+            pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.field("page").type, pa.string(), kind), strict=True)], names=["page", "whole", "tokens"])  # noqa: B023, E731
+            for page, html in zip(b["page"], b["html"], strict=True):
+                whole, tokens = page_tokens(html.as_py())
+                out.append((page.as_py(), whole, tokens))
+                n += len(tokens)
+                if n >= most:
+                    yield pack(out)
+                    out, n = [], 0
+            if out:
+                yield pack(out)
+
+    t = pages.select("page", "html").mapInArrow(run, "page bigint, whole string, tokens array<struct<" + ",".join(f"`{n}`:{t}" for n, t in fields) + ">>")
+    return t.select("page", "whole", F.inline("tokens"))
 
 
 def _text_of(whole: str, begin: str, end: str) -> F.Column:
@@ -142,19 +158,19 @@ def content_roots(tokens: DataFrame) -> DataFrame:
     e = tokens.where("tag is not null").where(~tag.isin(*SKIP_TAGS))
     met = e.select("page", "id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(i)) for i, x in enumerate(tests)]))).alias("test"))
     first = met.groupBy("page", "test").agg(F.min("id").alias("id"))
-    fit = first.join(e, ["page", "id"]).where(F.length(_text_of("whole", "from", "to")) > 30).select("page", F.struct("test", "id").alias("x"))
+    fit = first.join(e.hint("merge"), ["page", "id"]).where(F.length(_text_of("whole", "from", "to")) > 30).select("page", F.struct("test", "id").alias("x"))
     rest = e.where("tag = 'body' or id = 0").select("page", F.struct(F.when(tag == "body", len(tests)).otherwise(len(tests) + 1).alias("test"), "id").alias("x"))
     best = fit.unionByName(rest).groupBy("page").agg(F.min("x")["id"].alias("id"))
-    return best.join(e, ["page", "id"]).select("page", F.col("id").alias("root"), F.col("last").alias("root_last"), F.col("kind").alias("root_kind"))
+    return best.join(e.hint("merge"), ["page", "id"]).select("page", F.col("id").alias("root"), F.col("last").alias("root_last"), F.col("kind").alias("root_kind"))
 
 
 def _table_lines(tokens: DataFrame, shown: DataFrame) -> DataFrame:
     """(page, id, rows) of the tables shown: rows of cells in order, those without cells left out."""
     tables = shown.where("kind = 'table'").select("page", F.col("id").alias("t_id"), F.col("last").alias("t_last"))
-    within = tokens.join(tables.select("page").distinct(), "page", "left_semi")
+    within = tokens.join(tables.select("page").distinct().hint("merge"), "page", "left_semi")
     inside = (F.col("id") > F.col("t_id")) & (F.col("id") <= F.col("t_last"))
-    r = within.where("tag = 'tr'").join(tables, "page").where(inside).select("page", "t_id", F.col("id").alias("r_id"), F.col("last").alias("r_last"))
-    c = within.where("tag in ('th', 'td')").join(r, "page").where((F.col("id") > F.col("r_id")) & (F.col("id") <= F.col("r_last")))
+    r = within.where("tag = 'tr'").join(tables.hint("merge"), "page").where(inside).select("page", "t_id", F.col("id").alias("r_id"), F.col("last").alias("r_last"))
+    c = within.where("tag in ('th', 'td')").join(r.hint("merge"), "page").where((F.col("id") > F.col("r_id")) & (F.col("id") <= F.col("r_last")))
     c = c.select("page", "t_id", "r_id", F.struct("id", _text_of("whole", "from", "to").alias("cell")).alias("x"))
     cells = c.groupBy("page", "t_id", "r_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["cell"]).alias("cells"))
     return cells.groupBy("page", F.col("t_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r_id", "cells"))), lambda x: x["cells"]).alias("rows"))
@@ -165,17 +181,18 @@ def page_lines(tokens: DataFrame) -> DataFrame:
 
     An element's own text is that of the pieces it owns; headings, list items, code and tables get their marks. What
     follows a line that isn't blank is set apart by one, unless it is the first below an element with text of its own.
+    Tokens of like pages are small on disk and large in memory, so no side is ever sent to all tasks: all joins are merged.
     """
     roots = content_roots(tokens)
-    t = tokens.join(roots, "page").where(F.col("id").between(F.col("root"), F.col("root_last")))
+    t = tokens.join(roots.hint("merge"), "page").where(F.col("id").between(F.col("root"), F.col("root_last")))
     is_root = F.col("id") == F.col("root")
     seen = (F.col("kind") != "none") & (is_root | (F.col("cover") <= F.col("root")) & ~F.col("root_kind").isin("none", "table", "pre"))
     shown = t.where("tag is not null").where(seen)
     piece = F.when(F.col("tag").isNull(), strip(F.col("text"))).when((F.col("tag") == "img") & (F.coalesce("alt", F.lit("")) != ""), F.concat(F.lit("[图: "), "alt", F.lit("]"))).when(F.col("tag") == "br", "\n")
     # a line break in an inline tag counts between what else that tag holds, not at its edge
     inline = t.where(F.col("tag").isin(*INLINE)).select("page", F.col("id").alias("lo"), F.col("last").alias("hi"))
-    broken = t.where("tag = 'br'").select("page", "id", F.col("up").alias("lo")).join(inline, ["page", "lo"])
-    pieces = t.select("page", "id", "owner", piece.alias("piece")).where("piece <> ''").join(broken, ["page", "id"], "left")
+    broken = t.where("tag = 'br'").select("page", "id", F.col("up").alias("lo")).join(inline.hint("merge"), ["page", "lo"])
+    pieces = t.select("page", "id", "owner", piece.alias("piece")).where("piece <> ''").join(broken.hint("merge"), ["page", "id"], "left")
     pieces = pieces.groupBy("page", F.col("owner").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("at"), "piece", "lo", "hi"))).alias("all"))
     some = lambda ok: F.exists("all", lambda y: (y["piece"] != "\n") & ok(y["at"]))
     kept = F.filter("all", lambda x: x["lo"].isNull() | some(lambda at: (at > x["lo"]) & (at < x["at"])) & some(lambda at: (at > x["at"]) & (at <= x["hi"])))
@@ -183,7 +200,7 @@ def page_lines(tokens: DataFrame) -> DataFrame:
     own = own.withColumn("own", strip(F.replace("own", F.lit(" \n "), F.lit("\n"))))
     item = Window.partitionBy("page", "up").orderBy("id")
     items = t.where("tag = 'li' and up_tag = 'ol'").select("page", "id", F.row_number().over(item).alias("item"))
-    g = shown.join(own, ["page", "id"], "left").join(items, ["page", "id"], "left").join(_table_lines(tokens, shown), ["page", "id"], "left")
+    g = shown.join(own.hint("merge"), ["page", "id"], "left").join(items.hint("merge"), ["page", "id"], "left").join(_table_lines(tokens, shown).hint("merge"), ["page", "id"], "left")
     text = F.coalesce("own", F.lit(""))
     code = _text_of("whole", "from", "to")
     marks = F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), text)
@@ -211,7 +228,7 @@ def html_to_text(pages: DataFrame) -> DataFrame:
     """
     page = F.xxhash64("page_id", "url", "html")
     tokens = stage_table(_tokens(pages.select(page.alias("page"), "html").dropDuplicates(["page"])), "tokens")
-    own = pages.select(page.alias("page"), "page_id", "url", html_title(F.col("html"), F.col("url")).alias("title")).join(page_lines(tokens), "page", "left")
+    own = pages.select(page.alias("page"), "page_id", "url", html_title(F.col("html"), F.col("url")).alias("title")).join(page_lines(tokens).hint("merge"), "page", "left")
     return own.select("page_id", "url", "title", postprocess_lines(F.coalesce("text", F.lit(""))).alias("text"))
 
 
@@ -275,11 +292,21 @@ def _fence(lines: list[str]) -> list[str]:
 def structure_pdf_text(df: DataFrame) -> DataFrame:
     """TX4 and TX5: (doc_id, text)."""
 
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(structure_pdf_lines)
-
-    return df.select("doc_id", run(clean_pdf_text(F.col("text"))).alias("text"))
+    most = CHARS
+    rows = df.select("doc_id", clean_pdf_text(F.col("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out, chars = 0, [], 0
+            for i, text in enumerate(b["text"], 1):
+                text = text.as_py()
+                out.append(structure_pdf_lines(text))
+                chars += len(text or "")
+                if chars >= most or i == len(b):
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, i - at), pa.array(out, pa.string())], names=["doc_id", "text"])
+                    at, out, chars = i, [], 0
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
 
 
 def blocks_to_markdown(blocks: DataFrame) -> DataFrame:
