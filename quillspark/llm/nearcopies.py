@@ -15,12 +15,14 @@ from .simhash import shared_only, signatures, word_shingles
 
 #: Independent fingerprints of a text's different words, two segments of 32 bits each; sets that share a signature of any are candidates.
 TABLES = 4
-#: All pairs of a key are compared where at most so many of its sets are outside the component of one of them.
+#: All pairs of a key are compared where it has at most so many sets, or so many outside its largest component.
 SMALL = 64
 #: Sets of a key that each other set is compared with at once.
 HUBS = 4
 KEYS = ["sim_id", "sim_no", "sim_h"]
 PRINTS = 1 << 12
+#: Slots in which shingles are counted; what is sent to tasks is one number for each.
+SLOTS = 1 << 16
 #: Bits of a set's parity map: what it holds an odd number of is set, so two maps differ in no more bits than their sets in shingles.
 PARITY = 1024
 
@@ -95,18 +97,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(key, pos, node, size, bits): for each node the rarest of its shingles, so many that any two sets of that similarity share one.
 
-    Shingles stand in one order for all, by how many of the nodes have them; of a set of n, all but the last
-    similarity * n, rounded up, and one more are taken, with their places in that order, from 0. What one node alone has
-    gives no key but fills its place; it is counted, not joined.
+    Shingles stand in one order for all, by how often the nodes have those of their slot, one of SLOTS that hashes are
+    dealt to: any order that is the same for all sets is exact, and this one is looked up within a set's row. Of a set of
+    n, all but the last similarity * n, rounded up, and one more are taken, with their places in that order, from 0. What
+    has a slot alone is in one set alone; it gives no key but fills its place.
     """
-    s = nodes.select("node").join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
-    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    line = s.join(n, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("line"))  # of one text
-    # what one node alone has stands first in the order, so its number says where the others begin
-    alone = F.col("size") - F.size("line")
-    first = F.slice("line", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1 - alone, F.lit(0)))
-    placed = F.transform(first, lambda x, i: F.struct(x["key"].alias("key"), (alone + i).alias("pos")))
-    return line.select("node", "size", F.explode(placed).alias("x")).join(nodes.select("node", "bits"), "node").select("x.key", "x.pos", "node", "size", "bits")
+    s = stage_table(nodes.select("node", "bits").join(sets, "node"), "rare_sets")
+    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+    each = s.select(F.explode(F.transform("hashes", slot)).alias("slot"), F.lit(1).alias("n")).unionByName(nodes.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("n")))
+    tally = each.groupBy("slot").agg(F.sum("n").cast("int").alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("tally"))
+    tally = stage_table(tally, "tally")  # one row of SLOTS numbers
+    size = F.size("hashes")
+    line = F.sort_array(F.transform("hashes", lambda h: F.struct(F.get("tally", slot(h)).alias("n"), h.alias("key"))))
+    first = F.slice(line, F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
+    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["n"].alias("n"), x["key"].alias("key"), i.alias("pos"))), lambda x: x["n"] > 1)
+    return s.join(F.broadcast(tally)).select("node", size.alias("size"), "bits", F.explode(placed).alias("x")).select("x.key", "x.pos", "node", "size", "bits")
 
 
 def _may_fit(similarity: float, x, y):
@@ -135,51 +140,61 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: float, hubs: int
     return stage_table(_confirmed(pairs, sets, similarity), "links")
 
 
-def _all_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of every set outside its key's largest component with all sets of the key that are not known to belong with it."""
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & _may_fit(similarity, lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))
-    pairs = members.where("part <> main").alias("l").join(members.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+def _all_links(left: DataFrame, right: DataFrame, sets: DataFrame, similarity: float, once: str = "true") -> DataFrame:
+    """Links of every set of left with all sets of its key in right that are not known to belong with it; `once` may name l's and r's columns."""
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part")) & F.expr(once) & _may_fit(similarity, lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))
+    pairs = left.alias("l").join(right.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     return stage_table(_confirmed(pairs, sets, similarity), "links")
 
 
-def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with their component so far, part, of keys that still have more than one.
+def _parted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of nodes with the node's component so far, part."""
+    return nodes.join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _open(m: DataFrame) -> DataFrame:
+    """The members of keys that have more than one component.
 
     main is the key's largest component, and n_out says how many of its sets are outside that one.
     """
-    m = members.select("key", *_MEMBER).join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    m = stage_table(m, "parts")
     of = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), (F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
-    out = stage_table(m.join(of, "key"), "open")
-    drop_staged(m)
-    return out
+    return stage_table(m.join(of, "key"), "open")
 
 
-def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all nodes of members (key, node, size) which share a key and have that similarity.
+def set_links(members: DataFrame, sets: DataFrame, similarity: float, nodes: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect all nodes of members (key, node) which share a key and have that similarity.
 
-    First each set is compared with one of its key, the hub. After that only pairs in different components matter: all of
-    a key's, where at most SMALL sets are outside its largest component. What is left of crowded keys is dealt anew by the
-    rarest shingles, which any two similar sets share; there those outside their key's largest component are compared with
-    HUBS more, and then all in different components. What sizes, places and parity maps exclude (_may_fit)
-    goes before any set moves; members may lack pos and bits, which then exclude nothing. No similar pair of a key is
-    left out, and the number of rounds is fixed.
+    First each set is compared with one set, the hub, of the key that it shares with most others: a row for each set, not
+    for each of its keys. After that only pairs in different components matter: all of a key's, where it has at most SMALL
+    sets or at most SMALL are outside its largest component. What is left of crowded keys is dealt anew by the rarest
+    shingles, which any two similar sets share; there those outside their key's largest component are compared with HUBS
+    more, and then all in different components. What sizes, places and parity maps exclude (_may_fit) goes before any set
+    moves; nodes has size and bits. Where it is not given, members has the size, and no map excludes anything; members
+    may lack n, the sets of their key, which is then counted. No similar pair of a key is left out, and the number of
+    rounds is fixed.
     """
-    spare = {"pos": F.lit(0), "bits": F.array().cast("array<bigint>")}
-    members = members.withColumns({c: v for c, v in spare.items() if c not in members.columns})
-    links = _hub_links(members.withColumn("part", F.col("node")), sets, similarity, 1)
-    m = _parted(members, links)
-    if m.isEmpty():
-        return links
-    links = links.unionByName(_all_links(m.where(f"n_out <= {SMALL}"), sets, similarity))
+    if nodes is None:
+        nodes = members.select("node", "size", F.array().cast("array<bigint>").alias("bits")).distinct()
+    if "n" not in members.columns:
+        members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    members = members.select("key", "node", "n")
+    most = members.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("key")).join(nodes.withColumn("pos", F.lit(0)), "node")
+    links = _hub_links(most.withColumn("part", F.col("node")), sets, similarity, 1)
+    parts = stage_table(members.join(_parted(nodes.withColumn("pos", F.lit(0)), links), "node"), "parts")
+    few = parts.where(f"n <= {SMALL}")
+    links = links.unionByName(_all_links(few, few, sets, similarity, "l.node < r.node"))
+    m = _open(parts.where(f"n > {SMALL}"))
+    links = links.unionByName(_all_links(m.where(f"n_out <= {SMALL} and part <> main"), m, sets, similarity))
     crowded = m.where(f"n_out > {SMALL}").select("node", "bits").distinct()
     if crowded.isEmpty():
         return links
     again = rare_shingles(crowded, sets, similarity)
     shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    m = _parted(stage_table(again.join(shared, "key"), "rare"), links)
+    rare = stage_table(again.join(shared, "key"), "rare")
+    m = _open(stage_table(_parted(rare, links), "parts"))
     links = links.unionByName(_hub_links(m, sets, similarity, HUBS, "part <> main"))
-    return links.unionByName(_all_links(_parted(m, links), sets, similarity))
+    m = _open(stage_table(_parted(m.drop("part", "main", "n_out"), links), "parts"))
+    return links.unionByName(_all_links(m.where("part <> main"), m, sets, similarity))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
@@ -197,14 +212,13 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     rows = stage_table(_prints(keyed, shingle_words, tables), "prints")
     reps = stage_table(rows.groupBy("node").agg(F.min(F.struct(*KEYS)).alias("x"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fps").alias("fps")), "nodes")
     prints = reps.where("size > 0").select("node", F.posexplode("fps").alias("table", "fp"))
-    shared = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node"), "shared")
-    members = stage_table(shared.join(reps.select("node", "size", F.lit(0).alias("pos"), "bits"), "node").select("key", *_MEMBER), "members")
-    asked = stage_table(reps.join(members.select("node").distinct(), "node").select("node", "x.*"), "asked")
-    texts = maybe_among(keyed, "sim_h", asked).join(asked.hint("merge"), KEYS)  # the same join at every size
+    shared = stage_table(shared_only(signatures(prints, 3).drop("fp")).select(F.col("sig").alias("key"), "node", "n"), "shared")
+    asked = stage_table(reps.join(shared.select("node").distinct(), "node").select("node", "size", "bits", "x.*"), "asked")
+    texts = maybe_among(keyed, "sim_h", asked).join(asked.select("node", *KEYS).hint("merge"), KEYS)  # the same join at every size
     sets = stage_table(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
-    comp = connected_components(set_links(members, sets, similarity))
+    comp = connected_components(set_links(shared, sets, similarity, asked.select("node", "size", "bits")))
     low = reps.select("node", "x").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keep = stage_table(low.groupBy("component").agg(F.min("x").alias("x")).select("x.*").toDF(*mine), "keep")
-    for table in (rows, reps, shared, members, asked, sets):
+    for table in (rows, reps, shared, asked, sets):
         drop_staged(table)
     return named.join(keep, mine, "left_semi").dropDuplicates(mine).select(*docs.columns)

@@ -110,3 +110,34 @@ def test_rare_shingles_equal_a_plain_order(spark):
         last = len(s) - -(-len(s) * 4 // 5) + 1
         want |= {(h, at, node, len(s)) for at, h in enumerate(sorted(s, key=lambda h: (n[h], h))[:last]) if n[h] > 1}
     assert {(r["key"], r["pos"], r["node"], r["size"]) for r in N.rare_shingles(nodes, sets, 0.8).collect()} == want
+
+
+def test_hubs_are_met_once_for_each_set(spark, monkeypatch):
+    """Sets that share many keys: a row for each set and not for each of its keys, and no link is lost."""
+    rng = random.Random(53)
+    texts = []
+    for _ in range(8):
+        t = " ".join(word(rng) for _ in range(90))
+        for _ in range(5):
+            texts.append(t)
+            t = edited(rng, t, 2)
+    sets = N.stage_table(N._sets(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5))
+    members = sets.selectExpr("explode(sequence(1L, 12L)) key", "node", "size(hashes) size")
+    met, real = [], N._hub_links
+    monkeypatch.setattr(N, "_hub_links", lambda m, *a: met.append(m.count()) or real(m, *a))
+    for small in (64, 4):
+        monkeypatch.setattr(N, "SMALL", small)
+        met.clear()
+        links = {tuple(sorted((r["a"], r["b"]))) for r in N.set_links(members, sets, 0.8).collect()}
+        assert met[0] == len(texts)
+        assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
+        part = list(range(len(texts)))
+        for a, b in sorted(links) * len(texts):
+            part[a] = part[b] = min(part[a], part[b])
+        assert all(part[a] == part[b] for b in range(len(texts)) for a in range(b) if jaccard(texts[a], texts[b]) >= 0.8)
+
+
+def test_shingles_are_ordered_within_their_row(spark):
+    sets = spark.createDataFrame([(i, list(range(i, i + 20))) for i in range(20)], "node bigint, hashes array<bigint>")
+    out = N.rare_shingles(sets.selectExpr("node", "array(node) bits"), sets, 0.8)
+    assert "Join [key" not in out._jdf.queryExecution().executedPlan().toString()
