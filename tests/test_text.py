@@ -38,6 +38,17 @@ def test_strict_claims(spark):
     assert got["confidence"] == "medium" and set(got["signals"]) == {"latest_keyword", "time_adverb", "specific_data"}
 
 
+def test_claims_look_for_versions_once(spark):
+    """Text is searched once for each pattern and put into small letters once, however many fields are named."""
+    df = spark.createDataFrame([("Java 21 is the LATEST, v1.2 ſ Vue\n3 since 2025-11",), ("a.1 v. x",), ("",), (None,)], "t string")
+    out = df.select(X.time_sensitive_claims(F.col("t"), 2026).alias("c")).select("c.*")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("lower(") == 1
+    assert [tuple(r) for r in out.collect()] == [(True, ["version", "recent_date", "latest_keyword"], ["Java 21", "v1.2", "2025-11"], "high"), (True, ["version"], ["v."], "high"), (False, [], [], "low"), (False, [], None, "low")]
+    any_ = df.select(F.regexp_extract_all("t", F.lit(X.VERSION), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(X.VERSION_FAST), F.lit(0)).alias("b"))
+    assert all(r["a"] == r["b"] for r in any_.collect())
+
+
 def test_heading_level(spark):
     make = lambda a, b, c: "\n".join(["## x"] * a + ["### y"] * b + ["#### z"] * c)
     assert [one(spark, make(*n), X.detect_heading_level) for n in ((3, 8, 10), (0, 0, 0), (3, 2, 0), (2, 9, 1))] == [4, 3, 2, 3]
