@@ -34,24 +34,27 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "down", max_dept
 
     Repeated edges give repeated paths. A start without edges in that direction is a path of itself, of depth 0, if it is
     known: as another edge's end or, where given, among services (name); unknown ones give nothing. The frontier is
-    joined with the edges on its last node, once for each level; finished paths leave it. The mark is appended to the
-    repeated node's name.
+    joined with the edges on its last node, once for each level, and written once; finished paths leave it. Of the edges
+    only those that begin where it has come to are joined, few where many paths meet. Edges are written first, unless
+    they come from stage_table. The mark is appended to the repeated node's name.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+    edges = edges if hasattr(edges, "staged_at") else stage_table(edges.select("src", "dst"), "edges")
     e = edges.select(F.col(a).cast("string").alias("at"), F.col(b).cast("string").alias("to"))
-    known = e.select("at").unionByName(e.select(F.col("to").alias("at")))
+    known = e.select("at").distinct().unionByName(e.select(F.col("to").alias("at")).distinct())
     known = known if services is None else known.unionByName(services.select(F.col("name").cast("string").alias("at")))
     front = starts.select(F.col("start").cast("string").alias("at")).distinct().join(known.distinct(), "at", "left_semi")
     front = front.select(F.col("at").alias("start"), F.array("at").alias("path"), "at")
     done = None
     for depth in range(max_depth + 1):
-        step = front.join(e, "at", "left") if depth < max_depth else front.withColumn("to", F.lit(None).cast("string"))
+        near = e.join(front.select("at").distinct(), "at", "left_semi") if depth else e
+        step = stage_table(front.join(near, "at", "left").select("start", "path", "to"), "step") if depth < max_depth else front.withColumn("to", F.lit(None).cast("string"))
         over = step.where("to is null").select("start", "path", F.lit(depth).alias("depth"), F.lit(False).alias("is_cycle"))
         loop = step.where(F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array(F.concat("to", F.lit(mark)))).alias("path"), F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_cycle"))
         done = over.unionByName(loop) if done is None else done.unionByName(over).unionByName(loop)
         if depth == max_depth:
             break
-        front = stage_table(step.where(F.col("to").isNotNull() & ~F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")), "frontier")
+        front = step.where(F.col("to").isNotNull() & ~F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
     return done
 
 

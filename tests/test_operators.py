@@ -110,6 +110,14 @@ def test_trace(spark):
     assert [r["depth"] for r in graph.trace(chain, spark.createDataFrame([("0",)], "start string")).collect()] == [6]
 
 
+def test_trace_joins_each_level_once(spark):
+    """What a level has found is read back: the result's plan joins nothing, so edges are not made again for each level."""
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")], "src string, dst string").distinct()
+    out = graph.trace(e, e.select(e.src.alias("start")))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(">".join(r["path"]) for r in out.collect()) == ["a>b>c>a(环)", "a>b>d", "b>c>a>b(环)", "b>d", "c>a>b>c(环)", "c>a>b>d"]
+
+
 def test_crawl(spark):
     link = lambda *hs: "".join(f'<a href="{h}">' for h in hs)
     rows = [
