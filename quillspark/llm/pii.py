@@ -31,8 +31,7 @@ CUES = {
     "card": r"(?i)card|karte|carte|tarjeta|visa|credit|pay|iban",
     "phone": r"(?i)tel|phone|call|fax|mobil|ruf|llam",
 }
-#: Examples of either label that the trees are fitted on, by rising hash, and the precision that a threshold must reach.
-FIT_ROWS = 10_000
+#: The precision that a threshold must reach.
 PRECISION = 0.98
 #: What an unlabelled candidate weighs as a wrong one, beside a base match, when the first trees are fitted.
 DOUBT = 0.25
@@ -152,8 +151,8 @@ def _untouched(spans: DataFrame, others: DataFrame, worse=None) -> DataFrame:
     return spans.join(hit, ["row", "kind", "start"], "left_anti")
 
 
-def _chosen(candidates: DataFrame, base: DataFrame, fit_rows: int, precision: float, seed: int) -> DataFrame:
-    """The candidates whose calibrated score selects them: trees fitted on most of a bounded sample, thresholds on the rest.
+def _chosen(candidates: DataFrame, base: DataFrame, precision: float, seed: int) -> DataFrame:
+    """The candidates whose calibrated score selects them: trees fitted on all examples, thresholds on what trees of one half say of the other.
 
     Right are base matches rewritten into loose formats, in the context they came from; wrong are base matches spoiled,
     and candidates outside all base matches. Neither label can be read off a feature: no candidate is a base match.
@@ -167,19 +166,20 @@ def _chosen(candidates: DataFrame, base: DataFrame, fit_rows: int, precision: fl
     spoilt = base.select(*about, _of_kind(spoiled, F.col("value")).alias("value"), F.lit(1).alias("source")).where("value is not null")
     spoilt = spoilt.withColumn("value", F.when(F.col("kind") == KINDS.index("phone"), F.col("value")).otherwise(_of_kind(rewritten, F.col("value"), style)))
     open_ = candidates.select(*about, "value", F.lit(2).alias("source"))
-    some = lambda d: d.withColumn("o", order).orderBy("o").limit(fit_rows).select("kind", "source", (F.col("source") == 0).cast("double").alias("label"), "o", _features().alias("features"))
-    sample = stage_table(some(right).unionByName(some(spoilt)).unionByName(some(open_)).coalesce(1), "sample")
-    part = sample.groupBy(F.pmod("o", F.lit(4)) == 0).agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).collect()
+    made = right.unionByName(spoilt).unionByName(open_)
+    made = stage_table(made.select("kind", "source", (F.col("source") == 0).cast("double").alias("label"), (F.pmod(order, F.lit(2)) == 0).alias("half"), _features().alias("features")), "examples")
+    part = made.groupBy("half").agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).collect()
     if len(part) < 2 or any(min(r[1], r[2]) < 10 for r in part):  # nothing to learn from
         return candidates.where(F.lit(False)).withColumn("p", F.lit(0.0))
     vector = lambda d: d.withColumn("v", array_to_vector("features"))
     trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=seed)
     scored = lambda model, d: model.transform(vector(d)).withColumn("p", F.round(vector_to_array("probability")[1], 2)).drop("v", "rawPrediction", "probability", "prediction")
     doubt = F.when(F.col("source") == 2, F.lit(DOUBT)).otherwise(1.0)
-    first = trees.copy().setWeightCol("w").fit(vector(sample.where("pmod(o, 4) <> 0").withColumn("w", doubt)))
-    clear = stage_table(scored(first, sample).where("source < 2 or p <= 0.5").drop("p"), "clear")
-    model = trees.fit(vector(clear.where("pmod(o, 4) <> 0")))
-    held = scored(model, clear.where("pmod(o, 4) = 0")).groupBy("kind", "p").agg(F.count_if(F.col("label") == 1).alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 101 scores for each kind at most
+    first = trees.copy().setWeightCol("w").fit(vector(made.withColumn("w", doubt)))
+    clear = stage_table(scored(first, made).where("source < 2 or p <= 0.5").drop("p"), "clear")
+    model = trees.fit(vector(clear))
+    unseen = [scored(trees.fit(vector(clear.where(other))), clear.where(half)) for half, other in (("half", "not half"), ("not half", "half"))]
+    held = unseen[0].unionByName(unseen[1]).groupBy("kind", "p").agg(F.count_if(F.col("label") == 1).alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 101 scores for each kind at most
     limit = F.lit(None).cast("double")
     for k in range(len(KINDS)):
         good = n = 0
@@ -193,12 +193,12 @@ def _chosen(candidates: DataFrame, base: DataFrame, fit_rows: int, precision: fl
     return scored(model, candidates.withColumn("features", _features())).where(F.col("p") >= limit)
 
 
-def find_personal_data(docs: DataFrame, keys: list[str], text: str = "text", fit_rows: int = FIT_ROWS, precision: float = PRECISION, seed: int = 42) -> DataFrame:
+def find_personal_data(docs: DataFrame, keys: list[str], text: str = "text", precision: float = PRECISION, seed: int = 42) -> DataFrame:
     """keys, base and spans: arrays of (kind index, start, end), by kind as in KINDS, then start.
 
     base has the leftmost non-overlapping matches of each kind's pattern that pass its check. spans adds candidates
-    which touch no base span, score at least their kind's threshold, and touch no better one. Trees are fitted on at
-    most fit_rows examples of either label; a quarter of those sets the thresholds. Tables with too few examples of
+    which touch no base span, score at least their kind's threshold, and touch no better one. Trees are fitted on
+    all examples of either label; trees of one half set the thresholds by the other half, both ways. Tables with too few examples of
     either label add none. Null texts are empty; repeated rows each get a row; other columns stay out.
     """
     rows = docs.select(*keys, F.coalesce(text, F.lit("")).alias("pii_text"))
@@ -209,7 +209,7 @@ def find_personal_data(docs: DataFrame, keys: list[str], text: str = "text", fit
     hits = stage_table(hits.where(F.col("loose") | _of_kind(valid, F.col("value"))).drop("at", "gap"), "hits")
     base = hits.where("not loose")
     cand = stage_table(_untouched(hits.where("loose"), base.select("row", "start", "end")), "candidates")
-    picked = _chosen(cand, base, fit_rows, precision, seed).select("row", "kind", "start", "end", "p")
+    picked = _chosen(cand, base, precision, seed).select("row", "kind", "start", "end", "p")
     picked = stage_table(picked, "picked")
     rank = lambda a: F.struct(F.col(f"{a}.p"), F.col(f"{a}.end") - F.col(f"{a}.start"), F.col(f"{a}.kind"), F.col(f"{a}.start"))
     extra = _untouched(picked, picked, rank("r") > rank("l"))

@@ -118,3 +118,19 @@ def test_redaction_and_edges(spark):
     assert got == [("w", "𝒳 [EMAIL]😀 +[CARD] é"), ("x", "mail [EMAIL] or [IP]."), ("x", "mail [EMAIL] or [IP]."), ("z", "")]
     assert [r["text"] for r in P.redact_documents(df).collect() if r["doc_id"] == 2] == [None]
     assert P.find_personal_data(df.where("false"), ["doc_id"]).collect() == []
+
+
+def test_trees_and_thresholds_see_all_examples(spark, monkeypatch):
+    """More right examples than any bound of a sample: all are fitted on, and both halves are scored by the other's trees."""
+    rows = [(i, " ".join(f"host 10.{i % 250}.{k}.{(i * 7 + k) % 250} is" for k in range(40))) for i in range(300)]
+    seen, real = [], P.GBTClassifier
+
+    class Counted(real):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.where("label = 1").count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(P, "GBTClassifier", Counted)
+    got = P.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"]).collect()
+    assert sum(len(r["base"]) for r in got) == 12_000
+    assert seen[:2] == [12_000, 12_000] and sum(seen[2:]) == 12_000 and len(seen) == 4
