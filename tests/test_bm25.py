@@ -76,3 +76,13 @@ def test_scores_in_small_blocks(spark, tmp_path, monkeypatch):
     q = spark.createDataFrame([(i, pick(9)) for i in range(25)], "query_id bigint, text string")
     top = lambda df: sorted((r["query_id"], r["key"], r["rank"], round(r["score"], 6)) for r in df.collect())
     assert top(bm25.bm25_topk(q, store.index(), 7)) == top(bm25._top(bm25.bm25_scores(q, store.index()), 7))
+
+
+def test_questions_that_find_nothing_in_a_block(spark, tmp_path, monkeypatch):
+    """Each question is scored alone, and most blocks have none of its terms."""
+    for name, n in (("BUCKET", 1), ("SECTIONS", 1), ("PAIRS", 1)):
+        monkeypatch.setattr(bm25, name, n)
+    words = ["alpha", "beta", "gamma", "delta", "zeta", "theta"]
+    index = bm25.build_store(spark.createDataFrame([(i, f"{w} word") for i, w in enumerate(words)], "key bigint, text string"), f"file://{tmp_path}/s").index()
+    q = spark.createDataFrame(list(enumerate(words)), "query_id bigint, text string")
+    assert sorted((r["query_id"], r["key"], r["rank"]) for r in bm25.bm25_topk(q, index, 3).collect()) == [(i, i, 1) for i in range(6)]
