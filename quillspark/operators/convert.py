@@ -9,8 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import clean_pdf_text, html_title, postprocess_lines, strip
-from ..sources.staging import stage_table
+from ..functions.text import clean_pdf_text, html_title, once, postprocess_lines, strip
 
 #: Tags and classes without content, inline and block tags, and where a page's content is, best first.
 SKIP_TAGS = {"script", "style", "noscript", "nav", "footer", "aside", "iframe", "object", "embed", "canvas", "svg"}
@@ -81,30 +80,26 @@ def _kind(n: Node) -> str:
     return n.tag if n.tag in ("table", "pre", "li") else "head" if n.tag in HEADINGS else "block" if n.tag in BLOCK else "other"
 
 
-def page_tokens(html: str | None) -> tuple[str, list[dict]]:
-    """A page's text and its elements and text pieces in order, with unclosed tags repaired.
+def page_tokens(html: str | None) -> list[dict]:
+    """A page's elements and text pieces in order, with unclosed tags repaired.
 
-    Each is numbered and names its parent, the last token below it, where its text begins and ends, the nearest ancestor
-    that is no inline tag (owner), and the nearest token, itself or above, that hides it from a text in which it stands (cover).
+    Each is numbered and names its parent, the last token below it, the nearest ancestor that is no inline tag (owner),
+    and the nearest token, itself or above, that hides it from a text in which it stands (cover).
     """
     tree = _Tree()
     tree.feed(re.sub(r"<!--.*?-->", "", html or "", flags=re.S))
     out: list[dict] = []
-    texts: list[str] = []
-    at = 0
     todo: list[tuple] = [(tree.root, None, 0, -1)]
     while todo:
         n, up, owner, cover = todo.pop()
         if isinstance(n, int):  # the end of that token
-            out[n] |= {"last": len(out) - 1, "to": at}
+            out[n]["last"] = len(out) - 1
             continue
         i, is_text = len(out), isinstance(n, str)
         row = dict.fromkeys(("tag", "kind", "cls", "name", "role", "alt", "text", "up_tag"))
-        out.append(row | {"id": i, "up": -1 if up is None else up[0], "last": i, "from": at, "to": at, "owner": owner, "cover": cover})
+        out.append(row | {"id": i, "up": -1 if up is None else up[0], "last": i, "owner": owner, "cover": cover})
         if is_text:
-            texts.append(n)
-            at += len(n)
-            out[i] |= {"text": n, "to": at}
+            out[i]["text"] = n
             continue
         kind = _kind(n)
         own = i if kind in ("none", "other") else cover
@@ -112,14 +107,14 @@ def page_tokens(html: str | None) -> tuple[str, list[dict]]:
         todo.append((i, None, 0, 0))
         below = (i, n.tag), owner if n.tag in INLINE else i, i if kind in ("table", "pre") else own
         todo.extend((k, *below) for k in reversed(n.kids))
-    return "".join(texts), out
+    return out
 
 
-_TOKEN = "id int, up int, last int, from int, to int, owner int, cover int, tag string, kind string, cls string, name string, role string, alt string, text string, up_tag string"
+_TOKEN = "id int, up int, last int, owner int, cover int, tag string, kind string, cls string, name string, role string, alt string, text string, up_tag string"
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """(page, whole, token columns) of pages (page, html)."""
+    """(page, tokens) of pages (page, html): a page's tokens in a row, each at the place of its number."""
 
     fields = [c.split(" ") for c in _TOKEN.split(", ")]
     most = TOKENS
@@ -128,10 +123,10 @@ def _tokens(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, n = [], 0
-            pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.field("page").type, pa.string(), kind), strict=True)], names=["page", "whole", "tokens"])  # noqa: B023, E731
+            pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.field("page").type, kind), strict=True)], names=["page", "tokens"])  # noqa: B023, E731
             for page, html in zip(b["page"], b["html"], strict=True):
-                whole, tokens = page_tokens(html.as_py())
-                out.append((page.as_py(), whole, tokens))
+                tokens = page_tokens(html.as_py())
+                out.append((page.as_py(), tokens))
                 n += len(tokens)
                 if n >= most:
                     yield pack(out)
@@ -139,41 +134,51 @@ def _tokens(pages: DataFrame) -> DataFrame:
             if out:
                 yield pack(out)
 
-    t = pages.select("page", "html").mapInArrow(run, "page bigint, whole string, tokens array<struct<" + ",".join(f"`{n}`:{t}" for n, t in fields) + ">>")
-    return t.select("page", "whole", F.inline("tokens"))
+    return pages.select("page", "html").mapInArrow(run, "page bigint, tokens array<struct<" + ",".join(f"`{n}`:{t}" for n, t in fields) + ">>")
+
+
+def _of(x: F.Column) -> F.Column:
+    """x and the tokens below it, each looked up by its number: slice would go through all of the page for each x."""
+    return F.transform(F.sequence(x["id"], x["last"]), lambda i: F.get("tokens", i))
 
 
-def _text_of(whole: str, begin: str, end: str) -> F.Column:
-    return strip(F.substring(F.col(whole), F.col(begin) + 1, F.col(end) - F.col(begin)))
+def _text_of(x: F.Column) -> F.Column:
+    return strip(F.array_join(F.transform(_of(x), lambda y: y["text"]), ""))
 
 
-def content_roots(tokens: DataFrame) -> DataFrame:
-    """(page, root, last, kind): the first element of the best test that has one with more than 30 characters, else the body, else all."""
-    tag, cls = F.col("tag"), F.col("cls")
-    has = lambda *parts: F.coalesce(F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(cls, p)), F.lit(False))
+def content_root() -> F.Column:
+    """The first element of the best test that has one with more than 30 characters, else the body, else all."""
+    has = lambda c, *parts: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(c, p))
     tests = [
-        tag == "article", tag == "main", *[(tag == "div") & has(c) for c in DIV_CLASSES], F.col("role") == ROLE, (tag == "div") & has(*DIV_PARTS),
-        (tag == "div") & F.col("name").isin(*DIV_NAMES), (tag == "section") & has(SECTION_PART), (tag == "div") & has(*LAST_PARTS),
+        lambda x: x["tag"] == "article", lambda x: x["tag"] == "main", *[lambda x, c=c: (x["tag"] == "div") & has(x["cls"], c) for c in DIV_CLASSES], lambda x: x["role"] == ROLE,
+        lambda x: (x["tag"] == "div") & has(x["cls"], *DIV_PARTS), lambda x: (x["tag"] == "div") & x["name"].isin(*DIV_NAMES), lambda x: (x["tag"] == "section") & has(x["cls"], SECTION_PART), lambda x: (x["tag"] == "div") & has(x["cls"], *LAST_PARTS),
     ]
-    e = tokens.where("tag is not null").where(~tag.isin(*SKIP_TAGS))
-    met = e.select("page", "id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(i)) for i, x in enumerate(tests)]))).alias("test"))
-    first = met.groupBy("page", "test").agg(F.min("id").alias("id"))
-    fit = first.join(e.hint("merge"), ["page", "id"]).where(F.length(_text_of("whole", "from", "to")) > 30).select("page", F.struct("test", "id").alias("x"))
-    rest = e.where("tag = 'body' or id = 0").select("page", F.struct(F.when(tag == "body", len(tests)).otherwise(len(tests) + 1).alias("test"), "id").alias("x"))
-    best = fit.unionByName(rest).groupBy("page").agg(F.min("x")["id"].alias("id"))
-    return best.join(e.hint("merge"), ["page", "id"]).select("page", F.col("id").alias("root"), F.col("last").alias("root_last"), F.col("kind").alias("root_kind"))
-
-
-def _table_lines(tokens: DataFrame, shown: DataFrame) -> DataFrame:
-    """(page, id, rows) of the tables shown: rows of cells in order, those without cells left out."""
-    tables = shown.where("kind = 'table'").select("page", F.col("id").alias("t_id"), F.col("last").alias("t_last"))
-    within = tokens.join(tables.select("page").distinct().hint("merge"), "page", "left_semi")
-    inside = (F.col("id") > F.col("t_id")) & (F.col("id") <= F.col("t_last"))
-    r = within.where("tag = 'tr'").join(tables.hint("merge"), "page").where(inside).select("page", "t_id", F.col("id").alias("r_id"), F.col("last").alias("r_last"))
-    c = within.where("tag in ('th', 'td')").join(r.hint("merge"), "page").where((F.col("id") > F.col("r_id")) & (F.col("id") <= F.col("r_last")))
-    c = c.select("page", "t_id", "r_id", F.struct("id", _text_of("whole", "from", "to").alias("cell")).alias("x"))
-    cells = c.groupBy("page", "t_id", "r_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["cell"]).alias("cells"))
-    return cells.groupBy("page", F.col("t_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r_id", "cells"))), lambda x: x["cells"]).alias("rows"))
+    first = lambda test: F.get(F.filter("tokens", lambda x: ~x["tag"].isin(*SKIP_TAGS) & test(x)), F.lit(0))
+    fit = F.filter(F.array_compact(F.array(*[first(t) for t in tests])), lambda x: F.length(_text_of(x)) > 30)
+    return F.coalesce(F.get(fit, F.lit(0)), first(lambda x: x["tag"] == "body"), F.get("tokens", F.lit(0)))
+
+
+def _table_rows(x: F.Column) -> F.Column:
+    """The rows of cells of a table in order, those without cells left out."""
+    cells = lambda r: F.transform(F.filter(_of(r), lambda c: c["tag"].isin("th", "td")), _text_of)
+    return F.filter(F.transform(F.filter(_of(x), lambda r: r["tag"] == "tr"), cells), lambda r: F.size(r) > 0)
+
+
+def _content(tokens: DataFrame) -> DataFrame:
+    """(page, x): a page's tokens from its root on that go to its text, in a row: elements, of which some are seen, and pieces of text."""
+
+    def slim(x: F.Column, root: F.Column) -> F.Column:
+        seen = (x["kind"] != "none") & ((x["id"] == root["id"]) | (x["cover"] <= root["id"]) & ~root["kind"].isin("none", "table", "pre"))
+        up = F.get("tokens", x["up"])
+        broken = (x["tag"] == "br") & (x["up"] >= root["id"]) & up["tag"].isin(*INLINE)  # may count or not, by what else that tag holds
+        piece = F.when(x["tag"].isNull(), x["text"]).when((x["tag"] == "img") & (F.coalesce(x["alt"], F.lit("")) != ""), F.concat(F.lit("[图: "), x["alt"], F.lit("]"))).when(x["tag"] == "br", "\n")
+        return F.struct(
+            x["id"].alias("id"), x["up"].alias("up"), x["last"].alias("last"), x["owner"].alias("owner"), x["tag"].alias("tag"), x["kind"].alias("kind"), (x["up_tag"] == "ol").alias("in_ol"), F.coalesce(seen, F.lit(False)).alias("seen"), piece.alias("piece"),
+            F.when(broken, x["up"]).alias("lo"), F.when(broken, up["last"]).alias("hi"), F.when(seen & (x["kind"] == "table"), _table_rows(x)).alias("rows"), F.when(seen & (x["kind"] == "pre"), _text_of(x)).alias("code"),
+        )
+
+    within = lambda root: F.transform(F.slice("tokens", root["id"] + 1, root["last"] - root["id"] + 1), lambda x: slim(x, root))
+    return tokens.select("page", once(content_root(), within).alias("x"))
 
 
 def page_lines(tokens: DataFrame) -> DataFrame:
@@ -181,37 +186,36 @@ def page_lines(tokens: DataFrame) -> DataFrame:
 
     An element's own text is that of the pieces it owns; headings, list items, code and tables get their marks. What
     follows a line that isn't blank is set apart by one, unless it is the first below an element with text of its own.
-    Tokens of like pages are small on disk and large in memory, so no side is ever sent to all tasks: all joins are merged.
+    A page moves once, as a row with what its text needs; all that follows is grouped where the page is.
     """
-    roots = content_roots(tokens)
-    t = tokens.join(roots.hint("merge"), "page").where(F.col("id").between(F.col("root"), F.col("root_last")))
-    is_root = F.col("id") == F.col("root")
-    seen = (F.col("kind") != "none") & (is_root | (F.col("cover") <= F.col("root")) & ~F.col("root_kind").isin("none", "table", "pre"))
-    shown = t.where("tag is not null").where(seen)
-    piece = F.when(F.col("tag").isNull(), strip(F.col("text"))).when((F.col("tag") == "img") & (F.coalesce("alt", F.lit("")) != ""), F.concat(F.lit("[图: "), "alt", F.lit("]"))).when(F.col("tag") == "br", "\n")
-    # a line break in an inline tag counts between what else that tag holds, not at its edge
-    inline = t.where(F.col("tag").isin(*INLINE)).select("page", F.col("id").alias("lo"), F.col("last").alias("hi"))
-    broken = t.where("tag = 'br'").select("page", "id", F.col("up").alias("lo")).join(inline.hint("merge"), ["page", "lo"])
-    pieces = t.select("page", "id", "owner", piece.alias("piece")).where("piece <> ''").join(broken.hint("merge"), ["page", "id"], "left")
-    pieces = pieces.groupBy("page", F.col("owner").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("at"), "piece", "lo", "hi"))).alias("all"))
+    t = _content(tokens).repartition("page").select("page", F.inline("x"))
+    t = t.withColumn("piece", F.when(F.col("tag").isNull(), strip(F.col("piece"))).otherwise(F.col("piece")))
+    element, piece = F.when(F.col("tag").isNotNull(), F.col("id")), F.when(F.col("piece") != "", F.col("owner"))
+    t = t.withColumn("of", F.explode(F.array_distinct(F.array_compact(F.array(element, piece)))))  # itself, the element that a piece belongs to
+    itself = F.col("of") == F.col("id")
+    g = t.groupBy("page", "of").agg(
+        F.first(F.when(itself, F.struct("last", "up", "tag", "kind", "in_ol", "seen", "rows", "code")), ignorenulls=True).alias("e"),
+        F.sort_array(F.collect_list(F.when(~itself, F.struct(F.col("id").alias("at"), "piece", "lo", "hi")))).alias("all"),
+    )
     some = lambda ok: F.exists("all", lambda y: (y["piece"] != "\n") & ok(y["at"]))
+    # a line break in an inline tag counts between what else that tag holds, not at its edge
     kept = F.filter("all", lambda x: x["lo"].isNull() | some(lambda at: (at > x["lo"]) & (at < x["at"])) & some(lambda at: (at > x["at"]) & (at <= x["hi"])))
-    own = pieces.select("page", "id", F.array_join(F.transform(kept, lambda x: x["piece"]), " ").alias("own"))
-    own = own.withColumn("own", strip(F.replace("own", F.lit(" \n "), F.lit("\n"))))
+    own = F.array_join(F.transform(kept, lambda x: x["piece"]), " ").alias("own")
+    g = g.where("e is not null").select("page", F.col("of").alias("id"), "e.*", own)
     item = Window.partitionBy("page", "up").orderBy("id")
-    items = t.where("tag = 'li' and up_tag = 'ol'").select("page", "id", F.row_number().over(item).alias("item"))
-    g = shown.join(own.hint("merge"), ["page", "id"], "left").join(items.hint("merge"), ["page", "id"], "left").join(_table_lines(tokens, shown).hint("merge"), ["page", "id"], "left")
-    text = F.coalesce("own", F.lit(""))
-    code = _text_of("whole", "from", "to")
+    g = g.withColumn("item", F.sum(F.when((F.col("tag") == "li") & F.col("in_ol"), 1)).over(item)).where("seen")
+    g = g.withColumn("own", strip(F.replace("own", F.lit(" \n "), F.lit("\n"))))
+    text, code = F.coalesce("own", F.lit("")), F.col("code")
     marks = F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), text)
     cells = lambda r, width: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width), " | "), F.lit(" |"))
     width = F.size(F.get("rows", F.lit(0)))
     table = F.concat(F.array(F.lit(""), cells(F.get("rows", F.lit(0)), width), cells(F.array_repeat(F.lit("---"), width), width)), F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: cells(r, width)), F.array(F.lit("")))
+    number = F.when(F.col("in_ol"), F.concat(F.col("item").cast("string"), F.lit(". ")))
     lines = (
         F.when(F.col("kind") == "table", F.when(F.size("rows") > 1, table))
         .when(F.col("kind") == "pre", F.when(code != "", F.array(F.lit(""), F.lit("```"), code, F.lit("```"), F.lit(""))))
         .when(text == "", None).when(F.col("kind") == "head", F.array(F.lit(""), marks, F.lit("")))
-        .when(F.col("kind") == "li", F.array(F.concat(F.coalesce(F.concat(F.col("item").cast("string"), F.lit(". ")), F.lit("- ")), text))).otherwise(F.array(text))
+        .when(F.col("kind") == "li", F.array(F.concat(F.coalesce(number, F.lit("- ")), text))).otherwise(F.array(text))
     )
     g = g.select("page", "id", "last", lines.alias("lines")).where("lines is not null")
     before = Window.partitionBy("page").orderBy("id")
@@ -223,11 +227,11 @@ def page_lines(tokens: DataFrame) -> DataFrame:
 def html_to_text(pages: DataFrame) -> DataFrame:
     """TX1: (page_id, url, title, text). Python repairs the tags of a page and numbers its tokens, nothing else.
 
-    Which part is the content, tables, lists, code and lines are found by grouping and windows over a page's tokens. Rows
-    are told apart by page_id and url; null html has an empty text.
+    Which part is the content, tables, lists, code and lines are found by expressions over a page's tokens, grouping and
+    windows. Rows are told apart by page_id and url; null html has an empty text.
     """
     page = F.xxhash64("page_id", "url", "html")
-    tokens = stage_table(_tokens(pages.select(page.alias("page"), "html").dropDuplicates(["page"])), "tokens")
+    tokens = _tokens(pages.select(page.alias("page"), "html").dropDuplicates(["page"]))
     own = pages.select(page.alias("page"), "page_id", "url", html_title(F.col("html"), F.col("url")).alias("title")).join(page_lines(tokens).hint("merge"), "page", "left")
     return own.select("page_id", "url", "title", postprocess_lines(F.coalesce("text", F.lit(""))).alias("text"))
 

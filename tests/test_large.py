@@ -46,3 +46,12 @@ def test_no_task_has_all_pairs_of_a_question(spark):
     out = catalog.match_docs(q, d)
     assert "Window" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 3), (2, 1, 2), (2, 2, 2)]
+
+
+def test_a_page_moves_once_and_is_not_stored(spark, monkeypatch):
+    """Tables, code, lists, line breaks and hidden parts come from expressions, not from joins of a page's tokens."""
+    monkeypatch.setattr(convert, "stage_table", None, raising=False)
+    html = "<body><nav>gone</nav><article role=main><h1>One heading of more than thirty characters</h1><ol><li>a<li>b <i>c<br>d</i></ol><table><tr><th>k<th>v<tr><td>1<tr></table><pre>x\n y</pre></article></body>"
+    out = convert.html_to_text(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"))
+    assert plan(out).count("Exchange hashpartitioning") <= 4 and plan(out).count("Join") == 1
+    assert out.first()["text"] == "# One heading of more than thirty characters\n\n1. a\n\n2. b c\nd\n\n| k | v |\n| --- | --- |\n| 1 |  |\n\n```\nx\ny\n```"
